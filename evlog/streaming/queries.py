@@ -1,4 +1,121 @@
-"""Registered streaming and sink round-trip queries."""
+"""Registered streaming and sink round-trip queries.
 
-STREAM_QUERIES = {}
-STREAM_SQL = {}
+Each one streams the whole ``events`` table (``availableNow``) through a
+streaming operator and a sink into a fresh folder under the session's
+checkpoint folder, then returns a batch read of what the sink wrote. The
+oracle SQL states the rows the sink must hold.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from evlog.plans import queries as Q
+from evlog.plans.oracle import ENV, _with
+from evlog.session import work_path
+from evlog.sources.events import read_events, union_hubs
+from evlog.streaming import sinks
+from evlog.streaming.stream import stream_running_total, stream_window_counts
+
+STREAM_HUBS = ("click", "view")
+
+
+def _stream(spark: SparkSession, sf_dir: str, **envelope) -> DataFrame:
+    envelope.setdefault("hub", Q.HUB)
+    envelope.setdefault("num_partitions", Q.PARTITIONS)
+    return read_events(spark, sf_dir, streaming=True, file_glob="events.parquet", **envelope)
+
+
+def _run(query) -> None:
+    query.awaitTermination()
+    err = query.exception()
+    if err is not None:
+        raise RuntimeError(f"streaming query failed: {err}")
+
+
+def q_stream_window_counts(spark, sf_dir):
+    base = work_path(spark, "stream-window-counts")
+    counts = stream_window_counts(_stream(spark, sf_dir), Q.WINDOW_SECONDS)
+    _run(sinks.sink_upserts(counts, f"{base}/out", f"{base}/cp", available_now=True))
+    return sinks.read_upserts(spark, f"{base}/out", ["window_start"])
+
+
+def q_stream_running_total(spark, sf_dir):
+    base = work_path(spark, "stream-total")
+    totals = stream_running_total(_stream(spark, sf_dir))
+    _run(sinks.sink_upserts(totals, f"{base}/out", f"{base}/cp", output_mode="complete", available_now=True))
+    return sinks.read_upserts(spark, f"{base}/out", ["key"])
+
+
+def q_stream_union_hubs(spark, sf_dir):
+    base = work_path(spark, "stream-hubs")
+    hubs = {name: _stream(spark, sf_dir, hub=name, num_partitions=Q.HUB_PARTITIONS[name])
+            .filter(F.col("partitionKey") == name) for name in STREAM_HUBS}
+    _run(sinks.sink_parquet(union_hubs(hubs), f"{base}/out", f"{base}/cp", available_now=True))
+    return spark.read.parquet(f"{base}/out").select("hub", "partition_id", "seqNumber", "partitionKey")
+
+
+def q_sink_json_latest(spark, sf_dir):
+    base = work_path(spark, "sink-json-latest")
+    _run(sinks.sink_json(_stream(spark, sf_dir), f"{base}/out", f"{base}/cp", mode="latest", available_now=True))
+    return spark.read.parquet(f"{base}/out")
+
+
+def q_sink_json_append(spark, sf_dir):
+    base = work_path(spark, "sink-json-append")
+    _run(sinks.sink_json(_stream(spark, sf_dir), f"{base}/out", f"{base}/cp", mode="append", available_now=True))
+    return spark.read.parquet(f"{base}/out").select("value")
+
+
+def q_sink_parquet(spark, sf_dir):
+    base = work_path(spark, "sink-parquet")
+    _run(sinks.sink_parquet(_stream(spark, sf_dir), f"{base}/out", f"{base}/cp", available_now=True))
+    return spark.read.parquet(f"{base}/out").select(
+        "partition_id", "seqNumber", "enqueuedTime", F.col("enqueued_date").cast("string").alias("enqueued_date"))
+
+
+def q_sink_table(spark, sf_dir):
+    base = work_path(spark, "sink-table")
+    table = "evlog_events_" + base.rsplit("-", 1)[-1]
+    _run(sinks.sink_table(_stream(spark, sf_dir), table, f"{base}/cp", location=f"{base}/table",
+                          available_now=True))
+    return spark.table(table).select("EventContent")
+
+
+def q_sink_total_text(spark, sf_dir):
+    base = work_path(spark, "sink-total-text")
+    totals = stream_running_total(_stream(spark, sf_dir))
+    _run(sinks.sink_total_text(totals, f"{base}/total", f"{base}/cp", available_now=True))
+    return spark.read.text(f"{base}/total-*")
+
+
+STREAM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "stream_window_counts": q_stream_window_counts,
+    "stream_running_total": q_stream_running_total,
+    "stream_union_hubs": q_stream_union_hubs,
+    "sink_json_latest": q_sink_json_latest,
+    "sink_json_append": q_sink_json_append,
+    "sink_parquet": q_sink_parquet,
+    "sink_table": q_sink_table,
+    "sink_total_text": q_sink_total_text,
+}
+
+_HUB_CASE = " ".join(f"WHEN '{k}' THEN {Q.HUB_PARTITIONS[k]}" for k in STREAM_HUBS)
+
+STREAM_SQL: dict[str, str] = {
+    "stream_window_counts": _with(ENV) + f"""SELECT enqueuedTime - enqueuedTime % {Q.WINDOW_SECONDS} AS window_start,
+        count(*) AS n FROM env GROUP BY 1""",
+    "stream_running_total": "SELECT 'StreamLength' AS key, count(*) AS total FROM events",
+    "stream_union_hubs": f"""SELECT event_type AS hub, CAST(user_id % (CASE event_type {_HUB_CASE} END) AS INTEGER)
+        AS partition_id, event_id AS seqNumber, event_type AS partitionKey FROM events
+        WHERE event_type IN ({', '.join(f"'{k}'" for k in STREAM_HUBS)})""",
+    "sink_json_latest": _with(ENV) + "SELECT to_json({'EventDetails': body_text})::VARCHAR AS value FROM env",
+    "sink_json_append": _with(ENV) + "SELECT to_json({'EventDetails': body_text})::VARCHAR AS value FROM env",
+    "sink_parquet": _with(ENV) + """SELECT partition_id, seqNumber, enqueuedTime,
+        CAST(DATE '1970-01-01' + CAST(enqueuedTime // 86400 AS INTEGER) AS VARCHAR) AS enqueued_date FROM env""",
+    "sink_table": _with(ENV) + "SELECT body_text AS EventContent FROM env",
+    "sink_total_text": "SELECT '(StreamLength,' || CAST(count(*) AS VARCHAR) || ')' AS value FROM events",
+}
