@@ -9,6 +9,7 @@ no batch key unless the caller adds one.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
@@ -102,11 +103,18 @@ def table_writer(table: str, idempotent: bool = True) -> BatchWriter:
 
     def write(batch: DataFrame, batch_id: int) -> None:
         rows = decode_payload(batch).select(PAYLOAD_COLUMN)
-        if idempotent:
-            (rows.withColumn("batch_id", F.lit(int(batch_id)).cast("long"))
-             .write.option("partitionOverwriteMode", "dynamic").insertInto(table, overwrite=True))
-        else:
+        if not idempotent:
             rows.write.insertInto(table)
+            return
+        # A static partition overwrite replaces this batch's partition and
+        # nothing else, whatever the session's partitionOverwriteMode says.
+        view = f"evlog_batch_{uuid.uuid4().hex[:12]}"
+        rows.createOrReplaceTempView(view)
+        try:
+            batch.sparkSession.sql(
+                f"INSERT OVERWRITE TABLE {table} PARTITION (batch_id = {int(batch_id)}) SELECT * FROM {view}")
+        finally:
+            batch.sparkSession.catalog.dropTempView(view)
 
     return write
 
@@ -136,7 +144,7 @@ def jdbc_writer(url: str, table: str, properties: Mapping[str, str] | None = Non
     opts = jdbc_options(url, table, properties)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        rows = decode_payload(batch).select(PAYLOAD_COLUMN).filter(F.col(PAYLOAD_COLUMN).isNotNull())
+        rows = decode_payload(batch).select(PAYLOAD_COLUMN)
         rows.write.format("jdbc").options(**opts).mode("append").save()
 
     return write
