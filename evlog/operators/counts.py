@@ -33,18 +33,30 @@ def _check_interval(interval_seconds: int) -> int:
     return iv
 
 
-def window_spine(lo: Column, hi: Column, source: DataFrame, interval_seconds: int) -> DataFrame:
-    """Every interval start from ``lo`` to ``hi`` (inclusive), one row each.
-
-    Generated in two levels (blocks, then the windows of each block) so that no
-    single array holds the whole time range.
+def spread_range(source: DataFrame, lo: Column, hi: Column, step: int, name: str,
+                 keys: list[str] | None = None) -> DataFrame:
+    """For every row of ``source``: one row per value ``lo, lo+step, .. <= hi``
+    in column ``name`` (plus the ``keys`` columns of the row).
+
+    Generated in two levels: first one row per block of ``SPINE_BLOCK`` values,
+    spread over the cluster by a fixed-count repartition (adaptive execution
+    does not merge those), then the values of each block. No array ever holds
+    more than one block, and no single task generates the whole range.
     """
-    iv = _check_interval(interval_seconds)
-    span = iv * SPINE_BLOCK
-    blocks = source.select(F.explode(F.sequence(lo, hi, F.lit(span).cast("long"))).alias("_b"), hi.alias("_hi"))
-    return blocks.select(
-        F.explode(F.sequence(F.col("_b"), F.least(F.col("_b") + F.lit(span - iv), F.col("_hi")),
-                             F.lit(iv).cast("long"))).alias("window_start"))
+    keys = keys or []
+    span = int(step) * SPINE_BLOCK
+    blocks = source.select(*keys, F.explode(F.sequence(lo, hi, F.lit(span).cast("long"))).alias("_b"),
+                           hi.alias("_hi"))
+    width = int(source.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = blocks.repartition(width, *keys, "_b")
+    return blocks.select(*keys, F.explode(F.sequence(
+        F.col("_b"), F.least(F.col("_b") + F.lit(span - int(step)), F.col("_hi")),
+        F.lit(int(step)).cast("long"))).alias(name))
+
+
+def window_spine(lo: Column, hi: Column, source: DataFrame, interval_seconds: int) -> DataFrame:
+    """Every interval start from ``lo`` to ``hi`` (inclusive), one row each."""
+    return spread_range(source, lo, hi, _check_interval(interval_seconds), "window_start")
 
 
 def window_counts(df: DataFrame, interval_seconds: int, time_col: str = "enqueuedTime",

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from evlog.operators.counts import end_positions
+from evlog.operators.counts import end_positions, spread_range
 from evlog.plans.joins import join_small
 from evlog.schema import (LEDGER_COLUMNS, PARTITION_KEY, RANGE_DESCRIPTION_FORMAT, START_OF_LOG)
 from evlog.sources.events import partition_name
@@ -48,9 +48,9 @@ def ledger_rows(df: DataFrame, batch_col: str | Column, uid: str, batch_step: in
                   else cells.select(*PARTITION_KEY)).distinct()
     lo = cells.select(F.min("batch_ts")).scalar()
     hi = cells.select(F.max("batch_ts")).scalar()
-    grid = partitions.select(*PARTITION_KEY, F.explode(F.sequence(lo, hi, F.lit(step).cast("long"))).alias("batch_ts"),
-                             F.lit(None).cast("long").alias("end_offset"), F.lit(None).cast("long").alias("end_seq"),
-                             F.lit(0).cast("long").alias("n"), F.lit(1).alias("_grid"))
+    grid = spread_range(partitions, lo, hi, step, "batch_ts", keys=PARTITION_KEY).select(
+        *PARTITION_KEY, "batch_ts", F.lit(None).cast("long").alias("end_offset"),
+        F.lit(None).cast("long").alias("end_seq"), F.lit(0).cast("long").alias("n"), F.lit(1).alias("_grid"))
     real = cells.select(*PARTITION_KEY, "batch_ts", *POSITION_COLUMNS, "n", F.lit(0).alias("_grid"))
     if expected is not None:
         real = join_small(real, partitions, PARTITION_KEY, "left_semi")

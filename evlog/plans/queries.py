@@ -95,12 +95,13 @@ def q_start_from_checkpoint(spark, sf_dir):
 
 
 def q_start_from_offset(spark, sf_dir):
-    return start_from(events(spark, sf_dir), offset=START_OFFSET).select("hub", "partition_id", "seqNumber", "offset")
+    env = events(spark, sf_dir, after_offset=START_OFFSET)      # bound pushed into the scan
+    return start_from(env, offset=START_OFFSET).select("hub", "partition_id", "seqNumber", "offset")
 
 
 def q_start_from_time(spark, sf_dir):
-    return start_from(events(spark, sf_dir), enqueued=START_TIME).select(
-        "hub", "partition_id", "seqNumber", "enqueuedTime")
+    env = events(spark, sf_dir, after_time=START_TIME)          # bound pushed into the scan
+    return start_from(env, enqueued=START_TIME).select("hub", "partition_id", "seqNumber", "enqueuedTime")
 
 
 def q_slice_ranges(spark, sf_dir):

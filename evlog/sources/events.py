@@ -9,6 +9,7 @@ pushes filters on the source columns into the Parquet scan.
 
 from __future__ import annotations
 
+import datetime
 from collections.abc import Iterable, Mapping, Sequence
 from functools import reduce
 
@@ -23,6 +24,7 @@ from evlog.schema import ENVELOPE_COLUMNS, EVENTS_SCHEMA, PARTITION_NAME_FORMAT
 OFFSET_STRIDE = 64
 DEFAULT_HUB = "hub1"
 DEFAULT_PARTITIONS = 4
+_EPOCH = datetime.datetime(1970, 1, 1)
 
 
 def _partition_count(num_partitions: int | Mapping[str, int], hub: Column) -> Column:
@@ -70,9 +72,28 @@ def to_envelope(df: DataFrame, hub: str = DEFAULT_HUB, hub_col: str | None = Non
     return df.select(*cols)
 
 
+def raw_bounds(after_offset: int | None = None, after_time: int | None = None) -> Column | None:
+    """Start bounds stated on the landed columns, so that Parquet can skip row
+    groups: ``offset > X`` is ``event_id > floor(X / stride)``, and
+    ``enqueuedTime > T`` (whole seconds) is ``ts >= T + 1 s``."""
+    cond = None
+    if after_offset is not None:
+        cond = F.col("event_id") > int(after_offset) // OFFSET_STRIDE
+    if after_time is not None:
+        start = _EPOCH + datetime.timedelta(seconds=int(after_time) + 1)
+        by_time = F.col("ts") >= F.expr(f"TIMESTAMP_NTZ '{start.isoformat(sep=' ')}'")
+        cond = by_time if cond is None else cond & by_time
+    return cond
+
+
 def read_events(spark: SparkSession, path: str, streaming: bool = False, file_glob: str | None = None,
-                max_files_per_trigger: int | None = None, **envelope) -> DataFrame:
-    """Read a landed event table (Parquet) as envelope rows, batch or streaming."""
+                max_files_per_trigger: int | None = None, after_offset: int | None = None,
+                after_time: int | None = None, **envelope) -> DataFrame:
+    """Read a landed event table (Parquet) as envelope rows, batch or streaming.
+
+    ``after_offset`` / ``after_time`` (epoch seconds) keep only events after
+    that point, filtered on the landed columns and pushed into the scan.
+    """
     if streaming:
         reader = spark.readStream.schema(EVENTS_SCHEMA)
         if max_files_per_trigger:
@@ -81,7 +102,9 @@ def read_events(spark: SparkSession, path: str, streaming: bool = False, file_gl
         reader = spark.read
     if file_glob:
         reader = reader.option("pathGlobFilter", file_glob)
-    return to_envelope(reader.parquet(path), **envelope)
+    raw = reader.parquet(path)
+    cond = raw_bounds(after_offset, after_time)
+    return to_envelope(raw if cond is None else raw.filter(cond), **envelope)
 
 
 def read_partition(df: DataFrame, partition_id: int, hub: str | None = None) -> DataFrame:
