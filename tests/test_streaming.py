@@ -153,3 +153,14 @@ def test_jdbc_options():
     assert sinks.trigger_args(available_now=True) == {"availableNow": True}
     with pytest.raises(ValueError):
         sinks.trigger_args(0)
+
+
+def test_console_sink_and_timeout_stop(spark, staged, scratch):
+    from evlog.streaming.jobs import await_queries
+
+    q = sinks.sink_console(stream_running_total(stream_of(spark, staged)), f"{scratch}/cp", output_mode="complete",
+                           trigger_seconds=1)
+    await_queries([q], timeout_minutes=0.1)       # runs ~6 s, then stops between batches
+    assert not q.isActive and q.exception() is None
+    assert q.lastProgress["sink"]["description"].startswith("org.apache.spark.sql.execution.streaming")
+    assert sum(p["numInputRows"] for p in q.recentProgress) == 10_000
