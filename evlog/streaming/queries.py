@@ -85,6 +85,12 @@ def q_sink_table(spark, sf_dir):
     return spark.table(table).select("EventContent")
 
 
+def q_stream_ledger(spark, sf_dir):
+    base = work_path(spark, "stream-ledger")
+    _run(sinks.sink_ledger(_stream(spark, sf_dir), f"{base}/ledger", Q.UID, f"{base}/cp", available_now=True))
+    return sinks.read_ledger(spark, f"{base}/ledger")
+
+
 def q_sink_total_text(spark, sf_dir):
     base = work_path(spark, "sink-total-text")
     totals = stream_running_total(_stream(spark, sf_dir))
@@ -101,6 +107,7 @@ STREAM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "sink_parquet": q_sink_parquet,
     "sink_table": q_sink_table,
     "sink_total_text": q_sink_total_text,
+    "stream_ledger": q_stream_ledger,
 }
 
 _HUB_CASE = " ".join(f"WHEN '{k}' THEN {Q.HUB_PARTITIONS[k]}" for k in STREAM_HUBS)
@@ -118,4 +125,7 @@ STREAM_SQL: dict[str, str] = {
         CAST(DATE '1970-01-01' + CAST(enqueuedTime // 86400 AS INTEGER) AS VARCHAR) AS enqueued_date FROM env""",
     "sink_table": _with(ENV) + "SELECT body_text AS EventContent FROM env",
     "sink_total_text": "SELECT '(StreamLength,' || CAST(count(*) AS VARCHAR) || ')' AS value FROM events",
+    # One micro-batch (the whole table): batch 0 holds every partition's end position.
+    "stream_ledger": _with(ENV) + f"""SELECT CAST(0 AS BIGINT) AS batch_ts, '{Q.UID}' AS uid, hub, partition_id,
+        arg_max("offset", seqNumber) AS end_offset, max(seqNumber) AS end_seq, count(*) AS n FROM env GROUP BY ALL""",
 }

@@ -14,11 +14,15 @@ from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.errors import AnalysisException
 from pyspark.sql.streaming import StreamingQuery
 
 from evlog.functions.payload import decode_payload, encode_json
-from evlog.schema import (CONSOLE_ROWS, JDBC_BATCH_SIZE, JDBC_PAYLOAD_TYPE, PAYLOAD_COLUMN, STREAM_LENGTH_KEY,
-                          TABLE_COLUMN)
+from evlog.operators.counts import end_positions
+from evlog.schema import (CONSOLE_ROWS, JDBC_BATCH_SIZE, JDBC_PAYLOAD_TYPE, PARTITION_KEY, PAYLOAD_COLUMN,
+                          STREAM_LENGTH_KEY, START_OF_LOG, TABLE_COLUMN)
+
+POSITION_COLUMNS = ["end_offset", "end_seq"]
 
 BatchWriter = Callable[[DataFrame, int], None]
 
@@ -186,6 +190,57 @@ def sink_console(stream: DataFrame, checkpoint: str, output_mode: str = "append"
     return _start(writer, checkpoint, trigger_seconds, available_now)
 
 
+# --- L1 in a stream: the read ledger ---------------------------------------------------------------
+def ledger_writer(path: str, uid: str, expected: DataFrame | None = None) -> BatchWriter:
+    """Writes one ledger row per partition for every batch under
+    ``<path>/batch_ts=<batch id>``: end offset and sequence number after the
+    batch and the events read in it. A partition without new events repeats
+    its previous position (read from the previous batch's folder, one row per
+    partition) with ``n = 0``; ``expected`` partitions never seen start at
+    ``(-1, -1)``. Re-running a batch id rewrites the same folder.
+    """
+    key = ["uid", *PARTITION_KEY]
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        value = F.struct(*POSITION_COLUMNS, "n")
+        cells = end_positions(batch).select(F.lit(uid).alias("uid"), *PARTITION_KEY, value.alias("_v"),
+                                            F.lit(2).alias("_prio"))
+        parts = [cells]
+        if batch_id > 0:
+            try:
+                prev = spark.read.option("basePath", path).parquet(f"{path}/batch_ts={int(batch_id) - 1}")
+                parts.append(prev.select(*key, F.struct(*POSITION_COLUMNS, F.lit(0).cast("long").alias("n"))
+                                         .alias("_v"), F.lit(1).alias("_prio")))
+            except AnalysisException:
+                pass                                    # first batch written to this ledger
+        if expected is not None:
+            start = F.lit(START_OF_LOG).cast("long")
+            parts.append(expected.select(F.lit(uid).alias("uid"), *PARTITION_KEY).distinct().select(
+                *key, F.struct(start.alias("end_offset"), start.alias("end_seq"), F.lit(0).cast("long").alias("n"))
+                .alias("_v"), F.lit(0).alias("_prio")))
+        both = parts[0]
+        for more in parts[1:]:
+            both = both.unionByName(more)
+        merged = both.groupBy(*key).agg(F.max_by("_v", "_prio").alias("_v"))
+        (merged.select(*key, *[F.col(f"_v.{c}").alias(c) for c in (*POSITION_COLUMNS, "n")])
+         .write.mode("overwrite").parquet(f"{path}/batch_ts={int(batch_id)}"))
+
+    return write
+
+
+def sink_ledger(stream: DataFrame, path: str, uid: str, checkpoint: str, expected: DataFrame | None = None,
+                trigger_seconds: int | None = None, available_now: bool = False) -> StreamingQuery:
+    return _start(stream.writeStream.foreachBatch(ledger_writer(path, uid, expected)), checkpoint,
+                  trigger_seconds, available_now)
+
+
+def read_ledger(spark: SparkSession, path: str) -> DataFrame:
+    """The ledger written by ``sink_ledger`` in ``LEDGER_SCHEMA`` column order."""
+    df = spark.read.parquet(path)
+    return df.select(F.col("batch_ts").cast("long").alias("batch_ts"), "uid", *PARTITION_KEY, *POSITION_COLUMNS, "n")
+
+
 # --- keyed results of update-mode aggregations ------------------------------------------------------
 def upsert_writer(path: str) -> BatchWriter:
     """Each batch's updated rows under ``batch_id=N`` (idempotent)."""
@@ -219,4 +274,4 @@ def read_total_text(spark: SparkSession, prefix: str) -> DataFrame:
 
 
 __all__ = ["STREAM_LENGTH_KEY", "sink_json", "sink_parquet", "sink_table", "sink_jdbc", "sink_total_text",
-           "sink_console", "sink_upserts", "read_upserts", "read_total_text"]
+           "sink_console", "sink_ledger", "read_ledger", "sink_upserts", "read_upserts", "read_total_text"]

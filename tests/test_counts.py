@@ -79,3 +79,19 @@ def test_end_positions_picks_offset_of_highest_seq(spark):
 def test_window_counts_total_equals_events(spark):
     env = read_events(spark, f"{MEDIUM}/events.parquet")
     assert window_counts(env, 60).agg(F.sum("n")).first()[0] == env.count()
+
+
+def test_operators_on_empty_input(spark):
+    from evlog.operators.ledger import batch_report, ledger_rows
+    from evlog.sources.positions import partition_lag, slice_ranges
+
+    env = envelope_rows(spark, [("h", 0, "x", 0, 0, 0)]).limit(0)
+    pos = spark.createDataFrame([("h", 0, 5)], "hub string, partition_id int, end_seq long")
+    assert window_counts(env, 60).count() == 0
+    assert running_total(window_counts(env, 60)).count() == 0
+    assert sequence_gaps(env, "enqueuedTime").count() == 0
+    assert end_positions(env).count() == 0
+    assert ledger_rows(env, "enqueuedTime", "u").count() == 0
+    assert batch_report(ledger_rows(env, "enqueuedTime", "u")).count() == 0
+    assert slice_ranges(env, pos).count() == 0
+    assert partition_lag(env, pos).count() == 0

@@ -164,3 +164,29 @@ def test_console_sink_and_timeout_stop(spark, staged, scratch):
     assert not q.isActive and q.exception() is None
     assert q.lastProgress["sink"]["description"].startswith("org.apache.spark.sql.execution.streaming")
     assert sum(p["numInputRows"] for p in q.recentProgress) == 10_000
+
+
+def test_stream_ledger_repeats_idle_partitions(spark, staged, scratch):
+    # Partition 3 only has events in the first file (batch 0); partition 7 is expected but never seen.
+    stream = stream_of(spark, staged).filter((F.col("partition_id") != 3) | (F.col("seqNumber") < 2500))
+    expected = spark.createDataFrame([("hub1", p) for p in (0, 1, 2, 3, 7)], "hub string, partition_id int")
+    run(sinks.sink_ledger(stream, f"{scratch}/ledger", "ns1", f"{scratch}/cp", expected=expected, available_now=True))
+    led = sinks.read_ledger(spark, f"{scratch}/ledger")
+    rows = {(r.batch_ts, r.partition_id): r for r in led.collect()}
+    assert sorted({b for b, _ in rows}) == [0, 1, 2, 3]
+    assert all((b, p) in rows for b in range(4) for p in (0, 1, 2, 3, 7))
+    p3 = [rows[(b, 3)] for b in range(4)]
+    assert p3[0].n > 0 and all(r.n == 0 and r.end_seq == p3[0].end_seq for r in p3[1:])
+    assert rows[(3, 7)].end_seq == -1 and rows[(3, 7)].end_offset == -1
+    # Final positions equal the batch end positions; batch counts add up to the events read.
+    from evlog.operators.counts import end_positions
+    batch = end_positions(read_events(spark, f"{MEDIUM}/events.parquet").filter(
+        (F.col("partition_id") != 3) | (F.col("seqNumber") < 2500)))
+    want = {r.partition_id: (r.end_offset, r.end_seq) for r in batch.collect()}
+    assert {p: (rows[(3, p)].end_offset, rows[(3, p)].end_seq) for p in want} == want
+    assert led.agg(F.sum("n")).first()[0] == batch.agg(F.sum("n")).first()[0]
+    # Replaying batch 2 rewrites its folder with the same rows.
+    before = sorted(led.filter("batch_ts = 2").collect())
+    sinks.ledger_writer(f"{scratch}/ledger", "ns1", expected)(
+        read_events(spark, f"{staged}/part-002.parquet").filter((F.col("partition_id") != 3)), 2)
+    assert sorted(sinks.read_ledger(spark, f"{scratch}/ledger").filter("batch_ts = 2").collect()) == before
