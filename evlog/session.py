@@ -14,6 +14,8 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Checkpoints of small join sides are removed once no DataFrame uses them.
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 

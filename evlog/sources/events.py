@@ -107,6 +107,36 @@ def read_events(spark: SparkSession, path: str, streaming: bool = False, file_gl
     return to_envelope(raw if cond is None else raw.filter(cond), **envelope)
 
 
+def kafka_envelope(df: DataFrame, properties: bool | Sequence[str] = False) -> DataFrame:
+    """Map rows of Spark's Kafka source (``key, value, topic, partition,
+    offset, timestamp[, headers]``) to envelope rows: the topic is the hub,
+    the Kafka offset serves as both offset and sequence number, the record
+    key is the partition key. Properties come from the record headers
+    (``includeHeaders=true``); with repeated header keys the first one wins.
+    """
+    cols = [
+        F.col("topic").alias("hub"),
+        F.col("partition").cast("int").alias("partition_id"),
+        F.col("value").alias("body"),
+        F.col("offset").alias("offset"),
+        F.col("offset").alias("seqNumber"),
+        F.unix_seconds(F.col("timestamp")).alias("enqueuedTime"),
+        F.lit(None).cast("string").alias("publisher"),
+        F.col("key").cast("string").alias("partitionKey"),
+    ]
+    if properties:
+        if "headers" not in df.columns:
+            raise ValueError("properties need the Kafka headers (option includeHeaders=true)")
+        names = F.transform("headers", lambda h: h["key"])
+        first = F.filter("headers", lambda h, i: F.array_position(names, h["key"]) == i + 1)
+        as_map = F.map_from_entries(F.transform(first, lambda h: F.struct(h["key"], h["value"].cast("string"))))
+        if properties is True:
+            cols.append(as_map.alias("properties"))
+        else:
+            cols += [F.coalesce(as_map.getItem(k), F.lit("")).alias(k) for k in properties]
+    return df.select(*cols)
+
+
 def read_partition(df: DataFrame, partition_id: int, hub: str | None = None) -> DataFrame:
     """Only the events of one partition (and hub). On a log laid out by
     ``hub``/``partition_id`` folders the filter prunes whole folders."""

@@ -104,3 +104,25 @@ def test_partition_lag(spark):
     assert lag == {0: (9, 0, True), 1: (4, 5, False), 2: (-1, 10, False)}
     tot = total_lag(partition_lag(env, pos)).first()
     assert (tot.total_lag, tot.caught_up_partitions, tot.partitions) == (15, 1, 3)
+
+
+def test_kafka_envelope(spark):
+    import datetime
+
+    from evlog.sources.events import kafka_envelope
+
+    schema = ("key binary, value binary, topic string, partition int, offset long, timestamp timestamp, "
+              "timestampType int, headers array<struct<key:string,value:binary>>")
+    ts = datetime.datetime(2024, 1, 2, 3, 4, 5, tzinfo=datetime.timezone.utc)
+    rows = [(bytearray(b"k1"), bytearray(b"payload"), "orders", 3, 42, ts, 0,
+             [("a", bytearray(b"1")), ("b", bytearray(b"x")), ("a", bytearray(b"2"))]),
+            (None, bytearray(b""), "orders", 0, 7, ts, 0, [])]
+    df = spark.createDataFrame(rows, schema)
+    env = kafka_envelope(df, properties=True).orderBy("seqNumber").collect()
+    assert env[1].hub == "orders" and env[1].partition_id == 3 and env[1].offset == 42 == env[1].seqNumber
+    assert env[1].enqueuedTime == int(ts.timestamp()) and env[1].partitionKey == "k1"
+    assert bytes(env[1].body) == b"payload" and env[1].properties == {"a": "1", "b": "x"}
+    assert env[0].properties == {} and env[0].partitionKey is None
+    keyed = kafka_envelope(df, properties=["a", "zz"]).orderBy("seqNumber").collect()
+    assert (keyed[1].a, keyed[1].zz, keyed[0].a) == ("1", "", "")
+    assert kafka_envelope(df).columns == ENVELOPE_COLUMNS
