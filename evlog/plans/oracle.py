@@ -52,6 +52,13 @@ AS_OF = f"""as_of AS (
              AND batch_ts = (SELECT max(batch_ts) FROM ledger WHERE batch_ts <= {Q.AS_OF_BATCH})) f
     ON f.hub = p.hub AND f.partition_id = p.partition_id)"""
 
+LAG = """top AS (SELECT hub, partition_id, max(seqNumber) AS latest_seq FROM env GROUP BY ALL),
+lag AS (
+  SELECT t.hub, t.partition_id, coalesce(a.end_seq, -1) AS current_seq, t.latest_seq,
+         greatest(t.latest_seq - coalesce(a.end_seq, -1), 0) AS lag,
+         coalesce(a.end_seq, -1) >= t.latest_seq AS caught_up
+  FROM top t LEFT JOIN as_of a ON a.hub = t.hub AND a.partition_id = t.partition_id)"""
+
 LEDGER_TEXT = """ledger_text AS (
   SELECT CAST(batch_ts AS VARCHAR) || ' ' || uid || ' ' || hub || ' ' || CAST(partition_id AS VARCHAR) || ' '
          || CAST(end_offset AS VARCHAR) || ' ' || CAST(end_seq AS VARCHAR) AS value FROM {src})"""
@@ -115,12 +122,22 @@ SQL: dict[str, str] = {
         SELECT e.hub, e.partition_id, e.seqNumber, e."offset", b.from_seq, b.until_seq
         FROM env e JOIN b ON b.hub = e.hub AND b.partition_id = e.partition_id
         WHERE e.seqNumber > b.from_seq AND e.seqNumber <= b.until_seq""",
-    "partition_lag": _ledger(AS_OF) + """, top AS (SELECT hub, partition_id, max(seqNumber) AS latest_seq
-        FROM env GROUP BY ALL)
-        SELECT t.hub, t.partition_id, coalesce(a.end_seq, -1) AS current_seq, t.latest_seq,
-               greatest(t.latest_seq - coalesce(a.end_seq, -1), 0) AS lag,
-               coalesce(a.end_seq, -1) >= t.latest_seq AS caught_up
-        FROM top t LEFT JOIN as_of a ON a.hub = t.hub AND a.partition_id = t.partition_id""",
+    "partition_lag": _ledger(AS_OF, LAG) + "SELECT * FROM lag",
+    "total_lag": _ledger(AS_OF, LAG) + """SELECT CAST(sum(lag) AS BIGINT) AS total_lag,
+        count(*) FILTER (WHERE caught_up) AS caught_up_partitions, count(*) AS partitions FROM lag""",
+    "slice_ranges_per_hub": f"""WITH e AS (
+          SELECT event_type AS hub,
+                 CAST(user_id % (CASE event_type {' '.join(f"WHEN '{k}' THEN {v}" for k, v in Q.HUB_PARTITIONS.items())}
+                      END) AS INTEGER) AS partition_id,
+                 event_id AS seqNumber FROM events),
+        b AS (SELECT hub, partition_id, CAST(partition_id * {Q.RANGE_FROM_STRIDE} AS BIGINT) AS from_seq,
+                     least(max(seqNumber), partition_id * {Q.RANGE_FROM_STRIDE} + CASE hub
+                       {' '.join(f"WHEN '{k}' THEN {v}" for k, v in Q.HUB_MAX_RATE.items())} ELSE 10000 END)
+                       AS until_seq
+              FROM e GROUP BY hub, partition_id)
+        SELECT e.hub, e.partition_id, e.seqNumber, b.from_seq, b.until_seq
+        FROM e JOIN b ON b.hub = e.hub AND b.partition_id = e.partition_id
+        WHERE e.seqNumber > b.from_seq AND e.seqNumber <= b.until_seq""",
     "non_empty": _with(ENV) + """SELECT hub, partition_id, count(*) AS n_events,
         count(*) FILTER (WHERE length(body_text) > 0) AS n_non_empty FROM env GROUP BY ALL""",
     "window_counts": _with(ENV) + f""", w AS (SELECT enqueuedTime - enqueuedTime % {Q.WINDOW_SECONDS} AS ws FROM env),

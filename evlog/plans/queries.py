@@ -18,7 +18,7 @@ from evlog.operators.counts import end_positions, running_total, sequence_gaps,
 from evlog.operators.ledger import (batch_report, format_ledger, ledger_as_of, ledger_audit, ledger_batch,
                                     ledger_merge, ledger_retain, ledger_rows, lost_partitions, parse_ledger)
 from evlog.sources.events import read_events, read_partition, union_hubs, union_partitions
-from evlog.sources.positions import partition_lag, slice_ranges, start_from
+from evlog.sources.positions import partition_lag, slice_ranges, start_from, total_lag
 
 # Parameters shared with the oracle SQL.
 HUB = "hub1"
@@ -33,6 +33,7 @@ RANGE_FROM_STRIDE = 100              # from_seq = partition_id * 100
 RANGE_MAX_RATE = 200
 PROPERTY_KEYS = ["k", "missing"]
 HUB_PARTITIONS = {"click": 2, "view": 3, "purchase": 4, "signup": 1, "error": 2}
+HUB_MAX_RATE = {"click": 50, "view": 120, "purchase": 10, "signup": 300}   # "error" keeps the default
 LAST_BATCH_SECONDS = 600             # the update batch of ledger_merge: the final 10 minutes
 
 
@@ -47,7 +48,10 @@ def hour(col: str = "enqueuedTime"):
 
 
 def ledger(spark: SparkSession, sf_dir: str, fill: bool = True) -> DataFrame:
-    return ledger_rows(events(spark, sf_dir), hour(), UID, fill=fill)
+    """The hourly read ledger of the events. A ledger is a stored table, one
+    row per partition per batch; it is materialised once in the shared
+    checkpoint folder, so the lookups below do not rebuild it from events."""
+    return ledger_rows(events(spark, sf_dir), hour(), UID, fill=fill).checkpoint(eager=True)
 
 
 def _expected(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,11 +116,23 @@ def q_slice_ranges(spark, sf_dir):
         "hub", "partition_id", "seqNumber", "offset", "from_seq", "until_seq")
 
 
+def q_slice_ranges_per_hub(spark, sf_dir):
+    env = events(spark, sf_dir, hub_col="event_type", num_partitions=HUB_PARTITIONS)
+    positions = env.select("hub", "partition_id").distinct().withColumn(
+        "end_seq", (F.col("partition_id") * RANGE_FROM_STRIDE).cast("long"))
+    return slice_ranges(env, positions, max_rate=HUB_MAX_RATE).select(
+        "hub", "partition_id", "seqNumber", "from_seq", "until_seq")
+
+
 def q_partition_lag(spark, sf_dir):
     saved = ledger_as_of(ledger(spark, sf_dir), UID, AS_OF_BATCH)
     return partition_lag(events(spark, sf_dir), saved)
 
 
+def q_total_lag(spark, sf_dir):
+    return total_lag(q_partition_lag(spark, sf_dir))
+
+
 # --- 2.2 projections -----------------------------------------------------------------------------
 def q_payload_text(spark, sf_dir):
     return decode_payload(events(spark, sf_dir))
@@ -211,7 +227,9 @@ BATCH_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "start_from_offset": q_start_from_offset,
     "start_from_time": q_start_from_time,
     "slice_ranges": q_slice_ranges,
+    "slice_ranges_per_hub": q_slice_ranges_per_hub,
     "partition_lag": q_partition_lag,
+    "total_lag": q_total_lag,
     "non_empty": q_non_empty,
     "window_counts": q_window_counts,
     "running_total": q_running_total,
