@@ -92,6 +92,24 @@ def window_counts(df: DataFrame, interval_seconds: int, time_col: str = "enqueue
     return hits.unionByName(zeros).groupBy("window_start").agg(F.sum("n").alias("n"))
 
 
+def fill_idle(counts: DataFrame, interval_seconds: int, start: int | None = None,
+              end: int | None = None) -> DataFrame:
+    """Add ``n = 0`` rows for the intervals missing from ``(window_start, n)``
+    rows, e.g. the output of ``stream_window_counts``, between the first and
+    the last interval (or ``start``/``end``)."""
+    iv = _check_interval(interval_seconds)
+    rows = counts.select(F.col("window_start").cast("long").alias("window_start"), F.col("n").cast("long").alias("n"))
+    bounds = rows.agg(F.min("window_start").alias("_lo"), F.max("window_start").alias("_hi"))
+    lo = F.col("_lo") if start is None else F.lit(int(start) - int(start) % iv).cast("long")
+    hi = F.col("_hi") if end is None else F.lit(int(end) - int(end) % iv).cast("long")
+    zeros = window_spine(lo, hi, bounds, iv).select("window_start", F.lit(0).cast("long").alias("n"))
+    if start is not None:
+        rows = rows.filter(F.col("window_start") >= int(start) - int(start) % iv)
+    if end is not None:
+        rows = rows.filter(F.col("window_start") <= int(end) - int(end) % iv)
+    return rows.unionByName(zeros).groupBy("window_start").agg(F.sum("n").alias("n"))
+
+
 def running_total(counts: DataFrame, block_seconds: int = SECONDS_PER_DAY) -> DataFrame:
     """Add ``total``, the number of events up to and including each interval.
 

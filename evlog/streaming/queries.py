@@ -14,8 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evlog.plans import queries as Q
-from evlog.plans.oracle import ENV, _with
+from evlog.plans.oracle import ENV, SQL, _with
 from evlog.session import work_path
+from evlog.operators.counts import fill_idle
 from evlog.sources.events import read_events, union_hubs
 from evlog.streaming import sinks
 from evlog.streaming.stream import stream_running_total, stream_window_counts
@@ -43,6 +44,12 @@ def q_stream_window_counts(spark, sf_dir):
     return sinks.read_upserts(spark, f"{base}/out", ["window_start"])
 
 
+def q_stream_window_counts_filled(spark, sf_dir):
+    """Streamed per-interval counts with idle intervals filled in afterwards:
+    equal to the batch ``window_counts``."""
+    return fill_idle(q_stream_window_counts(spark, sf_dir), Q.WINDOW_SECONDS)
+
+
 def q_stream_running_total(spark, sf_dir):
     base = work_path(spark, "stream-total")
     totals = stream_running_total(_stream(spark, sf_dir))
@@ -100,6 +107,7 @@ def q_sink_total_text(spark, sf_dir):
 
 STREAM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "stream_window_counts": q_stream_window_counts,
+    "stream_window_counts_filled": q_stream_window_counts_filled,
     "stream_running_total": q_stream_running_total,
     "stream_union_hubs": q_stream_union_hubs,
     "sink_json_latest": q_sink_json_latest,
@@ -115,6 +123,7 @@ _HUB_CASE = " ".join(f"WHEN '{k}' THEN {Q.HUB_PARTITIONS[k]}" for k in STREAM_HU
 STREAM_SQL: dict[str, str] = {
     "stream_window_counts": _with(ENV) + f"""SELECT enqueuedTime - enqueuedTime % {Q.WINDOW_SECONDS} AS window_start,
         count(*) AS n FROM env GROUP BY 1""",
+    "stream_window_counts_filled": SQL["window_counts"],
     "stream_running_total": "SELECT 'StreamLength' AS key, count(*) AS total FROM events",
     "stream_union_hubs": f"""SELECT event_type AS hub, CAST(user_id % (CASE event_type {_HUB_CASE} END) AS INTEGER)
         AS partition_id, event_id AS seqNumber, event_type AS partitionKey FROM events

@@ -142,21 +142,26 @@ def jdbc_options(url: str, table: str, properties: Mapping[str, str] | None = No
     return opts
 
 
-def jdbc_writer(url: str, table: str, properties: Mapping[str, str] | None = None) -> BatchWriter:
+def jdbc_writer(url: str, table: str, properties: Mapping[str, str] | None = None,
+                dedupe_key: bool = False) -> BatchWriter:
     """Appends the payload rows with bound parameters, ``batchsize`` rows per
-    round trip; the table is created on first write. At-least-once."""
+    round trip; the table is created on first write. At-least-once: with
+    ``dedupe_key`` every row also carries ``hub, partition_id, seqNumber``,
+    which identify an event, so the target can drop replayed rows."""
     opts = jdbc_options(url, table, properties)
+    keep = PARTITION_KEY + ["seqNumber"] if dedupe_key else []
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        rows = decode_payload(batch).select(PAYLOAD_COLUMN)
+        rows = decode_payload(batch, keep=keep)
         rows.write.format("jdbc").options(**opts).mode("append").save()
 
     return write
 
 
 def sink_jdbc(stream: DataFrame, url: str, table: str, checkpoint: str, properties: Mapping[str, str] | None = None,
-              trigger_seconds: int | None = None, available_now: bool = False) -> StreamingQuery:
-    return _start(stream.writeStream.foreachBatch(jdbc_writer(url, table, properties)), checkpoint,
+              trigger_seconds: int | None = None, available_now: bool = False,
+              dedupe_key: bool = False) -> StreamingQuery:
+    return _start(stream.writeStream.foreachBatch(jdbc_writer(url, table, properties, dedupe_key)), checkpoint,
                   trigger_seconds, available_now)
 
 

@@ -95,3 +95,12 @@ def test_operators_on_empty_input(spark):
     assert batch_report(ledger_rows(env, "enqueuedTime", "u")).count() == 0
     assert slice_ranges(env, pos).count() == 0
     assert partition_lag(env, pos).count() == 0
+
+
+def test_fill_idle(spark):
+    from evlog.operators.counts import fill_idle
+
+    counts = spark.createDataFrame([(60, 2), (240, 1)], "window_start long, n long")
+    assert {r.window_start: r.n for r in fill_idle(counts, 60).collect()} == {60: 2, 120: 0, 180: 0, 240: 1}
+    wide = {r.window_start: r.n for r in fill_idle(counts, 60, start=0, end=180).collect()}
+    assert wide == {0: 0, 60: 2, 120: 0, 180: 0}

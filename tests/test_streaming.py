@@ -146,6 +146,7 @@ def test_jobs_run_to_completion(spark, staged, scratch):
 
 
 def test_jdbc_options():
+    assert callable(sinks.jdbc_writer("jdbc:x://h/db", "events", dedupe_key=True))
     opts = sinks.jdbc_options("jdbc:x://h/db", "events", {"user": "u"})
     assert opts["batchsize"] == "1000" and opts["createTableColumnTypes"] == "EventDetails VARCHAR(128)"
     assert opts["dbtable"] == "events" and opts["user"] == "u"
