@@ -90,3 +90,46 @@ def test_sequence_gaps_brute_force(spark, events):
             want[(p, b)] = (n, min(seqs), max(seqs), max(seqs) - min(seqs) - n + 1, min(seqs) - (prev + 1))
             prev = max(seqs)
     assert got == want
+
+
+@SETTINGS
+@given(st.lists(st.tuples(st.integers(0, 3), st.integers(0, 6)), min_size=1, max_size=40))
+def test_ledger_rows_brute_force(spark, cells):
+    from evlog.operators.ledger import ledger_rows
+
+    # seq numbers increase with the batch, as in a log; offsets are seq * 10.
+    rows = [("h", p, "x", i * 10, i, b) for i, (p, b) in enumerate(sorted(cells, key=lambda c: c[1]))]
+    got = {(r.batch_ts, r.partition_id): (r.end_offset, r.end_seq, r.n)
+           for r in ledger_rows(envelope_rows(spark, rows), "enqueuedTime", "u").collect()}
+    lo, hi = min(r[5] for r in rows), max(r[5] for r in rows)
+    want = {}
+    for p in {r[1] for r in rows}:
+        pos = (-1, -1)
+        for b in range(lo, hi + 1):
+            mine = [r for r in rows if r[1] == p and r[5] == b]
+            if mine:
+                top = max(mine, key=lambda r: r[4])
+                pos = (top[3], top[4])
+            want[(b, p)] = (pos[0], pos[1], len(mine))
+    assert got == want
+
+
+@SETTINGS
+@given(st.lists(st.tuples(st.integers(0, 2), st.integers(0, 40)), min_size=1, max_size=60,
+                unique_by=lambda x: x), st.dictionaries(st.integers(0, 2), st.integers(-1, 30), max_size=3),
+       st.integers(1, 15))
+def test_slice_ranges_brute_force(spark, events, starts, rate):
+    from evlog.sources.positions import slice_ranges
+
+    env = envelope_rows(spark, [("h", p, "x", s, s, 0) for p, s in events])
+    pos = spark.createDataFrame([("h", p, s) for p, s in starts.items()] or [("h", 99, 0)],
+                                "hub string, partition_id int, end_seq long")
+    got = sorted((r.partition_id, r.seqNumber) for r in slice_ranges(env, pos, max_rate=rate).collect())
+    want = []
+    for p, start in starts.items():
+        seqs = [s for q, s in events if q == p]
+        if not seqs:
+            continue
+        until = min(max(seqs), start + rate)
+        want += [(p, s) for s in seqs if start < s <= until]
+    assert got == sorted(want)
