@@ -16,11 +16,11 @@ from pyspark.sql import functions as F
 
 from evlog.operators.counts import end_positions, spread_range
 from evlog.plans.joins import join_small
-from evlog.schema import (LEDGER_COLUMNS, PARTITION_KEY, RANGE_DESCRIPTION_FORMAT, START_OF_LOG)
+from evlog.schema import (LEDGER_COLUMNS, LEDGER_TEXT_FORMAT, PARTITION_KEY, RANGE_DESCRIPTION_FORMAT,
+                          START_OF_LOG)
 from evlog.sources.events import partition_name
 
 POSITION_COLUMNS = ["end_offset", "end_seq"]
-LEDGER_TEXT_FORMAT = "%d %s %s %d %d %d"
 _INTEGER_TEXT = r"^[+-]?[0-9]+$"
 
 

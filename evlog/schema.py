@@ -30,6 +30,10 @@ CONSOLE_ROWS = 10
 PARTITION_NAME_FORMAT = "%s-partition-%d"
 # One line of the batch report per partition.
 RANGE_DESCRIPTION_FORMAT = "eventhub: %s\tstarting offsets: %dsequenceNumbers: %d to %d"
+# Text form of the running total.
+TOTAL_TEXT_FORMAT = "(%s,%d)"
+# Text form of a ledger record: batch, reader id, hub, partition, offset, sequence number.
+LEDGER_TEXT_FORMAT = "%d %s %s %d %d %d"
 # --- end of fixed values ---
 
 # Layout of the landed event table the sources read (the driver's ``events``).

@@ -20,7 +20,7 @@ from pyspark.sql.streaming import StreamingQuery
 from evlog.functions.payload import decode_payload, encode_json
 from evlog.operators.counts import end_positions
 from evlog.schema import (CONSOLE_ROWS, JDBC_BATCH_SIZE, JDBC_PAYLOAD_TYPE, PARTITION_KEY, PAYLOAD_COLUMN,
-                          STREAM_LENGTH_KEY, START_OF_LOG, TABLE_COLUMN)
+                          STREAM_LENGTH_KEY, START_OF_LOG, TABLE_COLUMN, TOTAL_TEXT_FORMAT)
 
 POSITION_COLUMNS = ["end_offset", "end_seq"]
 
@@ -168,7 +168,7 @@ def sink_jdbc(stream: DataFrame, url: str, table: str, checkpoint: str, properti
 # --- K5: running total as text ------------------------------------------------------------------
 def total_text(totals: DataFrame) -> DataFrame:
     """``(key, total)`` rows -> text ``(StreamLength,N)``."""
-    return totals.select(F.format_string("(%s,%d)", "key", "total").alias("value"))
+    return totals.select(F.format_string(TOTAL_TEXT_FORMAT, "key", "total").alias("value"))
 
 
 def total_text_writer(prefix: str) -> BatchWriter:
