@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from evlog.functions.payload import count_non_empty
 from evlog.plans.joins import join_small
 from evlog.schema import PARTITION_KEY
+from evlog.session import materialize
 
 SECONDS_PER_DAY = 86400
 # Windows generated per spine block; keeps every generated array small.
@@ -120,7 +121,7 @@ def running_total(counts: DataFrame, block_seconds: int = SECONDS_PER_DAY) -> Da
     so the events are aggregated once.
     """
     blk = _check_interval(block_seconds)
-    base = counts.select("window_start", "n").checkpoint(eager=True)
+    base = materialize(counts.select("window_start", "n"))
     base = base.withColumn("_blk", interval_start("window_start", blk))
     per_block = base.groupBy("_blk").agg(F.sum("n").alias("_blk_n"))
     before = per_block.select(

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evlog.session import ensure_checkpoint_dir
+from evlog.session import materialize
 
 # Upper bound for a broadcast side (rows). A position row is ~60 bytes, so the
 # largest broadcast table is ~12 MB.
@@ -22,8 +22,7 @@ MAX_BROADCAST_ROWS = 200_000
 
 def materialize_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> tuple[DataFrame, bool]:
     """Checkpoint ``df`` and report whether it has at most ``max_rows`` rows."""
-    ensure_checkpoint_dir(df.sparkSession)
-    saved = df.checkpoint(eager=True)
+    saved = materialize(df)
     fits = saved.limit(max_rows + 1).count() <= max_rows
     return saved, fits
 

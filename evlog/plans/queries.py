@@ -17,6 +17,7 @@ from evlog.functions.payload import count_non_empty, decode_payload, encode_json
 from evlog.operators.counts import end_positions, running_total, sequence_gaps, window_counts
 from evlog.operators.ledger import (batch_report, format_ledger, ledger_as_of, ledger_audit, ledger_batch,
                                     ledger_merge, ledger_retain, ledger_rows, lost_partitions, parse_ledger)
+from evlog.session import materialize
 from evlog.sources.events import read_events, read_partition, union_hubs, union_partitions
 from evlog.sources.positions import partition_lag, slice_ranges, start_from, total_lag
 
@@ -51,7 +52,7 @@ def ledger(spark: SparkSession, sf_dir: str, fill: bool = True) -> DataFrame:
     """The hourly read ledger of the events. A ledger is a stored table, one
     row per partition per batch; it is materialised once in the shared
     checkpoint folder, so the lookups below do not rebuild it from events."""
-    return ledger_rows(events(spark, sf_dir), hour(), UID, fill=fill).checkpoint(eager=True)
+    return materialize(ledger_rows(events(spark, sf_dir), hour(), UID, fill=fill))
 
 
 def _expected(spark: SparkSession, sf_dir: str) -> DataFrame:

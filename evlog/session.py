@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings the library assumes; all are plain Spark configuration.
 DEFAULT_CONF = {
@@ -53,3 +53,10 @@ def work_path(spark: SparkSession, name: str) -> str:
     """A new, unique folder under the shared checkpoint folder."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/evlog-{name}-{uuid.uuid4().hex[:12]}"
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """``df.checkpoint()`` into the shared checkpoint folder: computed once,
+    lineage cut, and recomputable from files if an executor is lost."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
