@@ -98,6 +98,12 @@ def q_stream_ledger(spark, sf_dir):
     return sinks.read_ledger(spark, f"{base}/ledger")
 
 
+def q_stream_sequence_gaps(spark, sf_dir):
+    base = work_path(spark, "stream-gaps")
+    _run(sinks.sink_gaps(_stream(spark, sf_dir), f"{base}/gaps", f"{base}/cp", available_now=True))
+    return sinks.read_gaps(spark, f"{base}/gaps")
+
+
 def q_sink_total_text(spark, sf_dir):
     base = work_path(spark, "sink-total-text")
     totals = stream_running_total(_stream(spark, sf_dir))
@@ -116,6 +122,7 @@ STREAM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "sink_table": q_sink_table,
     "sink_total_text": q_sink_total_text,
     "stream_ledger": q_stream_ledger,
+    "stream_sequence_gaps": q_stream_sequence_gaps,
 }
 
 _HUB_CASE = " ".join(f"WHEN '{k}' THEN {Q.HUB_PARTITIONS[k]}" for k in STREAM_HUBS)
@@ -137,4 +144,10 @@ STREAM_SQL: dict[str, str] = {
     # One micro-batch (the whole table): batch 0 holds every partition's end position.
     "stream_ledger": _with(ENV) + f"""SELECT CAST(0 AS BIGINT) AS batch_ts, '{Q.UID}' AS uid, hub, partition_id,
         arg_max("offset", seqNumber) AS end_offset, max(seqNumber) AS end_seq, count(*) AS n FROM env GROUP BY ALL""",
+    # One micro-batch: every partition's previous maximum is 0.
+    "stream_sequence_gaps": _with(ENV) + """, g AS (
+        SELECT hub, partition_id, count(*) FILTER (WHERE length(body_text) > 0) AS n, min(seqNumber) AS min_seq,
+               max(seqNumber) AS max_seq FROM env GROUP BY ALL)
+        SELECT hub, partition_id, CAST(0 AS BIGINT) AS batch_ts, n, min_seq, max_seq,
+               max_seq - min_seq - n + 1 AS missing, min_seq - 1 AS discontinuity FROM g""",
 }

@@ -17,10 +17,12 @@ from pyspark.sql import functions as F
 from pyspark.errors import AnalysisException
 from pyspark.sql.streaming import StreamingQuery
 
-from evlog.functions.payload import decode_payload, encode_json
+from evlog.functions.payload import count_non_empty, decode_payload, encode_json
 from evlog.operators.counts import end_positions
+from evlog.plans.joins import join_small
 from evlog.schema import (CONSOLE_ROWS, JDBC_BATCH_SIZE, JDBC_PAYLOAD_TYPE, PARTITION_KEY, PAYLOAD_COLUMN,
                           STREAM_LENGTH_KEY, START_OF_LOG, TABLE_COLUMN, TOTAL_TEXT_FORMAT)
+from evlog.session import materialize
 
 POSITION_COLUMNS = ["end_offset", "end_seq"]
 
@@ -246,6 +248,59 @@ def read_ledger(spark: SparkSession, path: str) -> DataFrame:
     return df.select(F.col("batch_ts").cast("long").alias("batch_ts"), "uid", *PARTITION_KEY, *POSITION_COLUMNS, "n")
 
 
+# --- A3 in a stream: sequence gaps per batch ------------------------------------------------------
+def gaps_writer(path: str) -> BatchWriter:
+    """Per batch and partition: events with a body, min/max sequence number,
+    missing and discontinuity, under ``<path>/gaps/batch_ts=<batch id>``.
+
+    The previous maximum of each partition (0 before its first batch) is
+    carried in ``<path>/_last/batch_ts=<batch id>``, one row per partition, so
+    a partition that was idle for some batches still compares with its last
+    seen maximum, and a replayed batch rewrites both folders identically.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        cells = materialize(batch.groupBy(*PARTITION_KEY).agg(
+            count_non_empty("body").alias("n"), F.min("seqNumber").alias("min_seq"),
+            F.max("seqNumber").alias("max_seq")))
+        last = None
+        if batch_id > 0:
+            try:
+                last = spark.read.parquet(f"{path}/_last/batch_ts={int(batch_id) - 1}")
+            except AnalysisException:
+                last = None                              # first batch written to this folder
+        if last is None:
+            with_prev = cells.withColumn("last_max", F.lit(None).cast("long"))
+        else:
+            with_prev = join_small(cells, last, PARTITION_KEY, "left")
+        prev = F.coalesce(F.col("last_max"), F.lit(0).cast("long"))
+        gaps = with_prev.select(
+            *PARTITION_KEY, "n", "min_seq", "max_seq",
+            (F.col("max_seq") - F.col("min_seq") - F.col("n") + 1).alias("missing"),
+            (F.col("min_seq") - (prev + 1)).alias("discontinuity"))
+        gaps.write.mode("overwrite").parquet(f"{path}/gaps/batch_ts={int(batch_id)}")
+        carry = cells.select(*PARTITION_KEY, F.col("max_seq").alias("last_max"))
+        if last is not None:
+            carry = (carry.withColumn("_prio", F.lit(1))
+                     .unionByName(last.select(*PARTITION_KEY, "last_max").withColumn("_prio", F.lit(0)))
+                     .groupBy(*PARTITION_KEY).agg(F.max_by("last_max", "_prio").alias("last_max")))
+        carry.write.mode("overwrite").parquet(f"{path}/_last/batch_ts={int(batch_id)}")
+
+    return write
+
+
+def sink_gaps(stream: DataFrame, path: str, checkpoint: str, trigger_seconds: int | None = None,
+              available_now: bool = False) -> StreamingQuery:
+    return _start(stream.writeStream.foreachBatch(gaps_writer(path)), checkpoint, trigger_seconds, available_now)
+
+
+def read_gaps(spark: SparkSession, path: str) -> DataFrame:
+    df = spark.read.parquet(f"{path}/gaps")
+    return df.select(*PARTITION_KEY, F.col("batch_ts").cast("long").alias("batch_ts"), "n", "min_seq", "max_seq",
+                     "missing", "discontinuity")
+
+
 # --- keyed results of update-mode aggregations ------------------------------------------------------
 def upsert_writer(path: str) -> BatchWriter:
     """Each batch's updated rows under ``batch_id=N`` (idempotent)."""
@@ -279,4 +334,4 @@ def read_total_text(spark: SparkSession, prefix: str) -> DataFrame:
 
 
 __all__ = ["STREAM_LENGTH_KEY", "sink_json", "sink_parquet", "sink_table", "sink_jdbc", "sink_total_text",
-           "sink_console", "sink_ledger", "read_ledger", "sink_upserts", "read_upserts", "read_total_text"]
+           "sink_console", "sink_ledger", "read_ledger", "sink_gaps", "read_gaps", "sink_upserts", "read_upserts", "read_total_text"]

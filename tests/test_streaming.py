@@ -191,3 +191,35 @@ def test_stream_ledger_repeats_idle_partitions(spark, staged, scratch):
     sinks.ledger_writer(f"{scratch}/ledger", "ns1", expected)(
         read_events(spark, f"{staged}/part-002.parquet").filter((F.col("partition_id") != 3)), 2)
     assert sorted(sinks.read_ledger(spark, f"{scratch}/ledger").filter("batch_ts = 2").collect()) == before
+
+
+def test_stream_gaps_equal_batch_gaps(spark, staged, scratch):
+    from evlog.operators.counts import sequence_gaps
+
+    # Partition 3 is idle in batches 1 and 2, so batch 3 compares with its batch-0 maximum.
+    keep = (F.col("partition_id") != 3) | (F.col("seqNumber") < 2500) | (F.col("seqNumber") >= 7500)
+    run(sinks.sink_gaps(stream_of(spark, staged).filter(keep), f"{scratch}/g", f"{scratch}/cp", available_now=True))
+    got = sorted(tuple(r) for r in sinks.read_gaps(spark, f"{scratch}/g").collect())
+    env = read_events(spark, f"{MEDIUM}/events.parquet").filter(keep)
+    want = sorted(tuple(r) for r in sequence_gaps(env, F.floor(F.col("seqNumber") / 2500).cast("long")).collect())
+    assert got == want
+    p3 = [r for r in got if r[1] == 3]
+    assert [r[2] for r in p3] == [0, 3]
+
+
+def test_counts_survive_a_mid_stream_restart(spark, staged, scratch):
+    import time
+
+    def start(**trigger):
+        return sinks.sink_upserts(stream_window_counts(stream_of(spark, staged), 60), f"{scratch}/out",
+                                  f"{scratch}/cp", **trigger)
+
+    q = start(trigger_seconds=1)
+    deadline = time.monotonic() + 120
+    while (q.lastProgress is None or q.lastProgress["batchId"] < 1) and time.monotonic() < deadline:
+        time.sleep(0.2)
+    q.stop()                                     # stopped part-way: some files are still unread
+    run(start(available_now=True))               # restart from the checkpoint
+    got = {r.window_start: r.n for r in sinks.read_upserts(spark, f"{scratch}/out", ["window_start"]).collect()}
+    batch = read_events(spark, f"{MEDIUM}/events.parquet")
+    assert got == {r.window_start: r.n for r in window_counts(batch, 60, fill_empty=False).collect()}
