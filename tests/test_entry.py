@@ -11,6 +11,8 @@ from conftest import SMALL
 
 import __spark_entry__ as E
 
+DUCK_TYPES = {"bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "boolean": "BOOLEAN", "double": "DOUBLE",
+              "date": "DATE"}
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages benchmark "
           "labels conversations").split()
 
@@ -60,5 +62,8 @@ def test_query_matches_oracle(spark, duck, name):
     d_cols = [d[0] for d in res.description]
     d_rows = res.fetchall()
     assert sorted(df.columns) == sorted(d_cols)
+    spark_types = {f.name: DUCK_TYPES.get(f.dataType.simpleString(), f.dataType.simpleString())
+                   for f in df.schema.fields}
+    assert spark_types == {d[0]: str(d[1]) for d in res.description}
     assert len(s_rows) == len(d_rows)
     assert _canon(df.columns, s_rows) == _canon(d_cols, d_rows)
