@@ -68,6 +68,20 @@ def ledger_rows(df: DataFrame, batch_col: str | Column, uid: str, batch_step: in
         "batch_ts", F.lit(uid).alias("uid"), *PARTITION_KEY, *POSITION_COLUMNS, "n")
 
 
+def save_ledger(ledger: DataFrame, path: str) -> None:
+    """Store ledger rows as Parquet partitioned by ``batch_ts``. Only the
+    batches being written are replaced (dynamic partition overwrite), so
+    writing a batch again is idempotent and older batches stay untouched."""
+    (ledger.select(*LEDGER_COLUMNS).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("batch_ts").parquet(path))
+
+
+def load_ledger(spark, path: str) -> DataFrame:
+    """A stored ledger; filters on ``batch_ts`` prune whole batch folders."""
+    df = spark.read.parquet(path)
+    return df.select(F.col("batch_ts").cast("long").alias("batch_ts"), *[c for c in LEDGER_COLUMNS if c != "batch_ts"])
+
+
 def format_ledger(ledger: DataFrame) -> DataFrame:
     """Ledger rows -> text lines ``<batch_ts> <uid> <hub> <partition> <offset> <seq>``."""
     return ledger.select(F.format_string(LEDGER_TEXT_FORMAT, "batch_ts", "uid", "hub", "partition_id",
@@ -213,5 +227,5 @@ def batch_report(ledger: DataFrame) -> DataFrame:
     )
 
 
-__all__ = ["ledger_rows", "format_ledger", "parse_ledger", "ledger_as_of", "ledger_merge", "ledger_batch",
+__all__ = ["ledger_rows", "save_ledger", "load_ledger", "format_ledger", "parse_ledger", "ledger_as_of", "ledger_merge", "ledger_batch",
            "ledger_retain", "ledger_audit", "lost_partitions", "batch_report", "LEDGER_COLUMNS"]

@@ -198,6 +198,8 @@ SQL: dict[str, str] = {
               AND r.partition_id = x.partition_id AND r.batch_ts = (SELECT max(batch_ts) FROM raw_ledger))""",
     "ledger_batch": _ledger() + f"""SELECT uid, hub, partition_id, end_offset, end_seq FROM ledger
         WHERE batch_ts = {Q.AS_OF_BATCH}""",
+    "ledger_stored_batch": _ledger() + f"""SELECT uid, hub, partition_id, end_offset, end_seq FROM ledger
+        WHERE batch_ts = {Q.AS_OF_BATCH}""",
     "ledger_retain": _ledger() + f"""SELECT * FROM ledger WHERE batch_ts > {Q.AS_OF_BATCH}
         OR batch_ts = (SELECT max(batch_ts) FROM ledger WHERE batch_ts <= {Q.AS_OF_BATCH})""",
     "batch_report": _ledger() + """, r AS (

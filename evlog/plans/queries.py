@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 from evlog.functions.payload import count_non_empty, decode_payload, encode_json, payload_text
 from evlog.operators.counts import end_positions, running_total, sequence_gaps, window_counts
 from evlog.operators.ledger import (batch_report, format_ledger, ledger_as_of, ledger_audit, ledger_batch,
-                                    ledger_merge, ledger_retain, ledger_rows, lost_partitions, parse_ledger)
-from evlog.session import materialize
+                                    ledger_merge, ledger_retain, ledger_rows, load_ledger, lost_partitions,
+                                    parse_ledger, save_ledger)
+from evlog.session import materialize, work_path
 from evlog.sources.events import read_events, read_partition, union_hubs, union_partitions
 from evlog.sources.positions import partition_lag, slice_ranges, start_from, total_lag
 
@@ -207,6 +208,14 @@ def q_ledger_batch(spark, sf_dir):
     return ledger_batch(ledger(spark, sf_dir), AS_OF_BATCH)
 
 
+def q_ledger_stored_batch(spark, sf_dir):
+    """The ledger stored partitioned by batch, then one batch looked up: the
+    lookup reads a single batch folder."""
+    path = work_path(spark, "ledger")
+    save_ledger(ledger_rows(events(spark, sf_dir), hour(), UID), path)
+    return ledger_batch(load_ledger(spark, path), AS_OF_BATCH)
+
+
 def q_ledger_retain(spark, sf_dir):
     return ledger_retain(ledger(spark, sf_dir), AS_OF_BATCH)
 
@@ -244,6 +253,7 @@ BATCH_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "ledger_audit": q_ledger_audit,
     "lost_partitions": q_lost_partitions,
     "ledger_batch": q_ledger_batch,
+    "ledger_stored_batch": q_ledger_stored_batch,
     "ledger_retain": q_ledger_retain,
     "batch_report": q_batch_report,
 }

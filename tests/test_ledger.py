@@ -127,3 +127,20 @@ def test_batch_report(spark):
                                   "eventhub: h-partition-1\tstarting offsets: -1sequenceNumbers: -1 to 2")
     bad = ledger_df(spark, [(1, "u", "h", 0, 64, 9, 1), (2, "u", "h", 0, 64, 3, 1)])
     assert not {r.batch_ts: r.valid for r in batch_report(bad).collect()}[2]
+
+
+def test_saved_ledger_is_idempotent_and_pruned(spark, scratch):
+    import contextlib
+    import io
+
+    from evlog.operators.ledger import load_ledger, save_ledger
+
+    path = f"{scratch}/ledger"
+    save_ledger(_ledger(spark), path)
+    save_ledger(_ledger(spark).filter("batch_ts = 20"), path)      # rewrite one batch
+    back = load_ledger(spark, path)
+    assert sorted(back.collect()) == sorted(_ledger(spark).collect())
+    buf = io.StringIO()
+    with contextlib.redirect_stdout(buf):
+        ledger_batch(back, 20).explain(mode="formatted")
+    assert "PartitionFilters: [isnotnull(batch_ts" in buf.getvalue() and "= 20)" in buf.getvalue()
