@@ -115,12 +115,12 @@ def table_job(spark: SparkSession, cfg: JobConfig, table: str, total_prefix: str
 
 
 def jdbc_job(spark: SparkSession, cfg: JobConfig, url: str, table: str, total_prefix: str,
-             properties: dict | None = None) -> list[StreamingQuery]:
+             properties: dict | None = None, dedupe_key: bool = False) -> list[StreamingQuery]:
     """Payload rows inserted into a JDBC table plus counts."""
     stream = read_stream(spark, cfg)
     base = cfg.checkpoint.rstrip("/")
     queries = [sinks.sink_jdbc(stream, url, table, f"{base}/_cp/jdbc", properties, cfg.interval_seconds,
-                               cfg.available_now)]
+                               cfg.available_now, dedupe_key)]
     queries += _counts(spark, cfg, stream, total_prefix)
     await_queries(queries, cfg.timeout_minutes if not cfg.available_now else None)
     return queries

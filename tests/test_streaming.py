@@ -223,3 +223,18 @@ def test_counts_survive_a_mid_stream_restart(spark, staged, scratch):
     got = {r.window_start: r.n for r in sinks.read_upserts(spark, f"{scratch}/out", ["window_start"]).collect()}
     batch = read_events(spark, f"{MEDIUM}/events.parquet")
     assert got == {r.window_start: r.n for r in window_counts(batch, 60, fill_empty=False).collect()}
+
+
+def test_cli_runs_jobs(spark, staged, scratch):
+    from evlog.cli import main, parser
+
+    common = ["--source", staged, "--file-glob", "part-*.parquet", "--available-now", "--interval", "60"]
+    main(["count", "--checkpoint", f"{scratch}/c", "--total-prefix", f"{scratch}/total", *common], spark)
+    assert max(r.total for r in sinks.read_total_text(spark, f"{scratch}/total").collect()) == 10_000
+    main(["parquet", "--checkpoint", f"{scratch}/p", "--out", f"{scratch}/pq", *common], spark)
+    assert spark.read.parquet(f"{scratch}/pq").count() == 10_000
+    args = parser().parse_args(["jdbc", "--source", "s", "--checkpoint", "c", "--total-prefix", "t",
+                                "--url", "jdbc:x://h/db", "--jdbc-table", "events", "--dedupe-key"])
+    assert args.dedupe_key and args.jdbc_table == "events" and args.interval == 10
+    with pytest.raises(SystemExit):
+        parser().parse_args(["count", "--source", "s"])
