@@ -71,9 +71,11 @@ def ledger_rows(df: DataFrame, batch_col: str | Column, uid: str, batch_step: in
 def save_ledger(ledger: DataFrame, path: str) -> None:
     """Store ledger rows as Parquet partitioned by ``batch_ts``. Only the
     batches being written are replaced (dynamic partition overwrite), so
-    writing a batch again is idempotent and older batches stay untouched."""
-    (ledger.select(*LEDGER_COLUMNS).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("batch_ts").parquet(path))
+    writing a batch again is idempotent and older batches stay untouched.
+    Rows are first grouped by batch (a batch holds one row per partition and
+    reader, so no batch is large): one file per batch folder."""
+    (ledger.select(*LEDGER_COLUMNS).repartition("batch_ts").write.mode("overwrite")
+     .option("partitionOverwriteMode", "dynamic").partitionBy("batch_ts").parquet(path))
 
 
 def load_ledger(spark, path: str) -> DataFrame:

@@ -20,11 +20,15 @@ ENV = f"""env AS (
          props
   FROM events)"""
 
-CELLS = f"""cells AS (
-  SELECT enqueuedTime // {Q.LEDGER_BATCH_SECONDS} AS batch_ts, hub, partition_id,
+def _cells(batch_seconds: int) -> str:
+    return f"""cells AS (
+  SELECT enqueuedTime // {batch_seconds} AS batch_ts, hub, partition_id,
          arg_max("offset", seqNumber) AS end_offset, max(seqNumber) AS end_seq, count(*) AS n
   FROM env GROUP BY ALL)"""
 
+
+CELLS = _cells(Q.LEDGER_BATCH_SECONDS)
+
 LEDGER = f"""parts AS (SELECT DISTINCT hub, partition_id FROM cells),
 rng AS (SELECT min(batch_ts) AS lo, max(batch_ts) AS hi FROM cells),
 grid AS (SELECT hub, partition_id, unnest(generate_series(lo, hi)) AS batch_ts FROM parts, rng),
@@ -198,8 +202,8 @@ SQL: dict[str, str] = {
               AND r.partition_id = x.partition_id AND r.batch_ts = (SELECT max(batch_ts) FROM raw_ledger))""",
     "ledger_batch": _ledger() + f"""SELECT uid, hub, partition_id, end_offset, end_seq FROM ledger
         WHERE batch_ts = {Q.AS_OF_BATCH}""",
-    "ledger_stored_batch": _ledger() + f"""SELECT uid, hub, partition_id, end_offset, end_seq FROM ledger
-        WHERE batch_ts = {Q.AS_OF_BATCH}""",
+    "ledger_stored_batch": _with(ENV, _cells(Q.STORED_BATCH_SECONDS), LEDGER) + f"""SELECT uid, hub, partition_id,
+        end_offset, end_seq FROM ledger WHERE batch_ts = {Q.STORED_AS_OF_BATCH}""",
     "ledger_retain": _ledger() + f"""SELECT * FROM ledger WHERE batch_ts > {Q.AS_OF_BATCH}
         OR batch_ts = (SELECT max(batch_ts) FROM ledger WHERE batch_ts <= {Q.AS_OF_BATCH})""",
     "batch_report": _ledger() + """, r AS (

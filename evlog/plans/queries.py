@@ -37,6 +37,8 @@ PROPERTY_KEYS = ["k", "missing"]
 HUB_PARTITIONS = {"click": 2, "view": 3, "purchase": 4, "signup": 1, "error": 2}
 HUB_MAX_RATE = {"click": 50, "view": 120, "purchase": 10, "signup": 300}   # "error" keeps the default
 LAST_BATCH_SECONDS = 600             # the update batch of ledger_merge: the final 10 minutes
+STORED_BATCH_SECONDS = 86400         # the stored ledger has daily batches
+STORED_AS_OF_BATCH = 19731           # day number of 2024-01-09
 
 
 def events(spark: SparkSession, sf_dir: str, **envelope) -> DataFrame:
@@ -209,11 +211,12 @@ def q_ledger_batch(spark, sf_dir):
 
 
 def q_ledger_stored_batch(spark, sf_dir):
-    """The ledger stored partitioned by batch, then one batch looked up: the
-    lookup reads a single batch folder."""
+    """A daily ledger stored partitioned by batch, then one batch looked up:
+    the lookup reads a single batch folder."""
     path = work_path(spark, "ledger")
-    save_ledger(ledger_rows(events(spark, sf_dir), hour(), UID), path)
-    return ledger_batch(load_ledger(spark, path), AS_OF_BATCH)
+    day = F.floor(F.col("enqueuedTime") / STORED_BATCH_SECONDS).cast("long")
+    save_ledger(ledger_rows(events(spark, sf_dir), day, UID), path)
+    return ledger_batch(load_ledger(spark, path), STORED_AS_OF_BATCH)
 
 
 def q_ledger_retain(spark, sf_dir):
