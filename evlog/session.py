@@ -38,7 +38,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     ``spark.checkpoint.dir`` is read from the session. Only when it is unset
     (a test or a laptop) is a fresh local folder created and registered.
     """
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - a Spark Connect session has no SparkContext
+        base = spark.conf.get("spark.checkpoint.dir", None)
+        if not base:
+            raise RuntimeError("spark.checkpoint.dir must be set on a Spark Connect server") from None
+        return base
     current = sc.getCheckpointDir()
     if current:
         return current
