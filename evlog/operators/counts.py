@@ -111,9 +111,13 @@ def fill_idle(counts: DataFrame, interval_seconds: int, start: int | None = None
     return rows.unionByName(zeros).groupBy("window_start").agg(F.sum("n").alias("n"))
 
 
-def running_total(counts: DataFrame, block_seconds: int = SECONDS_PER_DAY) -> DataFrame:
+def running_total(counts: DataFrame, interval_seconds: int | None = None,
+                  block_seconds: int = SECONDS_PER_DAY) -> DataFrame:
     """Add ``total``, the number of events up to and including each interval.
 
+    ``counts`` is ``window_counts`` output (``window_start, n``), or events,
+    which are first counted per ``interval_seconds`` (idle intervals as 0).
+
     Two levels instead of one global ordered window (which would run on a
     single task): per-block totals get a prefix sum (one row per block, e.g.
     per day), then each block computes its own running sum in parallel and adds
@@ -121,6 +125,10 @@ def running_total(counts: DataFrame, block_seconds: int = SECONDS_PER_DAY) -> Da
     so the events are aggregated once.
     """
     blk = _check_interval(block_seconds)
+    if not {"window_start", "n"} <= set(counts.columns):
+        if interval_seconds is None:
+            raise ValueError("events need interval_seconds to be counted first")
+        counts = window_counts(counts, interval_seconds)
     base = materialize(counts.select("window_start", "n"))
     base = base.withColumn("_blk", interval_start("window_start", blk))
     per_block = base.groupBy("_blk").agg(F.sum("n").alias("_blk_n"))

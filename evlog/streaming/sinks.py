@@ -23,6 +23,7 @@ from evlog.plans.joins import join_small
 from evlog.schema import (CONSOLE_ROWS, JDBC_BATCH_SIZE, JDBC_PAYLOAD_TYPE, PARTITION_KEY, PAYLOAD_COLUMN,
                           STREAM_LENGTH_KEY, START_OF_LOG, TABLE_COLUMN, TOTAL_TEXT_FORMAT)
 from evlog.session import materialize
+from evlog.streaming.stream import stream_running_total
 
 POSITION_COLUMNS = ["end_offset", "end_seq"]
 
@@ -183,7 +184,10 @@ def total_text_writer(prefix: str) -> BatchWriter:
 def sink_total_text(totals: DataFrame, prefix: str, checkpoint: str, trigger_seconds: int | None = None,
                     available_now: bool = False) -> StreamingQuery:
     """Writes the running total after every batch under ``<prefix>-<batch id>``.
-    ``totals`` is ``stream_running_total(...)`` (complete mode)."""
+    ``totals`` is ``stream_running_total(...)`` (complete mode), or the event
+    stream itself, which is then totalled."""
+    if not {"key", "total"} <= set(totals.columns):
+        totals = stream_running_total(totals)
     writer = totals.writeStream.outputMode("complete").foreachBatch(total_text_writer(prefix))
     return _start(writer, checkpoint, trigger_seconds, available_now)
 

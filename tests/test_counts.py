@@ -104,3 +104,11 @@ def test_fill_idle(spark):
     assert {r.window_start: r.n for r in fill_idle(counts, 60).collect()} == {60: 2, 120: 0, 180: 0, 240: 1}
     wide = {r.window_start: r.n for r in fill_idle(counts, 60, start=0, end=180).collect()}
     assert wide == {0: 0, 60: 2, 120: 0, 180: 0}
+
+
+def test_running_total_from_events(spark):
+    env = envelope_rows(spark, [("h", 0, "a", 0, 0, 100), ("h", 0, "a", 1, 1, 119), ("h", 0, "a", 2, 2, 185)])
+    got = [(r.window_start, r.n, r.total) for r in running_total(env, 60).orderBy("window_start").collect()]
+    assert got == [(60, 2, 2), (120, 0, 2), (180, 1, 3)]
+    with pytest.raises(ValueError):
+        running_total(env)
