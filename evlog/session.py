@@ -19,6 +19,20 @@ DEFAULT_CONF = {
 }
 
 
+# Starting points for a large cluster (pass as ``get_session(**CLUSTER_CONF)``
+# or in spark-defaults). Shuffle width is left to adaptive execution from a
+# high initial number; scans use larger splits; streaming state lives in
+# RocksDB instead of the executor heap.
+CLUSTER_CONF = {
+    "spark.sql.adaptive.coalescePartitions.initialPartitionNum": "8192",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
+    "spark.sql.files.maxPartitionBytes": "512m",
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
+
+
 def get_session(master: str = "local[*]", shuffle_partitions: int = 8, app: str = "evlog", **conf) -> SparkSession:
     """Build (or reuse) a session with the library's settings."""
     builder = SparkSession.builder.master(master).appName(app)
