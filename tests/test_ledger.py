@@ -6,9 +6,6 @@ from evlog.operators.ledger import (batch_report, format_ledger, ledger_as_of, l
                                     ledger_merge, ledger_retain, ledger_rows, lost_partitions, parse_ledger)
 from evlog.schema import LEDGER_SCHEMA
 
-LEDGER_DDL = "batch_ts long, uid string, hub string, partition_id int, end_offset long, end_seq long, n long"
-
-
 def ledger_df(spark, rows):
     return spark.createDataFrame(rows, LEDGER_SCHEMA)
 
