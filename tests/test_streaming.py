@@ -92,6 +92,9 @@ def test_parquet_sink_partitions_by_date(spark, staged, scratch):
     assert back.select("enqueued_date").distinct().count() == 30
     dirs = [d for d in os.listdir(f"{scratch}/out") if d.startswith("enqueued_date=")]
     assert len(dirs) == 30
+    # Restarting on the same checkpoint adds nothing: the file sink's log makes it exactly-once.
+    run(sinks.sink_parquet(stream_of(spark, staged), f"{scratch}/out", f"{scratch}/cp", available_now=True))
+    assert spark.read.parquet(f"{scratch}/out").count() == 10_000
 
 
 def test_table_sink_is_idempotent(spark, staged, scratch):
