@@ -67,3 +67,21 @@ def test_query_matches_oracle(spark, duck, name):
     assert spark_types == {d[0]: str(d[1]) for d in res.description}
     assert len(s_rows) == len(d_rows)
     assert _canon(df.columns, s_rows) == _canon(d_cols, d_rows)
+
+
+def test_queries_do_not_depend_on_session_settings(spark, duck):
+    """Other time zone, ANSI off, other shuffle width: same results."""
+    settings = {"spark.sql.session.timeZone": "Asia/Kolkata", "spark.sql.ansi.enabled": "false",
+                "spark.sql.shuffle.partitions": "13"}
+    old = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        for name, fn in E.queries().items():
+            df = fn(spark, SMALL)
+            res = duck.execute(E.oracle_sql()[name])
+            d_cols = [d[0] for d in res.description]
+            assert _canon(df.columns, [tuple(r) for r in df.collect()]) == _canon(d_cols, res.fetchall()), name
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
