@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evlog.functions.payload import count_non_empty
+from evlog.operators.ordered import with_previous
 from evlog.plans.joins import join_small
 from evlog.schema import PARTITION_KEY
 from evlog.session import materialize
@@ -142,19 +143,23 @@ def running_total(counts: DataFrame, interval_seconds: int | None = None,
     return joined.select("window_start", "n", (F.col("_before") + F.sum("n").over(inside)).cast("long").alias("total"))
 
 
-def sequence_gaps(df: DataFrame, batch_col: str | Column, batch_name: str = "batch_ts") -> DataFrame:
+def sequence_gaps(df: DataFrame, batch_col: str | Column, batch_name: str = "batch_ts",
+                  batch_step: int = 1) -> DataFrame:
     """Per partition and batch: events with a body, min/max sequence number,
     ``missing = max - min - n + 1`` and ``discontinuity = min - (previous max + 1)``
     (the previous max of a partition's first batch is 0). Empty bodies count
-    as missing, and a log that starts at sequence 0 shows discontinuity -1."""
+    as missing, and a log that starts at sequence 0 shows discontinuity -1.
+
+    The previous batch of a partition is found in blocks of batches
+    (``batch_step`` apart), so no task holds a partition's whole history."""
     batch = F.col(batch_col) if isinstance(batch_col, str) else batch_col
-    per_batch = df.groupBy(*PARTITION_KEY, batch.alias(batch_name)).agg(
+    per_batch = df.groupBy(*PARTITION_KEY, batch.cast("long").alias(batch_name)).agg(
         count_non_empty("body").alias("n"),
         F.min("seqNumber").alias("min_seq"),
         F.max("seqNumber").alias("max_seq"),
     )
-    w = Window.partitionBy(*PARTITION_KEY).orderBy(batch_name)
-    prev_max = F.coalesce(F.lag("max_seq").over(w), F.lit(0))
+    per_batch = with_previous(per_batch, PARTITION_KEY, batch_name, ["max_seq"], step=batch_step)
+    prev_max = F.coalesce(F.col("prev_max_seq"), F.lit(0))
     return per_batch.select(
         *PARTITION_KEY, batch_name, "n", "min_seq", "max_seq",
         (F.col("max_seq") - F.col("min_seq") - F.col("n") + 1).alias("missing"),

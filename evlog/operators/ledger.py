@@ -11,10 +11,11 @@ literal, so no cross join and no single-task window is ever needed.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evlog.operators.counts import end_positions, spread_range
+from evlog.operators.ordered import fill_forward, with_previous
 from evlog.plans.joins import join_small
 from evlog.schema import (LEDGER_COLUMNS, LEDGER_TEXT_FORMAT, PARTITION_KEY, RANGE_DESCRIPTION_FORMAT,
                           START_OF_LOG)
@@ -34,8 +35,9 @@ def ledger_rows(df: DataFrame, batch_col: str | Column, uid: str, batch_step: in
     ``fill`` every batch between the first and the last one gets a row for
     every partition (``expected``, or every partition seen); a partition with
     no new data repeats its previous position (``-1, -1`` before its first
-    event) with ``n = 0``. The fill is one window pass per partition over the
-    aggregated cells, never over raw events.
+    event) with ``n = 0``. The fill works on aggregated cells, never on raw
+    events, in blocks of batches (``operators.ordered``), so no task holds a
+    partition's whole history.
     """
     batch = F.col(batch_col) if isinstance(batch_col, str) else batch_col
     cells = end_positions(df.withColumn("batch_ts", batch.cast("long")), by=[*PARTITION_KEY, "batch_ts"])
@@ -50,22 +52,17 @@ def ledger_rows(df: DataFrame, batch_col: str | Column, uid: str, batch_step: in
     hi = cells.select(F.max("batch_ts")).scalar()
     grid = spread_range(partitions, lo, hi, step, "batch_ts", keys=PARTITION_KEY).select(
         *PARTITION_KEY, "batch_ts", F.lit(None).cast("long").alias("end_offset"),
-        F.lit(None).cast("long").alias("end_seq"), F.lit(0).cast("long").alias("n"), F.lit(1).alias("_grid"))
-    real = cells.select(*PARTITION_KEY, "batch_ts", *POSITION_COLUMNS, "n", F.lit(0).alias("_grid"))
+        F.lit(None).cast("long").alias("end_seq"), F.lit(0).cast("long").alias("n"))
+    real = cells.select(*PARTITION_KEY, "batch_ts", *POSITION_COLUMNS, "n")
     if expected is not None:
         real = join_small(real, partitions, PARTITION_KEY, "left_semi")
-    # Real cell first, then the grid row of the same batch, which inherits it.
-    w = Window.partitionBy(*PARTITION_KEY).orderBy("batch_ts", "_grid")
-    upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    same_batch_n = F.when(F.lag("batch_ts").over(w) == F.col("batch_ts"), F.lag("n").over(w)).otherwise(F.lit(0))
-    filled = grid.unionByName(real).select(
-        *PARTITION_KEY, "batch_ts", "_grid",
-        F.coalesce(F.last("end_offset", ignorenulls=True).over(upto), F.lit(START_OF_LOG)).cast("long").alias("end_offset"),
-        F.coalesce(F.last("end_seq", ignorenulls=True).over(upto), F.lit(START_OF_LOG)).cast("long").alias("end_seq"),
-        same_batch_n.cast("long").alias("n"),
-    )
-    return filled.filter(F.col("_grid") == 1).select(
-        "batch_ts", F.lit(uid).alias("uid"), *PARTITION_KEY, *POSITION_COLUMNS, "n")
+    # Every (partition, batch) once: the batch's cell where there is one, else nulls and n = 0.
+    merged = grid.unionByName(real).groupBy(*PARTITION_KEY, "batch_ts").agg(
+        *[F.max(c).alias(c) for c in POSITION_COLUMNS], F.max("n").alias("n"))
+    filled = fill_forward(merged, PARTITION_KEY, "batch_ts", POSITION_COLUMNS, step=step)
+    return filled.select(
+        "batch_ts", F.lit(uid).alias("uid"), *PARTITION_KEY,
+        *[F.coalesce(c, F.lit(START_OF_LOG).cast("long")).alias(c) for c in POSITION_COLUMNS], "n")
 
 
 def save_ledger(ledger: DataFrame, path: str) -> None:
@@ -206,15 +203,17 @@ def lost_partitions(ledger: DataFrame, expected: DataFrame) -> DataFrame:
     return expected.select("uid", *PARTITION_KEY).distinct().join(latest, ["uid", *PARTITION_KEY], "left_anti")
 
 
-def batch_report(ledger: DataFrame) -> DataFrame:
+def batch_report(ledger: DataFrame, batch_step: int = 1) -> DataFrame:
     """Per reader and batch: input size = sum over partitions of
     ``end_seq - previous end_seq`` (previous = -1 before the first batch),
     ``valid = input_size >= 0``, and a one-line-per-partition description
-    ordered by hub and partition."""
-    w = Window.partitionBy("uid", *PARTITION_KEY).orderBy("batch_ts")
-    from_seq = F.coalesce(F.lag("end_seq").over(w), F.lit(START_OF_LOG).cast("long"))
-    from_offset = F.coalesce(F.lag("end_offset").over(w), F.lit(START_OF_LOG).cast("long"))
-    ranges = ledger.select(
+    ordered by hub and partition. The previous batch of each partition is
+    found in blocks of batches (``batch_step`` apart)."""
+    prev = with_previous(ledger.select("uid", "batch_ts", *PARTITION_KEY, *POSITION_COLUMNS),
+                         ["uid", *PARTITION_KEY], "batch_ts", POSITION_COLUMNS, step=batch_step)
+    from_seq = F.coalesce(F.col("prev_end_seq"), F.lit(START_OF_LOG).cast("long"))
+    from_offset = F.coalesce(F.col("prev_end_offset"), F.lit(START_OF_LOG).cast("long"))
+    ranges = prev.select(
         "uid", "batch_ts", *PARTITION_KEY, (F.col("end_seq") - from_seq).alias("_size"),
         F.format_string(RANGE_DESCRIPTION_FORMAT, partition_name(), from_offset, from_seq,
                         F.col("end_seq")).alias("_line"),

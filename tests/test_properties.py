@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections import Counter
 
+import pytest
 from conftest import envelope_rows
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -14,6 +15,14 @@ from evlog.operators.ledger import parse_ledger
 SETTINGS = settings(max_examples=15, deadline=None, suppress_health_check=list(HealthCheck))
 
 
+@pytest.fixture()
+def small_blocks(monkeypatch):
+    """Blocks of two batches, so that carries across blocks are exercised."""
+    from evlog.operators import ordered
+
+    monkeypatch.setattr(ordered, "ORDER_BLOCK", 2)
+
+
 def java_split_space(line: str) -> list[str]:
     parts = line.split(" ")
     while parts and parts[-1] == "":
@@ -76,7 +85,7 @@ def test_window_counts_brute_force(spark, times, interval):
 @SETTINGS
 @given(st.lists(st.tuples(st.integers(0, 2), st.integers(0, 50), st.integers(0, 4), st.booleans()),
                 min_size=1, max_size=60, unique_by=lambda x: (x[0], x[1])))
-def test_sequence_gaps_brute_force(spark, events):
+def test_sequence_gaps_brute_force(spark, small_blocks, events):
     rows = [("h", p, "x" if full else "", s * 3, s, b) for p, s, b, full in events]
     got = {(r.partition_id, r.batch_ts): (r.n, r.min_seq, r.max_seq, r.missing, r.discontinuity)
            for r in sequence_gaps(envelope_rows(spark, rows), "enqueuedTime").collect()}
@@ -94,7 +103,7 @@ def test_sequence_gaps_brute_force(spark, events):
 
 @SETTINGS
 @given(st.lists(st.tuples(st.integers(0, 3), st.integers(0, 6)), min_size=1, max_size=40))
-def test_ledger_rows_brute_force(spark, cells):
+def test_ledger_rows_brute_force(spark, small_blocks, cells):
     from evlog.operators.ledger import ledger_rows
 
     # seq numbers increase with the batch, as in a log; offsets are seq * 10.
@@ -133,3 +142,21 @@ def test_slice_ranges_brute_force(spark, events, starts, rate):
         until = min(max(seqs), start + rate)
         want += [(p, s) for s in seqs if start < s <= until]
     assert got == sorted(want)
+
+
+@SETTINGS
+@given(st.lists(st.tuples(st.integers(0, 2), st.integers(-5, 20), st.one_of(st.none(), st.integers(0, 99))),
+                min_size=1, max_size=40, unique_by=lambda x: (x[0], x[1])), st.integers(1, 3))
+def test_ordered_helpers_brute_force(spark, rows, block):
+    from evlog.operators.ordered import fill_forward, with_previous
+
+    df = spark.createDataFrame(rows, "k int, b long, v long")
+    prev = {(r.k, r.b): r.prev_v for r in with_previous(df, ["k"], "b", ["v"], block=block).collect()}
+    filled = {(r.k, r.b): r.v for r in fill_forward(df, ["k"], "b", ["v"], block=block).collect()}
+    for k in {r[0] for r in rows}:
+        mine = sorted((b, v) for kk, b, v in rows if kk == k)
+        last = None
+        for i, (b, v) in enumerate(mine):
+            assert prev[(k, b)] == (mine[i - 1][1] if i else None)
+            last = v if v is not None else last
+            assert filled[(k, b)] == last
