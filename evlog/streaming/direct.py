@@ -1,0 +1,50 @@
+"""One batch of a rate-capped direct read, tracked in a stored ledger.
+
+Each batch starts where the ledger says the reader stopped (the start of the
+log when it has no record), reads at most ``max_rate`` events per partition,
+hands them to ``process``, and only then records the new positions as ledger
+batch ``batch_ts``. Re-running a batch id re-reads the same ranges (its start
+comes from the batches before it) and rewrites the same ledger folder.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from evlog.operators.counts import end_positions
+from evlog.operators.ledger import ledger_as_of, load_ledger, save_ledger
+from evlog.schema import DEFAULT_MAX_RATE, LEDGER_SCHEMA, PARTITION_KEY
+from evlog.session import materialize
+from evlog.sources.positions import slice_ranges
+
+POSITIONS = ["end_offset", "end_seq"]
+
+
+def _ledger_or_empty(spark: SparkSession, path: str) -> DataFrame:
+    try:
+        return load_ledger(spark, path)
+    except AnalysisException:                    # no batch recorded yet
+        return spark.createDataFrame([], LEDGER_SCHEMA)
+
+
+def run_direct_batch(spark: SparkSession, events: DataFrame, ledger_path: str, uid: str, batch_ts: int,
+                     process: Callable[[DataFrame, int], None], max_rate=DEFAULT_MAX_RATE,
+                     expected: DataFrame | None = None) -> DataFrame:
+    """Read, process and record one batch; returns the ledger rows written."""
+    partitions = (expected if expected is not None else events).select(*PARTITION_KEY).distinct()
+    start = ledger_as_of(_ledger_or_empty(spark, ledger_path), uid, int(batch_ts) - 1, expected=partitions)
+    start = materialize(start)
+    read = materialize(slice_ranges(events, start, max_rate=max_rate))
+    process(read.drop("from_seq", "until_seq"), int(batch_ts))
+    moved = end_positions(read).select(*PARTITION_KEY, F.struct(*POSITIONS, "n").alias("_v"), F.lit(1).alias("_p"))
+    kept = start.select(*PARTITION_KEY, F.struct(*POSITIONS, F.lit(0).cast("long").alias("n")).alias("_v"),
+                        F.lit(0).alias("_p"))
+    rows = (moved.unionByName(kept).groupBy(*PARTITION_KEY).agg(F.max_by("_v", "_p").alias("_v"))
+            .select(F.lit(int(batch_ts)).cast("long").alias("batch_ts"), F.lit(uid).alias("uid"), *PARTITION_KEY,
+                    *[F.col(f"_v.{c}").alias(c) for c in (*POSITIONS, "n")]))
+    save_ledger(rows, ledger_path)
+    return rows

@@ -19,9 +19,11 @@ from evlog.session import work_path
 from evlog.operators.counts import fill_idle
 from evlog.sources.events import read_events, union_hubs
 from evlog.streaming import sinks
+from evlog.streaming.direct import run_direct_batch
 from evlog.streaming.stream import stream_running_total, stream_window_counts
 
 STREAM_HUBS = ("click", "view")
+DIRECT_BATCHES = 2
 
 
 def _stream(spark: SparkSession, sf_dir: str, **envelope) -> DataFrame:
@@ -104,6 +106,22 @@ def q_stream_sequence_gaps(spark, sf_dir):
     return sinks.read_gaps(spark, f"{base}/gaps")
 
 
+def q_direct_batches(spark, sf_dir):
+    """Two rate-capped direct batches over the events, tracked in a stored
+    ledger; returns the events each batch read."""
+    base = work_path(spark, "direct")
+    env = Q.events(spark, sf_dir)
+
+    def keep(read, batch_ts):
+        read.select(*("hub", "partition_id", "seqNumber")).write.mode("overwrite").parquet(
+            f"{base}/reads/batch_ts={batch_ts}")
+
+    for batch_ts in range(DIRECT_BATCHES):
+        run_direct_batch(spark, env, f"{base}/ledger", Q.UID, batch_ts, keep, max_rate=Q.RANGE_MAX_RATE)
+    reads = spark.read.parquet(f"{base}/reads")
+    return reads.select(F.col("batch_ts").cast("long").alias("batch_ts"), "hub", "partition_id", "seqNumber")
+
+
 def q_sink_total_text(spark, sf_dir):
     base = work_path(spark, "sink-total-text")
     totals = stream_running_total(_stream(spark, sf_dir))
@@ -123,6 +141,7 @@ STREAM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "sink_total_text": q_sink_total_text,
     "stream_ledger": q_stream_ledger,
     "stream_sequence_gaps": q_stream_sequence_gaps,
+    "direct_batches": q_direct_batches,
 }
 
 _HUB_CASE = " ".join(f"WHEN '{k}' THEN {Q.HUB_PARTITIONS[k]}" for k in STREAM_HUBS)
@@ -144,6 +163,18 @@ STREAM_SQL: dict[str, str] = {
     # One micro-batch (the whole table): batch 0 holds every partition's end position.
     "stream_ledger": _with(ENV) + f"""SELECT CAST(0 AS BIGINT) AS batch_ts, '{Q.UID}' AS uid, hub, partition_id,
         arg_max("offset", seqNumber) AS end_offset, max(seqNumber) AS end_seq, count(*) AS n FROM env GROUP BY ALL""",
+    # Batch 0 starts at the start of the log (-1); batch 1 where batch 0 stopped.
+    "direct_batches": _with(ENV) + f""", lat AS (SELECT hub, partition_id, max(seqNumber) AS latest FROM env GROUP BY ALL),
+        b0 AS (SELECT e.hub, e.partition_id, e.seqNumber FROM env e JOIN lat l
+               ON l.hub = e.hub AND l.partition_id = e.partition_id
+               WHERE e.seqNumber > -1 AND e.seqNumber <= least(l.latest, -1 + {Q.RANGE_MAX_RATE})),
+        p0 AS (SELECT l.hub, l.partition_id, coalesce(max(b0.seqNumber), -1) AS pos FROM lat l LEFT JOIN b0
+               ON b0.hub = l.hub AND b0.partition_id = l.partition_id GROUP BY l.hub, l.partition_id),
+        b1 AS (SELECT e.hub, e.partition_id, e.seqNumber FROM env e
+               JOIN p0 ON p0.hub = e.hub AND p0.partition_id = e.partition_id
+               JOIN lat l ON l.hub = e.hub AND l.partition_id = e.partition_id
+               WHERE e.seqNumber > p0.pos AND e.seqNumber <= least(l.latest, p0.pos + {Q.RANGE_MAX_RATE}))
+        SELECT CAST(0 AS BIGINT) AS batch_ts, * FROM b0 UNION ALL SELECT CAST(1 AS BIGINT) AS batch_ts, * FROM b1""",
     # One micro-batch: every partition's previous maximum is 0.
     "stream_sequence_gaps": _with(ENV) + """, g AS (
         SELECT hub, partition_id, count(*) FILTER (WHERE length(body_text) > 0) AS n, min(seqNumber) AS min_seq,
