@@ -74,41 +74,29 @@ def window_counts(df: DataFrame, interval_seconds: int, time_col: str = "enqueue
     hits = df.select(interval_start(time_col, iv).alias("window_start"), F.lit(1).cast("long").alias("n"))
     if not fill_empty:
         return hits.groupBy("window_start").agg(F.count(F.lit(1)).alias("n"))
-    spark = df.sparkSession
-    if start is not None and end is not None:
-        bounds_src = spark.range(1)
-        lo = F.lit(int(start) - int(start) % iv).cast("long")
-        hi = F.lit(int(end) - int(end) % iv).cast("long")
-    else:
-        bounds_src = hits.agg(F.min("window_start").alias("_lo"), F.max("window_start").alias("_hi"))
-        lo = F.col("_lo") if start is None else F.lit(int(start) - int(start) % iv).cast("long")
-        hi = F.col("_hi") if end is None else F.lit(int(end) - int(end) % iv).cast("long")
-    zeros = window_spine(lo, hi, bounds_src, iv).select("window_start", F.lit(0).cast("long").alias("n"))
-    if start is not None or end is not None:
-        lo_v = None if start is None else int(start) - int(start) % iv
-        hi_v = None if end is None else int(end) - int(end) % iv
-        if lo_v is not None:
-            hits = hits.filter(F.col("window_start") >= lo_v)
-        if hi_v is not None:
-            hits = hits.filter(F.col("window_start") <= hi_v)
-    return hits.unionByName(zeros).groupBy("window_start").agg(F.sum("n").alias("n"))
+    return fill_idle(hits, iv, start, end)
 
 
 def fill_idle(counts: DataFrame, interval_seconds: int, start: int | None = None,
               end: int | None = None) -> DataFrame:
     """Add ``n = 0`` rows for the intervals missing from ``(window_start, n)``
     rows, e.g. the output of ``stream_window_counts``, between the first and
-    the last interval (or ``start``/``end``)."""
+    the last interval (or ``start``/``end``), and sum ``n`` per interval."""
     iv = _check_interval(interval_seconds)
     rows = counts.select(F.col("window_start").cast("long").alias("window_start"), F.col("n").cast("long").alias("n"))
-    bounds = rows.agg(F.min("window_start").alias("_lo"), F.max("window_start").alias("_hi"))
-    lo = F.col("_lo") if start is None else F.lit(int(start) - int(start) % iv).cast("long")
-    hi = F.col("_hi") if end is None else F.lit(int(end) - int(end) % iv).cast("long")
+    lo_v = None if start is None else int(start) - int(start) % iv
+    hi_v = None if end is None else int(end) - int(end) % iv
+    if lo_v is not None and hi_v is not None:
+        bounds = counts.sparkSession.range(1)             # no pass over the data for the bounds
+    else:
+        bounds = rows.agg(F.min("window_start").alias("_lo"), F.max("window_start").alias("_hi"))
+    lo = F.col("_lo") if lo_v is None else F.lit(lo_v).cast("long")
+    hi = F.col("_hi") if hi_v is None else F.lit(hi_v).cast("long")
     zeros = window_spine(lo, hi, bounds, iv).select("window_start", F.lit(0).cast("long").alias("n"))
-    if start is not None:
-        rows = rows.filter(F.col("window_start") >= int(start) - int(start) % iv)
-    if end is not None:
-        rows = rows.filter(F.col("window_start") <= int(end) - int(end) % iv)
+    if lo_v is not None:
+        rows = rows.filter(F.col("window_start") >= lo_v)
+    if hi_v is not None:
+        rows = rows.filter(F.col("window_start") <= hi_v)
     return rows.unionByName(zeros).groupBy("window_start").agg(F.sum("n").alias("n"))
 
 
