@@ -35,6 +35,7 @@ MAX_RANGE_BITS = 16
 BUCKETS = 24  # of context frequency: 0, 1, 2-3, 4-7, ...
 EM_STEPS = 60
 FLOOR = 1e-6  # least weight of the uniform part
+KEY_BITS = 56  # of the hash of an n-gram: among n different ones, a share of about n / 2**56 meets another
 END, BEGIN = U64(0x5851F42D4C957F2D), U64(0x14057B7EF767814F)
 FIT, HELD, NONE = 0, 1, 2  # how a text is used: counted, held out for the EM, not learned from
 
@@ -69,7 +70,7 @@ def score(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", order: in
 
     events = (base.mapInArrow(_blocker((HELD,)), shape).groupBy("block")
               .cogroup(answers.filter("fit IS NOT NULL").groupBy("block"))
-              .applyInArrow(_events(order, bits, n_fit, v_fit), "code bigint, n bigint, sums array<double>"))
+              .applyInArrow(_events(order, bits, n_fit), "code bigint, n bigint, sums array<double>"))
     sums = [F.sum(F.col("sums")[k]).alias(f"s{k}") for k in range(order)]
     rows = events.groupBy("code").agg(F.sum("n").alias("n"), *sums).toPandas()  # of at most BUCKETS x (bins of each order) rows
     weights = learn(rows["code"].to_numpy(np.int64) >> 40, rows["n"].to_numpy(float),
@@ -106,22 +107,22 @@ def learn(buckets: np.ndarray, n: np.ndarray, sums: np.ndarray, uniform: float)
 
 
 def _grams(tokens: np.ndarray, lengths: np.ndarray, order: int) -> list[np.ndarray]:
-    """Hashes of the n-gram that ends at each token and, from order 2, of its context: [grams 1, contexts 2, grams 2, ...]."""
+    """Hashes (of ``KEY_BITS``) of the 1-gram, 2-gram, ... that ends at each token, with BEGIN before the first one."""
     age = np.arange(len(tokens)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    found = [mix(tokens + U64(1))]
-    context = np.full(len(tokens), 1, U64)
+    gram = mix(tokens + U64(1))
+    found = [gram]
     for k in range(2, order + 1):
         before = np.full(len(tokens), BEGIN, U64)
         before[k - 1:] = tokens[:len(tokens) - k + 1]
         before[age < k - 1] = BEGIN
-        context = mix(context * U64(MULTIPLIER) + before + U64(k))
-        found += [context, mix(context * U64(MULTIPLIER) + tokens)]
-    return found
+        gram = mix(gram * U64(MULTIPLIER) + before + U64(k))
+        found.append(gram)
+    return [g >> U64(64 - KEY_BITS) for g in found]
 
 
 def _distinct(tokens: np.ndarray, lengths: np.ndarray, order: int, bits: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """For each array of ``_grams``: its distinct hashes in order, where each token has its, and where each range begins."""
-    steps = np.arange(1 << bits, dtype=U64) << U64(64 - bits)
+    """For each order: its distinct hashes in order, where each token has its, and where each range begins."""
+    steps = np.arange(1 << bits, dtype=U64) << U64(KEY_BITS - bits)
     found = []
     for grams in _grams(tokens, lengths, order):
         unique, places = np.unique(grams, return_inverse=True)
@@ -215,7 +216,7 @@ def _blocker(uses: tuple):
 
 
 def _joined(texts: pa.Table, answers: pa.Table, order: int, bits: int, counted: str):
-    """A block's ids, numbers of tokens, and for each array of ``_grams`` the corpus count at each token."""
+    """A block's ids, numbers of tokens, and for each order the corpus count of the n-gram at each token."""
     (row,) = texts.to_pylist()
     lengths = unpack(row["lengths"], row["n"], np.int64)
     words = np.cumsum(unpack(row["words"], row["n_words"], U64), dtype=U64)
@@ -237,25 +238,30 @@ def _joined(texts: pa.Table, answers: pa.Table, order: int, bits: int, counted:
     return row["ids"], lengths, [count[places] for count, (_, places, _) in zip(counts, kinds, strict=True)]
 
 
-def _parts(counts: list[np.ndarray], n_tokens: int) -> tuple[np.ndarray, list[np.ndarray]]:
-    """The bucket of each token's context, and its probability by each order. An unseen context takes the order below."""
+def _parts(counts: list[np.ndarray], lengths: np.ndarray, n_tokens: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The bucket of each token's context, and its probability by each order. An unseen context takes the order below.
+
+    A context's count is that of the n-gram that ends before the token. A text's beginning was seen as often as its end.
+    """
     parts = [counts[0] / max(n_tokens, 1)]
     context = np.full(len(counts[0]), n_tokens)
-    for k in range(1, len(counts), 2):
-        context = counts[k]
-        parts.append(np.where(context > 0, counts[k + 1] / np.maximum(context, 1), parts[-1]))
+    ends = np.cumsum(lengths)
+    for shorter, count in zip(counts, counts[1:], strict=False):
+        context = np.concatenate(([0], shorter[:-1]))
+        context[ends - lengths] = counts[0][ends - 1]
+        parts.append(np.where(context > 0, count / np.maximum(context, 1), parts[-1]))
     buckets = np.minimum(np.ceil(np.log2(context + 1.0)).astype(np.int64), BUCKETS - 1)
     return buckets, parts
 
 
-def _events(order: int, bits: int, n_tokens: int, n_types: int):
+def _events(order: int, bits: int, n_tokens: int):
     """Held-out tokens, added up by bucket and binned probabilities (eighths of a power of two)."""
     def events(texts: pa.Table, answers: pa.Table) -> pa.Table:
         schema = pa.schema([("code", pa.int64()), ("n", pa.int64()), ("sums", pa.list_(pa.float64()))])
         if not texts.num_rows:
             return schema.empty_table()
-        _, _, counts = _joined(texts, answers, order, bits, "fit")
-        code, parts = _parts(counts, n_tokens)
+        _, lengths, counts = _joined(texts, answers, order, bits, "fit")
+        code, parts = _parts(counts, lengths, n_tokens)
         for p in parts:
             binned = np.clip(np.round(-8 * np.log2(np.maximum(p, 2.0 ** -100))), 0, 511).astype(np.int64)
             code = code * 1024 + binned
@@ -276,7 +282,7 @@ def _scorer(order: int, bits: int, n_tokens: int, n_types: int, weights: np.ndar
         if not texts.num_rows:
             return pa.schema(list(zip(names, types, strict=True))).empty_table()
         ids, lengths, counts = _joined(texts, answers, order, bits, "total")
-        buckets, parts = _parts(counts, n_tokens)
+        buckets, parts = _parts(counts, lengths, n_tokens)
         chosen = weights[buckets]
         p = chosen[:, 0] / (n_types + 1)
         for k, part in enumerate(parts):
