@@ -14,10 +14,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from evlog.llm.components import components
+from evlog.llm.components import components, tight
 from evlog.llm.tokens import MULTIPLIER, NOT_SPACE, U64, Words, blocks, flat, mix
 from evlog.session import materialize
 
@@ -26,11 +26,7 @@ PERCENT = 75
 #: 100 permutations give 200 values in 40 bands of 5: a pair at 0.75 shares no band with probability 2e-5, at 0.85 with 6e-11.
 PERMUTATIONS = 100
 ROWS = 5
-#: Two sets whose signatures agree in a share of values this far below the threshold aren't compared in full. The share's
-#: standard deviation is at most 0.031 at 0.75, so a true link is lost with probability under 1e-6.
-MARGIN = 0.15
 BLOCK_BYTES = 4 << 20
-GROUP = 128  # members of a bucket compared with each other at a time
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: Words, width: int) -> Iterator[np.ndarray]:
@@ -64,9 +60,9 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
 
     * Equal sets are one class, found by a digest and represented by their
       smallest doc_id; classes are compared, so copies never make pairs.
-    * In each band bucket all members are compared with the smallest one. Members
-      that this leaves in different components are compared with each other, in
-      groups, first by signature and then by their full sets.
+    * In each band bucket all members are compared with the smallest one, by their
+      full sets. Members that this leaves in different components are compared with
+      each other if they share one of their rarest shingles, as linked sets must.
     * Null or wordless texts have no shingles and no links. A null doc_id links
       nothing: the row belongs to the component of an equal set if there is one
       and isn't kept; else component_id is null and it's kept. Rows with one
@@ -76,14 +72,13 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     kind = docs.schema[doc_id].dataType.simpleString()
     base = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
     signed = materialize(base.mapInArrow(_signer(width, permutations, rows),
-                                         f"id {kind}, n bigint, digest binary, bands array<bigint>, sig binary"))
+                                         f"id {kind}, n bigint, digest binary, bands array<bigint>"))
     classes = materialize(signed.filter("digest IS NOT NULL AND id IS NOT NULL").groupBy("digest")
-                          .agg(F.min("id").alias("rep"), F.min_by(F.struct("bands", "sig"), "id").alias("of"))
-                          .select("digest", "rep", "of.bands", "of.sig"))
+                          .agg(F.min("id").alias("rep"), F.min_by("bands", "id").alias("bands")))
     banded = classes.select("rep", F.explode("bands").alias("bucket"))
     shared = banded.groupBy("bucket").agg(F.min("rep").alias("centre"), F.max("rep").alias("far")).filter("centre < far")
-    members = materialize(banded.join(shared.select("bucket", "centre"), "bucket"))
-    labels = _linked(base, classes, members, kind, width, percent, permutations)
+    members = tight(materialize(banded.join(shared.select("bucket", "centre"), "bucket")))
+    labels = _linked(base, members, kind, width, percent)
     found = (classes.select("digest", "rep").join(labels, F.col("rep") == F.col("node"), "left")
              .select("digest", F.coalesce("root", "rep").alias("component")))
     own = F.coalesce("component", "id")
@@ -111,47 +106,49 @@ def _signer(width: int, permutations: int, rows: int):
     def sign(batches):
         words = Words(NOT_SPACE)
         for batch in blocks(batches, "text", BLOCK_BYTES):
-            n, digests, bands, sigs = [], [], [], []
+            n, digests, bands = [], [], []
             for unique in shingle_sets(*flat(batch.column("text")), words, width):
                 n.append(len(unique))
                 if not len(unique):
-                    for column in (digests, bands, sigs):
-                        column.append(None)
+                    digests.append(None)
+                    bands.append(None)
                     continue
                 digests.append(hashlib.blake2b(unique.tobytes(), digest_size=16).digest())
                 values = signature(unique)
                 sums = (values[:n_bands * rows].reshape(n_bands, rows).astype(U64) * weights).sum(axis=1, dtype=U64)
                 bands.append(mix(sums + band_of).view(np.int64))
-                sigs.append(values.astype(np.uint16).tobytes())
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id"), pa.array(n, pa.int64()), pa.array(digests, pa.binary()),
-                 pa.array(bands, pa.list_(pa.int64())), pa.array(sigs, pa.binary())], ["id", "n", "digest", "bands", "sig"])
+                 pa.array(bands, pa.list_(pa.int64()))], ["id", "n", "digest", "bands"])
 
     return sign
 
 
-def _linked(base: DataFrame, classes: DataFrame, members: DataFrame, kind: str, width: int, percent: int,
-            permutations: int) -> DataFrame:
+def _linked(base: DataFrame, members: DataFrame, kind: str, width: int, percent: int) -> DataFrame:
     """``(node, root)`` of the classes that links join."""
     nodes = members.select("rep").distinct()
 
     def sets(batches):
         words = Words(NOT_SPACE)
         for batch in blocks(batches, "text", BLOCK_BYTES):
-            found = [unique.tobytes() for unique in shingle_sets(*flat(batch.column("text")), words, width)]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(found, pa.binary())], ["id", "shingles"])
+            found = list(shingle_sets(*flat(batch.column("text")), words, width))
+            codes = [int.from_bytes(hashlib.blake2b(u.tobytes(), digest_size=8).digest(), "big", signed=True) for u in found]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(codes, pa.int64()),
+                                              pa.array([u.view(np.int64) for u in found], pa.list_(pa.int64()))], ["id", "code", "shingles"])
 
-    full = materialize(base.join(nodes, F.col("id") == F.col("rep"), "left_semi").mapInArrow(sets, f"id {kind}, shingles binary"))
+    full = materialize(base.join(nodes, F.col("id") == F.col("rep"), "left_semi")
+                       .mapInArrow(sets, f"id {kind}, code bigint, shingles array<bigint>"))
 
     def confirm(pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) that are linked, by their full sets."""
         def check(batches):
             for batch in batches:
                 keep = []
-                for x, y in zip(batch.column("sa"), batch.column("sb"), strict=True):
-                    x, y = (np.frombuffer(v.as_buffer(), U64) for v in (x, y))
+                (x_all, x_at), (y_all, y_at) = ((c.values.to_numpy().view(U64), c.offsets.to_numpy()) for c in (batch.column("sa"), batch.column("sb")))
+                for i in range(batch.num_rows):
+                    x, y = x_all[x_at[i]:x_at[i + 1]], y_all[y_at[i]:y_at[i + 1]]
                     few, many = (x, y) if len(x) <= len(y) else (y, x)
-                    if 100 * len(few) < percent * len(many):
+                    if not len(few) or 100 * len(few) < percent * len(many):
                         keep.append(False)
                         continue
                     at = np.searchsorted(many, few)
@@ -161,60 +158,78 @@ def _linked(base: DataFrame, classes: DataFrame, members: DataFrame, kind: str,
 
         joined = (pairs.join(full.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a")
                   .join(full.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b"))
-        return materialize(joined.select("a", "b", "sa", "sb").mapInArrow(check, f"a {kind}, b {kind}"))
+        return tight(materialize(joined.select("a", "b", "sa", "sb").mapInArrow(check, f"a {kind}, b {kind}")))
 
-    star = members.filter("rep <> centre").select(F.col("rep").alias("a"), F.col("centre").alias("b")).distinct()
-    links = confirm(star)
+    # Most members are linked with the smallest centre of their buckets; other centres only matter where that leaves components apart.
+    star = members.filter("rep <> centre").select("rep", "centre").distinct()
+    first = star.groupBy("rep").agg(F.min("centre").alias("centre"))
+    links = confirm(first.select(F.col("rep").alias("a"), F.col("centre").alias("b")))
     labels = components(links)
-    others = _across(members, classes, labels, kind, percent, permutations)
-    if others is not None:
-        more = confirm(others)
+    ends = _labelled(star.join(first, ["rep", "centre"], "left_anti"), labels).withColumnsRenamed({"rep": "of", "comp": "of_comp", "centre": "rep"})
+    more = confirm(_labelled(ends, labels).filter("comp <> of_comp").select(F.col("of").alias("a"), F.col("rep").alias("b")))
+    if not more.isEmpty():
+        links = links.unionByName(more)
+        labels = components(links)
+
+    # What is left: members of a bucket, its centre aside, that are in different components so far.
+    rest = _labelled(members.filter("rep <> centre"), labels)
+    mixed = rest.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("bucket")
+    left = tight(materialize(rest.join(mixed, "bucket", "left_semi").select("rep").distinct()))
+    if left.isEmpty():
+        return labels
+    rare = _rare_shingles(full.join(left, F.col("id") == F.col("rep"), "left_semi"), percent)
+    # First with the smallest set that has the shingle, which of sets around a common part is linked if any is; then all the rest.
+    for step in (_with_smallest, _with_each_other):
+        more = confirm(step(_labelled(rare, labels), percent))
         if not more.isEmpty():
-            labels = components(links.unionByName(more))
+            links = links.unionByName(more)
+            labels = components(links)
     return labels
 
 
-def _across(members: DataFrame, classes: DataFrame, labels: DataFrame, kind: str, percent: int,
-            permutations: int) -> DataFrame | None:
-    """Pairs in a bucket that are in different components so far, weren't compared in full and have similar signatures."""
-    rest = materialize(members.filter("rep <> centre").join(labels, F.col("rep") == F.col("node"), "left")
-                       .select("bucket", "rep", F.coalesce("root", "rep").alias("comp")))
-    # Buckets with the same members need one comparison.
-    mixed = (rest.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("n"),
-                                        F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("who"))
-             .filter("low < high").groupBy("low", "high", "n", "who").agg(F.min("bucket").alias("bucket")).select("bucket"))
-    rest = materialize(rest.join(mixed, "bucket"))
-    if rest.isEmpty():
-        return None
-    # A component with many members in a bucket is cut into groups of its own; the members of small ones share groups.
-    sizes = rest.groupBy("bucket", "comp").agg(F.count("*").alias("n")).withColumn("large", F.col("n") > GROUP // 2)
-    small = sizes.groupBy("bucket").agg(F.sum(F.when(~F.col("large"), F.col("n"))).alias("n_small"))
-    parts = F.ceil(F.when(F.col("large"), F.col("n")).otherwise(F.col("n_small")) / GROUP)
-    grouped = (rest.join(sizes, ["bucket", "comp"]).join(small, "bucket")
-               .withColumn("part", F.pmod(F.xxhash64("rep"), parts))
-               .withColumn("side", F.when(F.col("large"), F.col("comp")))
-               .join(classes.select("rep", "sig"), "rep")
-               .groupBy("bucket", "side", "part")
-               .agg(F.collect_list("rep").alias("reps"), F.collect_list("comp").alias("comps"), F.collect_list("sig").alias("sigs")))
-    grouped = materialize(grouped.withColumn("place", F.xxhash64("side", "part")))
-    one, two = ([F.col("bucket")] + [F.col(c).alias(f"{c}_{x}") for c in ("side", "place", "reps", "comps", "sigs")] for x in "ab")
-    pairs = (grouped.select(*one).join(grouped.select(*two), "bucket")
-             .filter("place_a <= place_b AND (side_a IS NULL OR side_b IS NULL OR side_a <> side_b)"))
-    least = (percent / 100 - MARGIN) * 2 * permutations
-
-    def similar(batches):
-        for batch in batches:
-            found: dict[str, list] = {"a": [], "b": []}
-            for row in range(batch.num_rows):
-                reps, comps, sigs = ([batch.column(f"{c}_{x}")[row].as_py() for x in "ab"] for c in ("reps", "comps", "sigs"))
-                left, right = (np.frombuffer(b"".join(s), np.uint16).reshape(len(s), -1) for s in sigs)
-                others = np.array(comps[1])
-                for i, (rep, comp) in enumerate(zip(reps[0], comps[0], strict=True)):
-                    close = ((left[i] == right).sum(axis=1) >= least) & (others != comp)
-                    for j in np.flatnonzero(close).tolist():
-                        found["a"].append(min(rep, reps[1][j]))
-                        found["b"].append(max(rep, reps[1][j]))
-            if found["a"]:
-                yield pa.RecordBatch.from_pydict(found)
-
-    return pairs.mapInArrow(similar, f"a {kind}, b {kind}").distinct()
+def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    return rows.join(labels, F.col("rep") == F.col("node"), "left").withColumn("comp", F.coalesce("root", "rep")).drop("node", "root")
+
+
+def _rare_shingles(full: DataFrame, percent: int) -> DataFrame:
+    """``(shingle, rep, n, rank)``: of each set of n shingles the rarest ones with their ranks from 1, so many that sets to be
+    linked share one, without those that no other set has.
+
+    Linked sets share at least percent % of either, so in any common order of all shingles they share one of the first
+    100 - percent % (and one more) of each. Rarest first keeps what many sets have out of these.
+    """
+    rows = full.select(F.col("id").alias("rep"), "code", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
+    often = rows.groupBy("shingle").agg(F.count("*").alias("sets")).filter("sets > 1")
+    rows = rows.join(often, "shingle")
+    of_set = Window.partitionBy("rep", "code")
+    rank = F.col("n") - F.count("*").over(of_set) + F.row_number().over(of_set.orderBy("sets", "shingle"))
+    first = F.col("n") - F.expr(f"({percent} * n + 99) div 100") + 1
+    return tight(materialize(rows.withColumn("rank", rank).filter(F.col("rank") <= first).select("shingle", "rep", "n", "rank").distinct()))
+
+
+def _similar_size(a: str, b: str, percent: int):
+    return 100 * F.least(a, b) >= percent * F.greatest(a, b)
+
+
+def _with_smallest(rare: DataFrame, percent: int) -> DataFrame:
+    """Pairs of each shingle's smallest set with its other sets, if in different components."""
+    hubs = (rare.groupBy("shingle").agg(F.min(F.struct("n", "rep", "comp")).alias("hub"), F.min("comp").alias("low"), F.max("comp").alias("high"))
+            .filter("low < high").select("shingle", F.col("hub.n").alias("hub_n"), F.col("hub.rep").alias("b"), F.col("hub.comp").alias("hub_comp")))
+    return (rare.join(hubs, "shingle").filter((F.col("comp") != F.col("hub_comp")) & _similar_size("n", "hub_n", percent))
+            .select(F.col("rep").alias("a"), "b").distinct())
+
+
+def _with_each_other(rare: DataFrame, percent: int) -> DataFrame:
+    """Pairs of sets with a common shingle in different components, if they may be linked.
+
+    If it's their first common one, what they share is it and at most what follows it in either, and what precedes it in
+    either isn't shared. Sets that then can't be linked even with the one that has the shingle earliest are left out before pairs are made.
+    """
+    mixed = (rare.groupBy("shingle").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min("rank").alias("earliest"))
+             .filter("low < high").select("shingle", "earliest"))
+    shared = F.col("n") - F.col("rank") + 1
+    rare = rare.join(mixed, "shingle").filter(100 * shared >= percent * (F.col("n") + F.col("earliest") - 1)).select("shingle", "rep", "n", "rank", "comp")
+    other = rare.select("shingle", *(F.col(c).alias(f"{c}_b") for c in ("rep", "n", "rank", "comp")))
+    most = F.least(shared, F.col("n_b") - F.col("rank_b") + 1)
+    return (rare.join(other, "shingle").filter((F.col("comp") < F.col("comp_b")) & (100 * most >= percent * (F.col("n") + F.col("n_b") - most)))
+            .select(F.col("rep").alias("a"), F.col("rep_b").alias("b")).distinct())
