@@ -1,5 +1,6 @@
-"""Launch the event jobs: ``spark-submit -m evlog.cli <job> [options]`` or
-``python -m evlog.cli <job> [options]``.
+"""Launch the event jobs: ``spark-submit scripts/run_job.py <job> [options]`` or
+``python -m evlog.cli <job> [options]``. Master, shuffle width and
+``spark.checkpoint.dir`` come from spark-submit or spark-defaults.
 
 Jobs: ``count``, ``json``, ``table``, ``jdbc``, ``parquet`` (see
 ``evlog.streaming.jobs``). Options are named; there are no positional values.
@@ -13,6 +14,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import SparkSession
 
+from evlog.schema import JDBC_PAYLOAD_TYPE
 from evlog.session import get_session
 from evlog.streaming import jobs
 
@@ -21,7 +23,18 @@ def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="evlog.cli", description=__doc__)
     sub = p.add_subparsers(dest="job", required=True)
     common = argparse.ArgumentParser(add_help=False)
-    common.add_argument("--source", required=True, help="folder of the landed event log (Parquet)")
+    common.add_argument("--source", default=None, help="folder of the stored event log (Parquet)")
+    common.add_argument("--hub-source", action="append", default=None, metavar="NAME:PARTITIONS:FOLDER",
+                        help="one of several hubs, instead of --source; repeat it")
+    common.add_argument("--kafka", action="append", default=None, metavar="OPTION=VALUE",
+                        help="option of Spark's Kafka source, instead of --source; repeat it")
+    common.add_argument("--max-offsets-per-trigger", type=int, default=None, help="Kafka: events per batch")
+    common.add_argument("--layout", choices=["landed", "envelope"], default=None, help="layout of the stored log")
+    common.add_argument("--after-offset", type=int, default=None, help="start after this offset")
+    common.add_argument("--after-time", type=int, default=None, help="start after this epoch second")
+    common.add_argument("--properties", default=None, help="'all' for a map of properties, or a comma list of keys")
+    common.add_argument("--watermark-seconds", type=int, default=None,
+                        help="keep interval counts in state; later events than this may be lost (default: every event counts)")
     common.add_argument("--checkpoint", required=True, help="job folder for state, progress and outputs")
     common.add_argument("--interval", type=int, default=10, help="batch interval and count window, seconds")
     common.add_argument("--timeout-minutes", type=float, default=None, help="stop after N minutes (default: run)")
@@ -46,6 +59,7 @@ def parser() -> argparse.ArgumentParser:
     jd.add_argument("--url", required=True)
     jd.add_argument("--jdbc-table", required=True)
     jd.add_argument("--user", default=os.environ.get("EVLOG_JDBC_USER"))
+    jd.add_argument("--payload-type", default=JDBC_PAYLOAD_TYPE, help="type of the payload column of a new table")
     jd.add_argument("--dedupe-key", action="store_true", help="add hub, partition_id, seqNumber columns")
     pq = sub.add_parser("parquet", parents=[common], help="envelope rows to Parquet, partitioned by date")
     pq.add_argument("--out", required=True)
@@ -53,8 +67,14 @@ def parser() -> argparse.ArgumentParser:
 
 
 def run(args: argparse.Namespace, spark: SparkSession | None = None) -> list:
-    spark = spark or get_session(master=os.environ.get("EVLOG_MASTER", "local[*]"))
-    cfg = jobs.JobConfig(source=args.source, checkpoint=args.checkpoint, interval_seconds=args.interval,
+    spark = spark or get_session()
+    hubs = {name: {"source": folder, "num_partitions": int(n)}
+            for name, n, folder in (h.split(":", 2) for h in args.hub_source)} if args.hub_source else None
+    kafka = dict(o.split("=", 1) for o in args.kafka) if args.kafka else None
+    properties = False if not args.properties else True if args.properties == "all" else args.properties.split(",")
+    cfg = jobs.JobConfig(source=args.source, hubs=hubs, kafka=kafka, max_offsets_per_trigger=args.max_offsets_per_trigger,
+                         layout=args.layout, after_offset=args.after_offset, after_time=args.after_time, properties=properties,
+                         watermark_seconds=args.watermark_seconds, checkpoint=args.checkpoint, interval_seconds=args.interval,
                          timeout_minutes=args.timeout_minutes, available_now=args.available_now,
                          max_files_per_trigger=args.max_files_per_trigger, file_glob=args.file_glob,
                          envelope={"hub": args.hub, "num_partitions": args.partitions}, console=args.console)
@@ -70,7 +90,7 @@ def run(args: argparse.Namespace, spark: SparkSession | None = None) -> list:
         if os.environ.get("EVLOG_JDBC_PASSWORD"):
             props["password"] = os.environ["EVLOG_JDBC_PASSWORD"]
         return jobs.jdbc_job(spark, cfg, args.url, args.jdbc_table, args.total_prefix, props,
-                             dedupe_key=args.dedupe_key)
+                             dedupe_key=args.dedupe_key, payload_type=args.payload_type)
     return jobs.parquet_job(spark, cfg, args.out)
 
 

@@ -17,17 +17,24 @@ def properties_map(source: str | Column = "props") -> Column:
     return F.from_json(col, PROPERTY_MAP_TYPE)
 
 
+def property_columns(source: str | Column = "props", keys: Sequence[str] | None = None) -> list[Column]:
+    """The ``properties`` map, or with ``keys`` one STRING column per key; an absent (or null) key gives ``""``."""
+    parsed = properties_map(source)
+    if keys is None:
+        return [parsed.alias("properties")]
+    if not keys:
+        raise ValueError("keys must name at least one property")
+    return [F.coalesce(parsed.getItem(k), F.lit("")).alias(k) for k in keys]
+
+
 def with_properties(df: DataFrame, source: str = "props", drop_source: bool = True) -> DataFrame:
     """Add the ``properties`` map column (null values allowed)."""
-    out = df.withColumn("properties", properties_map(source))
-    return out.drop(source) if drop_source else out
+    kept = [c for c in df.columns if c != "properties" and not (drop_source and c == source)]
+    return df.select(*kept, *property_columns(source))
 
 
 def with_property_keys(df: DataFrame, keys: Sequence[str], source: str = "props",
                        drop_source: bool = True) -> DataFrame:
     """Add one STRING column per key; an absent (or null) key gives ``""``."""
-    if not keys:
-        raise ValueError("keys must name at least one property")
-    parsed = properties_map(source)
-    out = df.withColumns({k: F.coalesce(parsed.getItem(k), F.lit("")) for k in keys})
-    return out.drop(source) if drop_source else out
+    kept = [c for c in df.columns if c not in keys and not (drop_source and c == source)]
+    return df.select(*kept, *property_columns(source, list(keys)))

@@ -67,14 +67,13 @@ def window_counts(df: DataFrame, interval_seconds: int, time_col: str = "enqueue
 
     With ``fill_empty`` every interval between the first and the last event (or
     ``start``/``end`` when given) is present, idle ones with ``n = 0``. The
-    zero rows are unioned in before the one aggregation, so the result costs a
-    single shuffle of pre-aggregated rows.
+    events are counted per interval once and checkpointed; bounds and zero
+    rows are made from those rows.
     """
     iv = _check_interval(interval_seconds)
     hits = df.select(interval_start(time_col, iv).alias("window_start"), F.lit(1).cast("long").alias("n"))
-    if not fill_empty:
-        return hits.groupBy("window_start").agg(F.count(F.lit(1)).alias("n"))
-    return fill_idle(hits, iv, start, end)
+    counted = hits.groupBy("window_start").agg(F.count(F.lit(1)).alias("n"))
+    return fill_idle(materialize(counted), iv, start, end) if fill_empty else counted
 
 
 def fill_idle(counts: DataFrame, interval_seconds: int, start: int | None = None,
@@ -146,6 +145,11 @@ def sequence_gaps(df: DataFrame, batch_col: str | Column, batch_name: str = "bat
         F.min("seqNumber").alias("min_seq"),
         F.max("seqNumber").alias("max_seq"),
     )
+    return gaps_of(materialize(per_batch), batch_name, batch_step)
+
+
+def gaps_of(per_batch: DataFrame, batch_name: str = "batch_ts", batch_step: int = 1) -> DataFrame:
+    """``sequence_gaps`` from rows that have ``n, min_seq, max_seq`` per partition and batch."""
     per_batch = with_previous(per_batch, PARTITION_KEY, batch_name, ["max_seq"], step=batch_step)
     prev_max = F.coalesce(F.col("prev_max_seq"), F.lit(0))
     return per_batch.select(

@@ -1,8 +1,8 @@
 """Read ledger: how far each reader got in each partition, batch by batch.
 
 The ledger is an ordinary table (``LEDGER_SCHEMA``), appended once per batch
-and best stored partitioned by ``batch_ts`` so that the point lookups below
-prune whole folders. Every question the reference answers from its progress
+and best stored partitioned by ``uid`` and ``batch_ts`` so that the point lookups below
+prune whole folders. Readers number their batches independently of each other. Every question the reference answers from its progress
 files (where to restart, is a batch complete, what to clean up) is a filter,
 aggregate or join here. Single values such as "the newest batch at or before
 T" are scalar subqueries: Spark runs them once and uses the result as a
@@ -17,8 +17,9 @@ from pyspark.sql import functions as F
 from evlog.operators.counts import end_positions, spread_range
 from evlog.operators.ordered import fill_forward, with_previous
 from evlog.plans.joins import join_small
-from evlog.schema import (LEDGER_COLUMNS, LEDGER_TEXT_FORMAT, PARTITION_KEY, RANGE_DESCRIPTION_FORMAT,
+from evlog.schema import (LEDGER_COLUMNS, LEDGER_SCHEMA, LEDGER_TEXT_FORMAT, PARTITION_KEY, RANGE_DESCRIPTION_FORMAT,
                           START_OF_LOG)
+from evlog.session import materialize
 from evlog.sources.events import partition_name
 
 POSITION_COLUMNS = ["end_offset", "end_seq"]
@@ -43,6 +44,11 @@ def ledger_rows(df: DataFrame, batch_col: str | Column, uid: str, batch_step: in
     cells = end_positions(df.withColumn("batch_ts", batch.cast("long")), by=[*PARTITION_KEY, "batch_ts"])
     if not fill:
         return cells.select("batch_ts", F.lit(uid).alias("uid"), *PARTITION_KEY, *POSITION_COLUMNS, "n")
+    return fill_cells(materialize(cells), uid, batch_step, expected)
+
+
+def fill_cells(cells: DataFrame, uid: str, batch_step: int = 1, expected: DataFrame | None = None) -> DataFrame:
+    """``ledger_rows`` from rows that have ``end_offset, end_seq, n`` per partition and batch."""
     step = int(batch_step)
     if step <= 0:
         raise ValueError("batch_step must be positive")
@@ -66,24 +72,23 @@ def ledger_rows(df: DataFrame, batch_col: str | Column, uid: str, batch_step: in
 
 
 def save_ledger(ledger: DataFrame, path: str) -> None:
-    """Store ledger rows as Parquet partitioned by ``batch_ts``. Only the
-    batches being written are replaced (dynamic partition overwrite), so
-    writing a batch again is idempotent and older batches stay untouched.
-    Rows are first grouped by batch (a batch holds one row per partition and
-    reader, so no batch is large): one file per batch folder."""
-    (ledger.select(*LEDGER_COLUMNS).repartition("batch_ts").write.mode("overwrite")
-     .option("partitionOverwriteMode", "dynamic").partitionBy("batch_ts").parquet(path))
+    """Store ledger rows as Parquet partitioned by ``uid`` and ``batch_ts``. Only the
+    readers' batches being written are replaced (dynamic partition overwrite), so
+    writing a batch again is idempotent, and older batches and other readers stay untouched.
+    Rows are first grouped by batch (a batch holds one row per partition,
+    so no batch is large): one file per batch folder."""
+    (ledger.select(*LEDGER_COLUMNS).repartition("uid", "batch_ts").write.mode("overwrite")
+     .option("partitionOverwriteMode", "dynamic").partitionBy("uid", "batch_ts").parquet(path))
 
 
 def load_ledger(spark, path: str) -> DataFrame:
-    """A stored ledger; filters on ``batch_ts`` prune whole batch folders."""
-    df = spark.read.parquet(path)
-    return df.select(F.col("batch_ts").cast("long").alias("batch_ts"), *[c for c in LEDGER_COLUMNS if c != "batch_ts"])
+    """A stored ledger; filters on ``uid`` and ``batch_ts`` prune whole batch folders."""
+    return spark.read.schema(LEDGER_SCHEMA).parquet(path).select(*LEDGER_COLUMNS)
 
 
-def format_ledger(ledger: DataFrame) -> DataFrame:
-    """Ledger rows -> text lines ``<batch_ts> <uid> <hub> <partition> <offset> <seq>``."""
-    return ledger.select(F.format_string(LEDGER_TEXT_FORMAT, "batch_ts", "uid", "hub", "partition_id",
+def format_ledger(ledger: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """Ledger rows -> text lines ``<batch_ts> <uid> <hub> <partition> <offset> <seq>`` (and the columns ``keep``)."""
+    return ledger.select(*(keep or []), F.format_string(LEDGER_TEXT_FORMAT, "batch_ts", "uid", "hub", "partition_id",
                                          "end_offset", "end_seq").alias("value"))
 
 
@@ -128,8 +133,8 @@ def ledger_as_of(ledger: DataFrame, uid: str, ts: int, exact: bool = False,
     reader ever recorded) is returned; where no record is found its position
     is the start of the log ``(-1, -1)`` with ``batch_ts = -1``.
     """
-    target = F.lit(int(ts)).cast("long") if exact else _newest_at_or_before(ledger, ts)
     mine = ledger.filter(F.col("uid") == uid)
+    target = F.lit(int(ts)).cast("long") if exact else _newest_at_or_before(mine, ts)
     found = mine.filter(F.col("batch_ts") == target).select(*PARTITION_KEY, "batch_ts", *POSITION_COLUMNS)
     wanted = (expected.select(*PARTITION_KEY) if expected is not None
               else mine.select(*PARTITION_KEY)).distinct()
@@ -161,11 +166,12 @@ def ledger_batch(ledger: DataFrame, ts: int) -> DataFrame:
 
 
 def ledger_retain(ledger: DataFrame, ts: int) -> DataFrame:
-    """What survives cleaning at ``ts``: of the batches at or before ``ts`` only
+    """What survives cleaning at ``ts``: of each reader's batches at or before ``ts`` only
     the newest is kept, every batch after ``ts`` is kept. With no batch at or
     before ``ts`` nothing is dropped."""
-    keep = _newest_at_or_before(ledger, ts)
-    return ledger.filter((F.col("batch_ts") > int(ts)) | (F.col("batch_ts") == keep))
+    newest = ledger.filter(F.col("batch_ts") <= int(ts)).groupBy("uid").agg(F.max("batch_ts").alias("_keep"))
+    return (join_small(ledger, newest, "uid", "left").filter((F.col("batch_ts") > int(ts)) | (F.col("batch_ts") == F.col("_keep")))
+            .select(*ledger.columns))
 
 
 def ledger_audit(records: DataFrame, expected: DataFrame, file_col: str | None = None) -> DataFrame:
@@ -197,9 +203,9 @@ def ledger_audit(records: DataFrame, expected: DataFrame, file_col: str | None =
 
 
 def lost_partitions(ledger: DataFrame, expected: DataFrame) -> DataFrame:
-    """Expected partitions with no record in the newest batch of the ledger."""
-    newest = ledger.select(F.max("batch_ts")).scalar()
-    latest = ledger.filter(F.col("batch_ts") == newest).select("uid", *PARTITION_KEY)
+    """Expected partitions with no record in the newest batch of their reader."""
+    newest = ledger.groupBy("uid").agg(F.max("batch_ts").alias("batch_ts"))
+    latest = join_small(ledger, newest, ["uid", "batch_ts"], "left_semi").select("uid", *PARTITION_KEY)
     return expected.select("uid", *PARTITION_KEY).distinct().join(latest, ["uid", *PARTITION_KEY], "left_anti")
 
 

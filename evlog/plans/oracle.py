@@ -20,42 +20,53 @@ ENV = f"""env AS (
          props
   FROM events)"""
 
-def _cells(batch_seconds: int) -> str:
+def _cells(batch_seconds: int, uids: str = f"('{Q.UID}')", second: str | None = None, where: str = "true") -> str:
+    batch = f"enqueuedTime // {batch_seconds}"
     return f"""cells AS (
-  SELECT enqueuedTime // {batch_seconds} AS batch_ts, hub, partition_id,
+  SELECT uid, CASE uid WHEN '{Q.UID2}' THEN {second or batch} ELSE {batch} END AS batch_ts, hub, partition_id,
          arg_max("offset", seqNumber) AS end_offset, max(seqNumber) AS end_seq, count(*) AS n
-  FROM env GROUP BY ALL)"""
+  FROM env, (VALUES {uids}) AS readers(uid) WHERE {where} GROUP BY ALL)"""
 
 
-CELLS = _cells(Q.LEDGER_BATCH_SECONDS)
+BOTH = f"('{Q.UID}'), ('{Q.UID2}')"
+CELLS = _cells(Q.LEDGER_BATCH_SECONDS, BOTH, f"enqueuedTime // {Q.LEDGER_BATCH_SECONDS} // {Q.UID2_STEP} * {Q.UID2_STEP} + {Q.UID2_PHASE}")
 
-LEDGER = f"""parts AS (SELECT DISTINCT hub, partition_id FROM cells),
-rng AS (SELECT min(batch_ts) AS lo, max(batch_ts) AS hi FROM cells),
-grid AS (SELECT hub, partition_id, unnest(generate_series(lo, hi)) AS batch_ts FROM parts, rng),
+LEDGER = f"""parts AS (SELECT DISTINCT uid, hub, partition_id FROM cells),
+rng AS (SELECT uid, min(batch_ts) AS lo, max(batch_ts) AS hi FROM cells GROUP BY uid),
+grid AS (SELECT uid, hub, partition_id, unnest(generate_series(lo, hi, CASE uid WHEN '{Q.UID2}' THEN {{step}} ELSE 1 END)) AS batch_ts
+         FROM parts JOIN rng USING (uid)),
 ledger AS (
-  SELECT g.batch_ts, '{Q.UID}' AS uid, g.hub, g.partition_id,
+  SELECT g.batch_ts, g.uid, g.hub, g.partition_id,
          coalesce(last_value(c.end_offset IGNORE NULLS) OVER w, -1) AS end_offset,
          coalesce(last_value(c.end_seq IGNORE NULLS) OVER w, -1) AS end_seq,
          coalesce(c.n, 0) AS n
   FROM grid g LEFT JOIN cells c
-    ON c.hub = g.hub AND c.partition_id = g.partition_id AND c.batch_ts = g.batch_ts
-  WINDOW w AS (PARTITION BY g.hub, g.partition_id ORDER BY g.batch_ts
+    ON c.uid = g.uid AND c.hub = g.hub AND c.partition_id = g.partition_id AND c.batch_ts = g.batch_ts
+  WINDOW w AS (PARTITION BY g.uid, g.hub, g.partition_id ORDER BY g.batch_ts
                ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))"""
+DAILY_LEDGER = LEDGER.format(step=1)
+LEDGER = LEDGER.format(step=Q.UID2_STEP)
 
 RAW_LEDGER = f"""raw_ledger AS (
-  SELECT batch_ts, '{Q.UID}' AS uid, hub, partition_id, end_offset, end_seq, n FROM cells)"""
+  SELECT batch_ts, uid, hub, partition_id, end_offset, end_seq, n FROM cells WHERE uid = '{Q.UID}')"""
 
 EXPECTED = f"""expected AS (SELECT DISTINCT '{Q.UID}' AS uid, hub, partition_id FROM env)"""
+EXPECTED_BOTH = f"""expected AS (SELECT DISTINCT uid, hub, partition_id FROM env, (VALUES {BOTH}) AS readers(uid))"""
 
-AS_OF = f"""as_of AS (
-  SELECT '{Q.UID}' AS uid, p.hub, p.partition_id,
+def _as_of(uid: str, name: str) -> str:
+    return f"""{name} AS (
+  SELECT '{uid}' AS uid, p.hub, p.partition_id,
          coalesce(f.batch_ts, -1) AS batch_ts, coalesce(f.end_offset, -1) AS end_offset,
          coalesce(f.end_seq, -1) AS end_seq
-  FROM (SELECT DISTINCT hub, partition_id FROM ledger WHERE uid = '{Q.UID}') p
-  LEFT JOIN (SELECT * FROM ledger WHERE uid = '{Q.UID}'
-             AND batch_ts = (SELECT max(batch_ts) FROM ledger WHERE batch_ts <= {Q.AS_OF_BATCH})) f
+  FROM (SELECT DISTINCT hub, partition_id FROM ledger WHERE uid = '{uid}') p
+  LEFT JOIN (SELECT * FROM ledger WHERE uid = '{uid}'
+             AND batch_ts = (SELECT max(batch_ts) FROM ledger WHERE uid = '{uid}' AND batch_ts <= {Q.AS_OF_BATCH})) f
     ON f.hub = p.hub AND f.partition_id = p.partition_id)"""
 
+
+AS_OF = _as_of(Q.UID, "as_of")
+AS_OF_2 = _as_of(Q.UID2, "as_of_2")
+
 LAG = """top AS (SELECT hub, partition_id, max(seqNumber) AS latest_seq FROM env GROUP BY ALL),
 lag AS (
   SELECT t.hub, t.partition_id, coalesce(a.end_seq, -1) AS current_seq, t.latest_seq,
@@ -65,12 +76,13 @@ lag AS (
 
 LEDGER_TEXT = """ledger_text AS (
   SELECT CAST(batch_ts AS VARCHAR) || ' ' || uid || ' ' || hub || ' ' || CAST(partition_id AS VARCHAR) || ' '
-         || CAST(end_offset AS VARCHAR) || ' ' || CAST(end_seq AS VARCHAR) AS value FROM {src})"""
+         || CAST(end_offset AS VARCHAR) || CASE WHEN end_seq % 7 = 0 THEN '' ELSE ' ' || CAST(end_seq AS VARCHAR) END AS value,
+         CASE WHEN batch_ts % 5 = 0 THEN batch_ts - 1 ELSE batch_ts END AS file_ts FROM {src})"""
 
 PARSE = """parsed AS (
-  SELECT string_split(rtrim(value, ' '), ' ') AS p FROM ledger_text),
+  SELECT file_ts, string_split(rtrim(value, ' '), ' ') AS p FROM ledger_text),
 typed AS (
-  SELECT p,
+  SELECT file_ts, p,
          CASE WHEN regexp_full_match(p[1], '[+-]?[0-9]+') THEN TRY_CAST(p[1] AS BIGINT) END AS f0,
          p[2] AS f1, p[3] AS f2,
          CASE WHEN regexp_full_match(p[4], '[+-]?[0-9]+') THEN TRY_CAST(p[4] AS INTEGER) END AS f3,
@@ -120,8 +132,8 @@ SQL: dict[str, str] = {
     "start_from_time": _with(ENV) + f"""SELECT hub, partition_id, seqNumber, enqueuedTime FROM env
         WHERE enqueuedTime > {Q.START_TIME}""",
     "slice_ranges": _with(ENV) + f""", b AS (
-        SELECT hub, partition_id, CAST(partition_id * {Q.RANGE_FROM_STRIDE} AS BIGINT) AS from_seq,
-               least(max(seqNumber), partition_id * {Q.RANGE_FROM_STRIDE} + {Q.RANGE_MAX_RATE}) AS until_seq
+        SELECT hub, partition_id, CAST(CASE partition_id WHEN 3 THEN -1 ELSE partition_id * {Q.RANGE_FROM_STRIDE} END AS BIGINT) AS from_seq,
+               least(max(seqNumber), CASE partition_id WHEN 3 THEN -1 ELSE partition_id * {Q.RANGE_FROM_STRIDE} END + {Q.RANGE_MAX_RATE}) AS until_seq
         FROM env GROUP BY hub, partition_id)
         SELECT e.hub, e.partition_id, e.seqNumber, e."offset", b.from_seq, b.until_seq
         FROM env e JOIN b ON b.hub = e.hub AND b.partition_id = e.partition_id
@@ -143,7 +155,7 @@ SQL: dict[str, str] = {
         FROM e JOIN b ON b.hub = e.hub AND b.partition_id = e.partition_id
         WHERE e.seqNumber > b.from_seq AND e.seqNumber <= b.until_seq""",
     "non_empty": _with(ENV) + """SELECT hub, partition_id, count(*) AS n_events,
-        count(*) FILTER (WHERE length(body_text) > 0) AS n_non_empty FROM env GROUP BY ALL""",
+        count(*) FILTER (WHERE seqNumber % 10 > 1) AS n_non_empty, count(*) FILTER (WHERE seqNumber % 10 > 1) AS n_kept FROM env GROUP BY ALL""",
     "window_counts": _with(ENV) + f""", w AS (SELECT enqueuedTime - enqueuedTime % {Q.WINDOW_SECONDS} AS ws FROM env),
         s AS (SELECT unnest(generate_series(min(ws), max(ws), {Q.WINDOW_SECONDS})) AS window_start FROM w)
         SELECT s.window_start, count(w.ws) AS n FROM s LEFT JOIN w ON w.ws = s.window_start GROUP BY 1""",
@@ -165,7 +177,7 @@ SQL: dict[str, str] = {
         max(seqNumber) AS end_seq, count(*) AS n FROM env GROUP BY ALL""",
     "ledger_rows": _ledger() + "SELECT batch_ts, uid, hub, partition_id, end_offset, end_seq, n FROM ledger",
     "parse_ledger": _ledger(LEDGER_TEXT.format(src="ledger"), PARSE) + f"SELECT {PARSED_COLUMNS} FROM records",
-    "ledger_as_of": _ledger(AS_OF) + "SELECT uid, hub, partition_id, batch_ts, end_offset, end_seq FROM as_of",
+    "ledger_as_of": _ledger(AS_OF, AS_OF_2) + "SELECT * FROM as_of UNION ALL SELECT * FROM as_of_2",
     "ledger_as_of_exact": _with(ENV, CELLS, RAW_LEDGER, EXPECTED) + f"""
         SELECT '{Q.UID}' AS uid, x.hub, x.partition_id, coalesce(r.batch_ts, -1) AS batch_ts,
                coalesce(r.end_offset, -1) AS end_offset, coalesce(r.end_seq, -1) AS end_seq
@@ -184,28 +196,28 @@ SQL: dict[str, str] = {
         FROM as_of a FULL OUTER JOIN upd u
           ON u.uid = a.uid AND u.hub = a.hub AND u.partition_id = a.partition_id""",
     "ledger_audit": _with(ENV, CELLS, RAW_LEDGER, EXPECTED, LEDGER_TEXT.format(src="raw_ledger"), PARSE) + f""",
-        rec AS (SELECT {PARSED_COLUMNS} FROM records),
+        rec AS (SELECT file_ts, {PARSED_COLUMNS} FROM records),
         marked AS (SELECT rec.*, x.uid IS NOT NULL AS in_expected FROM rec LEFT JOIN expected x
                    ON x.uid = rec.uid AND x.hub = rec.hub AND x.partition_id = rec.partition_id),
-        per AS (SELECT batch_ts, count(*) AS n_records, count(*) FILTER (WHERE NOT is_valid) AS n_malformed,
+        per AS (SELECT file_ts, count(*) AS n_records, count(*) FILTER (WHERE NOT is_valid) AS n_malformed,
                        count(DISTINCT CASE WHEN is_valid THEN batch_ts END) AS n_timestamps,
                        count(DISTINCT CASE WHEN is_valid AND in_expected THEN (uid, hub, partition_id) END)
                          AS present
-                FROM marked GROUP BY batch_ts)
-        SELECT batch_ts, n_records, n_malformed, n_timestamps,
+                FROM marked GROUP BY file_ts)
+        SELECT file_ts, n_records, n_malformed, n_timestamps,
                (SELECT count(*) FROM expected) - present AS n_missing,
                n_malformed = 0 AND n_timestamps = 1 AND present = (SELECT count(*) FROM expected) AS valid
         FROM per""",
-    "lost_partitions": _with(ENV, CELLS, RAW_LEDGER, EXPECTED) + """
+    "lost_partitions": _with(ENV, _cells(Q.LOST_BATCH_SECONDS, BOTH, f"enqueuedTime // {Q.LEDGER_BATCH_SECONDS} // 5 * 5 + 4"), EXPECTED_BOTH) + f"""
         SELECT x.uid, x.hub, x.partition_id FROM expected x
-        WHERE NOT EXISTS (SELECT 1 FROM raw_ledger r WHERE r.uid = x.uid AND r.hub = x.hub
-              AND r.partition_id = x.partition_id AND r.batch_ts = (SELECT max(batch_ts) FROM raw_ledger))""",
+        WHERE x.uid = '{Q.UID}' AND NOT EXISTS (SELECT 1 FROM cells r WHERE r.uid = x.uid AND r.hub = x.hub
+              AND r.partition_id = x.partition_id AND r.batch_ts = (SELECT max(batch_ts) FROM cells WHERE uid = '{Q.UID}'))""",
     "ledger_batch": _ledger() + f"""SELECT uid, hub, partition_id, end_offset, end_seq FROM ledger
-        WHERE batch_ts = {Q.AS_OF_BATCH}""",
-    "ledger_stored_batch": _with(ENV, _cells(Q.STORED_BATCH_SECONDS), LEDGER) + f"""SELECT uid, hub, partition_id,
+        WHERE batch_ts = {Q.BOTH_BATCH}""",
+    "ledger_stored_batch": _with(ENV, _cells(Q.STORED_BATCH_SECONDS, BOTH, where=f"uid = '{Q.UID}' OR partition_id <> 0"), DAILY_LEDGER) + f"""SELECT uid, hub, partition_id,
         end_offset, end_seq FROM ledger WHERE batch_ts = {Q.STORED_AS_OF_BATCH}""",
-    "ledger_retain": _ledger() + f"""SELECT * FROM ledger WHERE batch_ts > {Q.AS_OF_BATCH}
-        OR batch_ts = (SELECT max(batch_ts) FROM ledger WHERE batch_ts <= {Q.AS_OF_BATCH})""",
+    "ledger_retain": _ledger() + f"""SELECT * FROM ledger l WHERE batch_ts > {Q.AS_OF_BATCH}
+        OR batch_ts = (SELECT max(batch_ts) FROM ledger m WHERE m.uid = l.uid AND batch_ts <= {Q.AS_OF_BATCH})""",
     "batch_report": _ledger() + """, r AS (
         SELECT uid, batch_ts, hub, partition_id,
                end_seq - coalesce(lag(end_seq) OVER w, -1) AS size,

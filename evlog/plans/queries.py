@@ -13,19 +13,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evlog.functions.payload import count_non_empty, decode_payload, encode_json, payload_text
+from evlog.functions.payload import count_non_empty, decode_payload, encode_json, non_empty, payload_text
 from evlog.operators.counts import end_positions, running_total, sequence_gaps, window_counts
 from evlog.operators.ledger import (batch_report, format_ledger, ledger_as_of, ledger_audit, ledger_batch,
                                     ledger_merge, ledger_retain, ledger_rows, load_ledger, lost_partitions,
                                     parse_ledger, save_ledger)
 from evlog.session import materialize, work_path
-from evlog.sources.events import read_events, read_partition, union_hubs, union_partitions
+from evlog.sources.events import load_log, read_events, read_partition, save_log, union_hubs, union_partitions
 from evlog.sources.positions import partition_lag, slice_ranges, start_from, total_lag
 
 # Parameters shared with the oracle SQL.
 HUB = "hub1"
 PARTITIONS = 4
 UID = "ns1"
+UID2 = "ns2"                         # a second reader with batches of its own
+UID2_STEP, UID2_PHASE = 5, 4         # its batches are the hours that are 4 modulo 5; each covers the five hours up to it
 WINDOW_SECONDS = 60
 LEDGER_BATCH_SECONDS = 3600          # ledger batches are hours of enqueuedTime
 AS_OF_BATCH = 473552                 # hour number of 2024-01-09 08:00 UTC
@@ -36,6 +38,8 @@ RANGE_MAX_RATE = 200
 PROPERTY_KEYS = ["k", "missing"]
 HUB_PARTITIONS = {"click": 2, "view": 3, "purchase": 4, "signup": 1, "error": 2}
 HUB_MAX_RATE = {"click": 50, "view": 120, "purchase": 10, "signup": 300}   # "error" keeps the default
+LOST_BATCH_SECONDS = 60              # lost_partitions: batches of a minute, of which the newest lacks partitions
+BOTH_BATCH = 473549                  # an hour in which both readers have a batch
 LAST_BATCH_SECONDS = 600             # the update batch of ledger_merge: the final 10 minutes
 STORED_BATCH_SECONDS = 86400         # the stored ledger has daily batches
 STORED_AS_OF_BATCH = 19731           # day number of 2024-01-09
@@ -52,14 +56,27 @@ def hour(col: str = "enqueuedTime"):
 
 
 def ledger(spark: SparkSession, sf_dir: str, fill: bool = True) -> DataFrame:
-    """The hourly read ledger of the events. A ledger is a stored table, one
-    row per partition per batch; it is materialised once in the shared
+    """The read ledger of the events: one reader with hourly batches, one with
+    batches of five hours. A ledger is a stored table, one
+    row per reader, partition and batch; it is materialised once in the shared
     checkpoint folder, so the lookups below do not rebuild it from events."""
-    return materialize(ledger_rows(events(spark, sf_dir), hour(), UID, fill=fill))
+    env = events(spark, sf_dir)
+    second = F.floor(hour() / UID2_STEP) * UID2_STEP + UID2_PHASE
+    return materialize(ledger_rows(env, hour(), UID, fill=fill)
+                       .unionByName(ledger_rows(env, second, UID2, batch_step=UID2_STEP, fill=fill)))
 
 
 def _expected(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return events(spark, sf_dir).select(F.lit(UID).alias("uid"), "hub", "partition_id").distinct()
+    return (events(spark, sf_dir).select("hub", "partition_id").distinct()
+            .select(F.explode(F.array(F.lit(UID), F.lit(UID2))).alias("uid"), "hub", "partition_id"))
+
+
+def ledger_lines(df: DataFrame) -> DataFrame:
+    """Ledger lines in files: lines of every fifth batch are in the file of the batch before it, and some lack their last field."""
+    file_ts = F.when(F.col("batch_ts") % 5 == 0, F.col("batch_ts") - 1).otherwise(F.col("batch_ts"))
+    lines = format_ledger(df.withColumn("file_ts", file_ts), keep=["file_ts", "end_seq"])
+    cut = F.when(F.col("end_seq") % 7 == 0, F.regexp_replace("value", " [^ ]+$", "")).otherwise(F.col("value"))
+    return lines.select("file_ts", cut.alias("value"))
 
 
 def _positions_view(df: DataFrame) -> DataFrame:
@@ -85,21 +102,28 @@ def q_one_partition(spark, sf_dir):
     return read_partition(events(spark, sf_dir), 2).select("partition_id", "seqNumber", "offset", "enqueuedTime")
 
 
+def stored_log(spark: SparkSession, sf_dir: str, **envelope) -> DataFrame:
+    """The events stored in hub and partition folders, so that each input of a union reads only its own."""
+    path = work_path(spark, "log")
+    save_log(events(spark, sf_dir, **envelope), path)
+    return load_log(spark, path)
+
+
 def q_union_partitions(spark, sf_dir):
-    env = events(spark, sf_dir)
-    return union_partitions([read_partition(env, p) for p in range(PARTITIONS)]).select(
+    log = stored_log(spark, sf_dir)
+    return union_partitions([read_partition(log, p, HUB) for p in range(PARTITIONS)]).select(
         "hub", "partition_id", "seqNumber", "offset")
 
 
 def q_union_hubs(spark, sf_dir):
-    hubs = {name: events(spark, sf_dir, hub=name, num_partitions=n).filter(F.col("partitionKey") == name)
-            for name, n in HUB_PARTITIONS.items()}
+    log = stored_log(spark, sf_dir, hub_col="event_type", num_partitions=HUB_PARTITIONS)
+    hubs = {name: log.filter(F.col("hub") == name) for name in HUB_PARTITIONS}
     return union_hubs(hubs).select("hub", "partition_id", "seqNumber", "partitionKey")
 
 
 def q_start_from_checkpoint(spark, sf_dir):
     saved = ledger_as_of(ledger(spark, sf_dir), UID, AS_OF_BATCH)
-    return start_from(events(spark, sf_dir), checkpoint=saved).select("hub", "partition_id", "seqNumber", "offset")
+    return start_from(events(spark, sf_dir), checkpoint=saved, complete=True).select("hub", "partition_id", "seqNumber", "offset")
 
 
 def q_start_from_offset(spark, sf_dir):
@@ -113,8 +137,9 @@ def q_start_from_time(spark, sf_dir):
 
 
 def q_slice_ranges(spark, sf_dir):
+    """Partition 3 has no saved position: it starts at the start of the log."""
     env = events(spark, sf_dir)
-    positions = env.select("hub", "partition_id").distinct().withColumn(
+    positions = env.select("hub", "partition_id").distinct().filter("partition_id < 3").withColumn(
         "end_seq", (F.col("partition_id") * RANGE_FROM_STRIDE).cast("long"))
     return slice_ranges(env, positions, max_rate=RANGE_MAX_RATE).select(
         "hub", "partition_id", "seqNumber", "offset", "from_seq", "until_seq")
@@ -147,8 +172,12 @@ def q_payload_json(spark, sf_dir):
 
 
 def q_non_empty(spark, sf_dir):
-    return events(spark, sf_dir).groupBy("hub", "partition_id").agg(
-        F.count(F.lit(1)).alias("n_events"), count_non_empty("body").alias("n_non_empty"))
+    """Every tenth body is empty, and every tenth null."""
+    bodies = events(spark, sf_dir).withColumn("body", F.when(F.col("seqNumber") % 10 == 0, F.lit(b"")).when(
+        F.col("seqNumber") % 10 != 1, F.col("body")))
+    kept = non_empty(bodies).groupBy("hub", "partition_id").agg(F.count("*").alias("n_kept"))
+    counts = bodies.groupBy("hub", "partition_id").agg(F.count(F.lit(1)).alias("n_events"), count_non_empty("body").alias("n_non_empty"))
+    return counts.join(kept, ["hub", "partition_id"])
 
 
 # --- 2.3 aggregates ------------------------------------------------------------------------------
@@ -174,16 +203,18 @@ def q_ledger_rows(spark, sf_dir):
 
 
 def q_parse_ledger(spark, sf_dir):
-    return parse_ledger(format_ledger(ledger(spark, sf_dir)))
+    return parse_ledger(ledger_lines(ledger(spark, sf_dir)))
 
 
 def q_ledger_as_of(spark, sf_dir):
-    return ledger_as_of(ledger(spark, sf_dir), UID, AS_OF_BATCH)
+    """Each reader's own newest batch: the second one's is older."""
+    both = ledger(spark, sf_dir)
+    return ledger_as_of(both, UID, AS_OF_BATCH).unionByName(ledger_as_of(both, UID2, AS_OF_BATCH))
 
 
 def q_ledger_as_of_exact(spark, sf_dir):
     return ledger_as_of(ledger(spark, sf_dir, fill=False), UID, AS_OF_BATCH, exact=True,
-                        expected=_expected(spark, sf_dir))
+                        expected=_expected(spark, sf_dir).filter(F.col("uid") == UID))
 
 
 def q_ledger_merge(spark, sf_dir):
@@ -198,24 +229,28 @@ def q_ledger_merge(spark, sf_dir):
 
 
 def q_ledger_audit(spark, sf_dir):
-    records = parse_ledger(format_ledger(ledger(spark, sf_dir, fill=False)))
-    return ledger_audit(records, _expected(spark, sf_dir))
+    records = parse_ledger(ledger_lines(ledger(spark, sf_dir, fill=False).filter(F.col("uid") == UID)), keep=["file_ts"])
+    return ledger_audit(records, _expected(spark, sf_dir).filter(F.col("uid") == UID), file_col="file_ts")
 
 
 def q_lost_partitions(spark, sf_dir):
-    return lost_partitions(ledger(spark, sf_dir, fill=False), _expected(spark, sf_dir))
+    minute = F.floor(F.col("enqueuedTime") / LOST_BATCH_SECONDS).cast("long")
+    recent = ledger_rows(events(spark, sf_dir), minute, UID, fill=False).unionByName(ledger(spark, sf_dir).filter(F.col("uid") == UID2))
+    return lost_partitions(recent, _expected(spark, sf_dir))
 
 
 def q_ledger_batch(spark, sf_dir):
-    return ledger_batch(ledger(spark, sf_dir), AS_OF_BATCH)
+    return ledger_batch(ledger(spark, sf_dir), BOTH_BATCH)
 
 
 def q_ledger_stored_batch(spark, sf_dir):
-    """A daily ledger stored partitioned by batch, then one batch looked up:
-    the lookup reads a single batch folder."""
+    """Two readers' daily ledgers stored one after the other, then one batch looked up:
+    the lookup reads that batch's folders, and the second reader's rows have not replaced the first one's."""
     path = work_path(spark, "ledger")
     day = F.floor(F.col("enqueuedTime") / STORED_BATCH_SECONDS).cast("long")
-    save_ledger(ledger_rows(events(spark, sf_dir), day, UID), path)
+    env = events(spark, sf_dir)
+    save_ledger(ledger_rows(env, day, UID), path)
+    save_ledger(ledger_rows(env.filter(F.col("partition_id") != 0), day, UID2), path)
     return ledger_batch(load_ledger(spark, path), STORED_AS_OF_BATCH)
 
 

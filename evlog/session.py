@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -19,10 +20,10 @@ DEFAULT_CONF = {
 }
 
 
-# Starting points for a large cluster (pass as ``get_session(**CLUSTER_CONF)``
-# or in spark-defaults). Shuffle width is left to adaptive execution from a
-# high initial number; scans use larger splits; streaming state lives in
-# RocksDB instead of the executor heap.
+# Settings for a large cluster, applied by ``get_session`` off-local where the
+# user gave none. Shuffle width is left to adaptive execution from a high
+# initial number; scans use larger splits; streaming state lives in RocksDB
+# instead of the executor heap.
 CLUSTER_CONF = {
     "spark.sql.adaptive.coalescePartitions.initialPartitionNum": "8192",
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
@@ -33,15 +34,32 @@ CLUSTER_CONF = {
 }
 
 
-def get_session(master: str = "local[*]", shuffle_partitions: int = 8, app: str = "evlog", **conf) -> SparkSession:
-    """Build (or reuse) a session with the library's settings."""
-    builder = SparkSession.builder.master(master).appName(app)
+def is_local(spark: SparkSession) -> bool:
+    """True if driver and executors are one process, so a local folder is shared by all of them."""
+    return bool(re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master))
+
+
+def get_session(master: str | None = None, shuffle_partitions: int | None = None, app: str = "evlog", **conf) -> SparkSession:
+    """Build (or reuse) a session with the library's settings.
+
+    Master and shuffle width are only set when given: a launcher's
+    (``spark-submit --master ... --conf ...``) or an existing session's hold.
+    """
+    builder = SparkSession.builder.appName(app)
+    if master is not None:
+        builder = builder.master(master)
     settings = dict(DEFAULT_CONF)
-    settings["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
+    if shuffle_partitions is not None:
+        settings["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     settings.update({k: str(v) for k, v in conf.items()})
     for key, value in settings.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
+    if not is_local(spark):
+        given = spark.sparkContext.getConf()
+        for key, value in CLUSTER_CONF.items():
+            if not given.contains(key) and key not in settings:
+                spark.conf.set(key, value)
     ensure_checkpoint_dir(spark)
     return spark
 
@@ -50,7 +68,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by the cluster.
 
     ``spark.checkpoint.dir`` is read from the session. Only when it is unset
-    (a test or a laptop) is a fresh local folder created and registered.
+    and the master is local (a test or a laptop) is a fresh local folder created
+    and registered; on a cluster executors would not share it, so that is an error.
     """
     try:
         sc = spark.sparkContext
@@ -64,6 +83,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     base = sc.getConf().get("spark.checkpoint.dir", None)
     if not base:
+        if not is_local(spark):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="evlog-checkpoint-")
     sc.setCheckpointDir(base)
     return sc.getCheckpointDir()

@@ -17,13 +17,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evlog.functions.payload import enqueued_seconds
-from evlog.functions.properties import properties_map
-from evlog.schema import ENVELOPE_COLUMNS, EVENTS_SCHEMA, PARTITION_NAME_FORMAT
+from evlog.functions.properties import property_columns
+from evlog.schema import ENVELOPE_COLUMNS, ENVELOPE_SCHEMA, EVENTS_SCHEMA, PARTITION_KEY, PARTITION_NAME_FORMAT
 
 # Bytes per event in the synthetic offset (offset = event_id * OFFSET_STRIDE).
 OFFSET_STRIDE = 64
 DEFAULT_HUB = "hub1"
 DEFAULT_PARTITIONS = 4
+# Layouts of a stored log: plain events, or envelope rows (as ``save_log`` and the Parquet sink write them).
+LANDED, ENVELOPE = "landed", "envelope"
 _EPOCH = datetime.datetime(1970, 1, 1)
 
 
@@ -64,22 +66,22 @@ def to_envelope(df: DataFrame, hub: str = DEFAULT_HUB, hub_col: str | None = Non
         F.col("user_id").cast("string").alias("publisher"),
         F.col("event_type").alias("partitionKey"),
     ]
-    if properties is True:
-        cols.append(properties_map("props").alias("properties"))
-    elif properties:
-        parsed = properties_map("props")
-        cols += [F.coalesce(parsed.getItem(k), F.lit("")).alias(k) for k in properties]
+    if properties:
+        cols += property_columns("props", None if properties is True else list(properties))
     return df.select(*cols)
 
 
-def raw_bounds(after_offset: int | None = None, after_time: int | None = None) -> Column | None:
-    """Start bounds stated on the landed columns, so that Parquet can skip row
-    groups: ``offset > X`` is ``event_id > floor(X / stride)``, and
+def raw_bounds(after_offset: int | None = None, after_time: int | None = None, layout: str = LANDED) -> Column | None:
+    """Start bounds stated on the stored columns, so that Parquet can skip row
+    groups. In the landed layout ``offset > X`` is ``event_id > floor(X / stride)``, and
     ``enqueuedTime > T`` (whole seconds) is ``ts >= T + 1 s``."""
     cond = None
     if after_offset is not None:
-        cond = F.col("event_id") > int(after_offset) // OFFSET_STRIDE
-    if after_time is not None:
+        cond = F.col("offset") > int(after_offset) if layout == ENVELOPE else F.col("event_id") > int(after_offset) // OFFSET_STRIDE
+    if after_time is not None and layout == ENVELOPE:
+        by_time = F.col("enqueuedTime") > int(after_time)
+        cond = by_time if cond is None else cond & by_time
+    elif after_time is not None:
         start = _EPOCH + datetime.timedelta(seconds=int(after_time) + 1)
         by_time = F.col("ts") >= F.expr(f"TIMESTAMP_NTZ '{start.isoformat(sep=' ')}'")
         cond = by_time if cond is None else cond & by_time
@@ -88,14 +90,18 @@ def raw_bounds(after_offset: int | None = None, after_time: int | None = None) -
 
 def read_events(spark: SparkSession, path: str, streaming: bool = False, file_glob: str | None = None,
                 max_files_per_trigger: int | None = None, after_offset: int | None = None,
-                after_time: int | None = None, **envelope) -> DataFrame:
-    """Read a landed event table (Parquet) as envelope rows, batch or streaming.
+                after_time: int | None = None, layout: str | None = None, **envelope) -> DataFrame:
+    """Read a stored event log (Parquet) as envelope rows, batch or streaming.
 
     ``after_offset`` / ``after_time`` (epoch seconds) keep only events after
-    that point, filtered on the landed columns and pushed into the scan.
+    that point, filtered on the stored columns and pushed into the scan.
+    ``layout`` is ``landed`` or ``envelope``; a batch read sees it from the columns, a
+    stream has to be told (default ``landed``).
     """
+    if layout not in (None, LANDED, ENVELOPE):
+        raise ValueError("layout is 'landed' or 'envelope'")
     if streaming:
-        reader = spark.readStream.schema(EVENTS_SCHEMA)
+        reader = spark.readStream.schema(ENVELOPE_SCHEMA if layout == ENVELOPE else EVENTS_SCHEMA)
         if max_files_per_trigger:
             reader = reader.option("maxFilesPerTrigger", int(max_files_per_trigger))
     else:
@@ -103,7 +109,7 @@ def read_events(spark: SparkSession, path: str, streaming: bool = False, file_gl
     if file_glob:
         reader = reader.option("pathGlobFilter", file_glob)
     raw = reader.parquet(path)
-    cond = raw_bounds(after_offset, after_time)
+    cond = raw_bounds(after_offset, after_time, layout or (ENVELOPE if "seqNumber" in raw.columns else LANDED))
     return to_envelope(raw if cond is None else raw.filter(cond), **envelope)
 
 
@@ -137,6 +143,37 @@ def kafka_envelope(df: DataFrame, properties: bool | Sequence[str] = False) -> D
     return df.select(*cols)
 
 
+def read_kafka(spark: SparkSession, options: Mapping[str, str], max_offsets_per_trigger: int | None = None,
+               properties: bool | Sequence[str] = False) -> DataFrame:
+    """A stream of envelope rows from Spark's Kafka source (its package must be on the class path).
+
+    ``options`` are the source's own (``kafka.bootstrap.servers``, ``subscribe``, ``startingOffsets``, ...);
+    ``max_offsets_per_trigger`` caps the events of a batch.
+    """
+    return kafka_envelope(spark.readStream.format("kafka").options(**kafka_options(options, max_offsets_per_trigger, bool(properties))).load(),
+                          properties)
+
+
+def kafka_options(options: Mapping[str, str], max_offsets_per_trigger: int | None = None, headers: bool = False) -> dict[str, str]:
+    out = {str(k): str(v) for k, v in options.items()}
+    if max_offsets_per_trigger is not None:
+        if int(max_offsets_per_trigger) <= 0:
+            raise ValueError("max_offsets_per_trigger must be positive")
+        out["maxOffsetsPerTrigger"] = str(int(max_offsets_per_trigger))
+    if headers:
+        out["includeHeaders"] = "true"
+    return out
+
+
+def save_log(df: DataFrame, path: str) -> None:
+    """Store envelope rows in ``hub=/partition_id=`` folders, so that reading a partition or a hub reads only its folders."""
+    df.write.partitionBy(*PARTITION_KEY).parquet(path)
+
+
+def load_log(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(ENVELOPE_SCHEMA).parquet(path)
+
+
 def read_partition(df: DataFrame, partition_id: int, hub: str | None = None) -> DataFrame:
     """Only the events of one partition (and hub). On a log laid out by
     ``hub``/``partition_id`` folders the filter prunes whole folders."""

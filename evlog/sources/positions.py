@@ -14,17 +14,30 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evlog.operators.counts import end_positions
-from evlog.plans.joins import join_small
+from evlog.plans.joins import join_small, materialize_small
 from evlog.schema import DEFAULT_MAX_RATE, PARTITION_KEY, START_OF_LOG
 
 
+def within(df: DataFrame, bounds: DataFrame, low: str, high: str | None = None) -> DataFrame:
+    """``df`` without the events outside all of the small ``bounds``: one row of bounds is read and stated as
+    literals, which Parquet scans use to skip row groups. No bounds, no events."""
+    names = [F.min(low)] + ([F.max(high)] if high else [])
+    found = bounds.agg(*names).first()
+    if found[0] is None:
+        return df.filter(F.lit(False))
+    out = df.filter(F.col("seqNumber") > int(found[0]))
+    return out.filter(F.col("seqNumber") <= int(found[1])) if high else out
+
+
 def start_from(df: DataFrame, checkpoint: DataFrame | None = None, offset: int | None = None,
-               enqueued: int | None = None) -> DataFrame:
+               enqueued: int | None = None, complete: bool = False) -> DataFrame:
     """Events after the start position of their partition.
 
     Per partition the start is, in this order: the saved checkpoint offset
     (unless null or -1), else ``offset``, else ``enqueued`` (epoch seconds),
-    else the start of the log. All bounds are exclusive.
+    else the start of the log. All bounds are exclusive. ``complete`` says that
+    the checkpoint (with ``end_seq``) has every partition that is to be read;
+    its lowest position is then pushed into the scan and other partitions are left out.
     """
     fallback: Column = F.lit(True)
     if enqueued is not None:
@@ -33,8 +46,13 @@ def start_from(df: DataFrame, checkpoint: DataFrame | None = None, offset: int |
         fallback = F.col("offset") > int(offset)
     if checkpoint is None:
         return df.filter(fallback)
-    saved = checkpoint.select(*PARTITION_KEY, F.col("end_offset").alias("_cp_offset"))
-    joined = join_small(df, saved, PARTITION_KEY, "left")
+    saved, fits = materialize_small(checkpoint.select(*PARTITION_KEY, F.col("end_offset").alias("_cp_offset"),
+                                                      *(["end_seq"] if complete else [])))
+    if complete:
+        low = F.when(F.col("_cp_offset").isNull() | (F.col("_cp_offset") == START_OF_LOG), START_OF_LOG).otherwise(F.col("end_seq"))
+        df = within(df, saved.withColumn("_low", low), "_low")
+        saved = saved.drop("end_seq")
+    joined = df.join(F.broadcast(saved) if fits else saved, PARTITION_KEY, "inner" if complete else "left")
     has_cp = F.col("_cp_offset").isNotNull() & (F.col("_cp_offset") != START_OF_LOG)
     return joined.filter(F.when(has_cp, F.col("offset") > F.col("_cp_offset")).otherwise(fallback)).drop("_cp_offset")
 
@@ -53,11 +71,13 @@ def _rate(max_rate: int | Mapping[str, int]) -> Column:
 def range_bounds(positions: DataFrame, latest: DataFrame, max_rate: int | Mapping[str, int] = DEFAULT_MAX_RATE,
                  seq_col: str = "end_seq") -> DataFrame:
     """Per partition: ``from_seq`` (exclusive) and
-    ``until_seq = min(latest_seq, from_seq + max_rate)`` (inclusive)."""
+    ``until_seq = min(latest_seq, from_seq + max_rate)`` (inclusive). A
+    partition without a position starts at the start of the log."""
     rate = _rate(max_rate)
     pos = positions.select(*PARTITION_KEY, F.col(seq_col).cast("long").alias("from_seq"))
     top = latest.select(*PARTITION_KEY, F.col("end_seq").alias("latest_seq"))
-    return pos.join(top, PARTITION_KEY, "inner").select(
+    pos = top.join(pos, PARTITION_KEY, "left").withColumn("from_seq", F.coalesce("from_seq", F.lit(START_OF_LOG).cast("long")))
+    return pos.select(
         *PARTITION_KEY, "from_seq", F.least(F.col("latest_seq"), F.col("from_seq") + rate).alias("until_seq"))
 
 
@@ -67,7 +87,8 @@ def slice_ranges(df: DataFrame, positions: DataFrame, max_rate: int | Mapping[st
     min(latest, from_seq + max_rate)``. ``max_rate`` may differ per hub;
     ``latest`` defaults to the highest sequence number in ``df``."""
     bounds = range_bounds(positions, latest if latest is not None else end_positions(df), max_rate, seq_col)
-    joined = join_small(df, bounds, PARTITION_KEY, "inner")
+    bounds, fits = materialize_small(bounds)
+    joined = within(df, bounds, "from_seq", "until_seq").join(F.broadcast(bounds) if fits else bounds, PARTITION_KEY, "inner")
     return joined.filter((F.col("seqNumber") > F.col("from_seq")) & (F.col("seqNumber") <= F.col("until_seq")))
 
 

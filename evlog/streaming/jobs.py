@@ -17,120 +17,138 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from evlog.sources.events import read_events
+from evlog.schema import JDBC_PAYLOAD_TYPE
+from evlog.sources.events import read_events, read_kafka, union_hubs
 from evlog.streaming import sinks
 from evlog.streaming.stream import stream_running_total, stream_window_counts
 
 
 @dataclass
 class JobConfig:
-    source: str                              # folder of the landed event log
     checkpoint: str                          # job folder: one sub-folder per query
+    source: str | None = None                # folder of the stored event log
+    hubs: dict | None = None                 # or several: hub name -> {"source": folder, "num_partitions": count}
+    kafka: dict | None = None                # or options of Spark's Kafka source
     interval_seconds: int = 10               # batch interval and count window
     timeout_minutes: float | None = None     # None or negative: run until stopped
     available_now: bool = False              # process what is there, then stop
     max_files_per_trigger: int | None = None
+    max_offsets_per_trigger: int | None = None   # Kafka: events per batch
     file_glob: str | None = None
+    layout: str | None = None                # of the stored log: "landed" (default) or "envelope"
+    after_offset: int | None = None          # start after this offset ...
+    after_time: int | None = None            # ... or after this epoch second
+    properties: bool | list = False          # True: map of properties; list: a column per key
+    # None: every event counts, however late. Seconds: interval counts are kept in state and events that are later
+    # than this behind the newest one may be lost.
+    watermark_seconds: int | None = None
     envelope: dict = field(default_factory=dict)
     console: bool = False
 
     def __post_init__(self):
         if int(self.interval_seconds) <= 0:
             raise ValueError("batch interval must be a positive number of seconds")
+        if sum(x is not None for x in (self.source, self.hubs, self.kafka)) != 1:
+            raise ValueError("give one of source, hubs and kafka")
 
 
 def read_stream(spark: SparkSession, cfg: JobConfig) -> DataFrame:
-    return read_events(spark, cfg.source, streaming=True, file_glob=cfg.file_glob,
-                       max_files_per_trigger=cfg.max_files_per_trigger, **cfg.envelope)
+    if cfg.kafka is not None:
+        return read_kafka(spark, cfg.kafka, cfg.max_offsets_per_trigger, cfg.properties)
 
+    def stored(folder: str, **envelope) -> DataFrame:
+        return read_events(spark, folder, streaming=True, file_glob=cfg.file_glob, max_files_per_trigger=cfg.max_files_per_trigger,
+                           after_offset=cfg.after_offset, after_time=cfg.after_time, layout=cfg.layout,
+                           **{"properties": cfg.properties, **cfg.envelope, **envelope})
 
-def graceful_stop(query: StreamingQuery, poll_seconds: float = 0.5, max_wait_seconds: float = 300.0) -> None:
-    """Stop between batches: wait until no trigger is running, then stop."""
-    deadline = time.monotonic() + max_wait_seconds
-    while query.isActive and query.status.get("isTriggerActive") and time.monotonic() < deadline:
+    if cfg.hubs is not None:
+        return union_hubs({name: stored(hub["source"], hub=name, **({"num_partitions": hub["num_partitions"]} if "num_partitions" in hub else {}))
+                           for name, hub in cfg.hubs.items()})
+    return stored(cfg.source)
+
+
+def graceful_stop(query: StreamingQuery, poll_seconds: float = 0.2, max_wait_seconds: float | None = None) -> None:
+    """Stop between batches: wait until no trigger is running, then stop. ``max_wait_seconds`` cuts a longer batch off.
+    A batch that starts in the moment before the stop is repeated by the next run, like any other unfinished one."""
+    deadline = None if max_wait_seconds is None else time.monotonic() + max_wait_seconds
+    while query.isActive and query.status.get("isTriggerActive") and (deadline is None or time.monotonic() < deadline):
         time.sleep(poll_seconds)
     query.stop()
 
 
-def await_queries(queries: list[StreamingQuery], timeout_minutes: float | None = None) -> None:
-    """Wait for the queries: forever when ``timeout_minutes`` is None or
-    negative, else up to that long, then stop them gracefully."""
-    if timeout_minutes is None or timeout_minutes < 0:
+def await_queries(queries: list[StreamingQuery], timeout_minutes: float | None = None, poll_seconds: float = 0.2,
+                  max_wait_seconds: float | None = None) -> None:
+    """Wait until all queries end, or until ``timeout_minutes`` (None or negative: no limit) are over, then stop the rest
+    gracefully. If a query fails the others are stopped and its error is raised."""
+    deadline = None if timeout_minutes is None or timeout_minutes < 0 else time.monotonic() + timeout_minutes * 60
+    try:
+        while any(q.isActive for q in queries) and (deadline is None or time.monotonic() < deadline):
+            if any(q.exception() is not None for q in queries):
+                break
+            time.sleep(poll_seconds)
+    finally:
         for q in queries:
-            q.awaitTermination()
-        return
-    deadline = time.monotonic() + timeout_minutes * 60
-    for q in queries:
-        left = max(0.0, deadline - time.monotonic())
-        if not q.awaitTermination(left):
-            graceful_stop(q)
+            if q.isActive:
+                graceful_stop(q, poll_seconds, max_wait_seconds)
     for q in queries:
-        if q.isActive:
-            graceful_stop(q)
+        if q.exception() is not None:
+            raise q.exception()
 
 
-def _counts(spark: SparkSession, cfg: JobConfig, stream: DataFrame, total_prefix: str) -> list[StreamingQuery]:
-    """Per-interval counts (upserted by window) and the running total text."""
+def _run(spark: SparkSession, cfg: JobConfig, rows: list[sinks.BatchWriter], total_prefix: str) -> list[StreamingQuery]:
+    """One query writes the rows and the counts per interval of each batch; a second one, which reads no payload, keeps the
+    running total in the state store and writes it as text."""
+    stream = read_stream(spark, cfg)
     base = cfg.checkpoint.rstrip("/")
     common = dict(trigger_seconds=cfg.interval_seconds, available_now=cfg.available_now)
-    windows = stream_window_counts(stream, cfg.interval_seconds)
-    started = [
-        sinks.sink_upserts(windows, f"{base}/window_counts", f"{base}/_cp/window_counts", **common),
-        sinks.sink_total_text(stream_running_total(stream), total_prefix, f"{base}/_cp/total", **common),
-    ]
+    queries = []
+    if cfg.watermark_seconds is None:
+        rows = [*rows, sinks.counts_writer(f"{base}/window_counts", cfg.interval_seconds, show=cfg.console)]
+    else:
+        windows = stream_window_counts(stream, cfg.interval_seconds, cfg.watermark_seconds)
+        queries.append(sinks.sink_upserts(windows, f"{base}/window_counts", f"{base}/_cp/window_counts", **common))
+    if rows:
+        queries.append(sinks.sink_all(stream, rows, f"{base}/_cp/rows", **common))
+    queries.append(sinks.sink_total_text(stream_running_total(stream), total_prefix, f"{base}/_cp/total", **common))
     if cfg.console:
-        started.append(sinks.sink_console(stream_running_total(stream), f"{base}/_cp/console",
-                                          output_mode="complete", **common))
-    return started
+        queries.append(sinks.sink_console(stream_running_total(stream), f"{base}/_cp/console", output_mode="complete", **common))
+    await_queries(queries, cfg.timeout_minutes)
+    return queries
+
+
+def job_counts(spark: SparkSession, cfg: JobConfig) -> DataFrame:
+    """``(window_start, n)`` as the job has counted so far."""
+    path = f"{cfg.checkpoint.rstrip('/')}/window_counts"
+    return sinks.read_counts(spark, path) if cfg.watermark_seconds is None else sinks.read_upserts(spark, path, ["window_start"])
 
 
 def count_job(spark: SparkSession, cfg: JobConfig, total_prefix: str) -> list[StreamingQuery]:
     """Events per interval and in total."""
-    queries = _counts(spark, cfg, read_stream(spark, cfg), total_prefix)
-    await_queries(queries, cfg.timeout_minutes if not cfg.available_now else None)
-    return queries
+    return _run(spark, cfg, [], total_prefix)
 
 
 def json_job(spark: SparkSession, cfg: JobConfig, out_path: str, total_prefix: str,
              mode: str = "latest") -> list[StreamingQuery]:
     """Payload rows as JSON strings (Parquet files) plus counts."""
-    stream = read_stream(spark, cfg)
-    base = cfg.checkpoint.rstrip("/")
-    queries = [sinks.sink_json(stream, out_path, f"{base}/_cp/json", mode, cfg.interval_seconds, cfg.available_now)]
-    queries += _counts(spark, cfg, stream, total_prefix)
-    await_queries(queries, cfg.timeout_minutes if not cfg.available_now else None)
-    return queries
+    return _run(spark, cfg, [sinks.json_writer(out_path, mode)], total_prefix)
 
 
 def table_job(spark: SparkSession, cfg: JobConfig, table: str, total_prefix: str, location: str | None = None,
               idempotent: bool = True) -> list[StreamingQuery]:
     """Payload rows appended to a catalog table plus counts."""
-    stream = read_stream(spark, cfg)
-    base = cfg.checkpoint.rstrip("/")
-    queries = [sinks.sink_table(stream, table, f"{base}/_cp/table", location, idempotent, cfg.interval_seconds,
-                                cfg.available_now)]
-    queries += _counts(spark, cfg, stream, total_prefix)
-    await_queries(queries, cfg.timeout_minutes if not cfg.available_now else None)
-    return queries
+    sinks.ensure_table(spark, table, location, idempotent)
+    return _run(spark, cfg, [sinks.table_writer(table, idempotent)], total_prefix)
 
 
 def jdbc_job(spark: SparkSession, cfg: JobConfig, url: str, table: str, total_prefix: str,
-             properties: dict | None = None, dedupe_key: bool = False) -> list[StreamingQuery]:
+             properties: dict | None = None, dedupe_key: bool = False, payload_type: str = JDBC_PAYLOAD_TYPE) -> list[StreamingQuery]:
     """Payload rows inserted into a JDBC table plus counts."""
-    stream = read_stream(spark, cfg)
-    base = cfg.checkpoint.rstrip("/")
-    queries = [sinks.sink_jdbc(stream, url, table, f"{base}/_cp/jdbc", properties, cfg.interval_seconds,
-                               cfg.available_now, dedupe_key)]
-    queries += _counts(spark, cfg, stream, total_prefix)
-    await_queries(queries, cfg.timeout_minutes if not cfg.available_now else None)
-    return queries
+    return _run(spark, cfg, [sinks.jdbc_writer(url, table, properties, dedupe_key, payload_type)], total_prefix)
 
 
 def parquet_job(spark: SparkSession, cfg: JobConfig, out_path: str) -> list[StreamingQuery]:
     """Envelope rows appended to Parquet, partitioned by event date."""
-    stream = read_stream(spark, cfg)
-    base = cfg.checkpoint.rstrip("/")
-    queries = [sinks.sink_parquet(stream, out_path, f"{base}/_cp/parquet", trigger_seconds=cfg.interval_seconds,
-                                  available_now=cfg.available_now)]
-    await_queries(queries, cfg.timeout_minutes if not cfg.available_now else None)
+    queries = [sinks.sink_parquet(read_stream(spark, cfg), out_path, f"{cfg.checkpoint.rstrip('/')}/_cp/parquet",
+                                  trigger_seconds=cfg.interval_seconds, available_now=cfg.available_now)]
+    await_queries(queries, cfg.timeout_minutes)
     return queries

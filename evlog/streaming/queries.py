@@ -4,6 +4,10 @@ Each one streams the whole ``events`` table (``availableNow``) through a
 streaming operator and a sink into a fresh folder under the session's
 checkpoint folder, then returns a batch read of what the sink wrote. The
 oracle SQL states the rows the sink must hold.
+
+The stream has four batches, the oldest events last: the table is first stored
+as four slices of ``event_id``, newest first, each of ``SLICE_FILES`` files, and
+a batch takes as many files.
 """
 
 from __future__ import annotations
@@ -17,19 +21,30 @@ from evlog.plans import queries as Q
 from evlog.plans.oracle import ENV, SQL, _with
 from evlog.session import work_path
 from evlog.operators.counts import fill_idle
-from evlog.sources.events import read_events, union_hubs
+from evlog.sources.events import ENVELOPE, read_events, save_log, union_hubs
 from evlog.streaming import sinks
-from evlog.streaming.direct import run_direct_batch
 from evlog.streaming.stream import stream_running_total, stream_window_counts
 
-STREAM_HUBS = ("click", "view")
-DIRECT_BATCHES = 2
+SLICES = 4
+SLICE_FILES = 2
+
+
+def _staged(spark: SparkSession, sf_dir: str) -> str:
+    """A folder with the events in ``SLICES`` slices; a stream reads them in the order in which they're written."""
+    path = work_path(spark, "staged")
+    raw = spark.read.parquet(f"{sf_dir}/events.parquet")
+    n = raw.agg(F.max("event_id")).first()[0]
+    rows = 0 if n is None else n + 1
+    for i in reversed(range(SLICES)):
+        part = raw.filter((F.col("event_id") * SLICES >= i * rows) & (F.col("event_id") * SLICES < (i + 1) * rows))
+        part.repartition(SLICE_FILES).write.mode("append").parquet(path)
+    return path
 
 
 def _stream(spark: SparkSession, sf_dir: str, **envelope) -> DataFrame:
     envelope.setdefault("hub", Q.HUB)
     envelope.setdefault("num_partitions", Q.PARTITIONS)
-    return read_events(spark, sf_dir, streaming=True, file_glob="events.parquet", **envelope)
+    return read_events(spark, _staged(spark, sf_dir), streaming=True, max_files_per_trigger=SLICE_FILES, **envelope)
 
 
 def _run(query) -> None:
@@ -41,6 +56,13 @@ def _run(query) -> None:
 
 def q_stream_window_counts(spark, sf_dir):
     base = work_path(spark, "stream-window-counts")
+    _run(sinks.sink_counts(_stream(spark, sf_dir), f"{base}/out", f"{base}/cp", Q.WINDOW_SECONDS, available_now=True))
+    return sinks.read_counts(spark, f"{base}/out")
+
+
+def q_stream_window_state(spark, sf_dir):
+    """The same counts kept in the state store, without a watermark."""
+    base = work_path(spark, "stream-window-state")
     counts = stream_window_counts(_stream(spark, sf_dir), Q.WINDOW_SECONDS)
     _run(sinks.sink_upserts(counts, f"{base}/out", f"{base}/cp", available_now=True))
     return sinks.read_upserts(spark, f"{base}/out", ["window_start"])
@@ -60,13 +82,25 @@ def q_stream_running_total(spark, sf_dir):
 
 
 def q_stream_union_hubs(spark, sf_dir):
+    """Five hubs, each a stream of its own folder of a stored log."""
     base = work_path(spark, "stream-hubs")
-    hubs = {name: _stream(spark, sf_dir, hub=name, num_partitions=Q.HUB_PARTITIONS[name])
-            .filter(F.col("partitionKey") == name) for name in STREAM_HUBS}
+    save_log(Q.events(spark, sf_dir, hub_col="event_type", num_partitions=Q.HUB_PARTITIONS), f"{base}/log")
+    hubs = {name: read_events(spark, f"{base}/log/hub={name}", streaming=True, layout=ENVELOPE) for name in Q.HUB_PARTITIONS}
     _run(sinks.sink_parquet(union_hubs(hubs), f"{base}/out", f"{base}/cp", available_now=True))
     return spark.read.parquet(f"{base}/out").select("hub", "partition_id", "seqNumber", "partitionKey")
 
 
+def q_stream_envelope_log(spark, sf_dir):
+    """What the Parquet sink wrote, streamed back: no column is lost."""
+    base = work_path(spark, "stream-log")
+    _run(sinks.sink_parquet(_stream(spark, sf_dir), f"{base}/log", f"{base}/cp", available_now=True))
+    again = read_events(spark, f"{base}/log", streaming=True, layout=ENVELOPE)
+    _run(sinks.sink_parquet(again, f"{base}/out", f"{base}/cp2", available_now=True))
+    back = spark.read.parquet(f"{base}/out")
+    return back.select("hub", "partition_id", F.col("body").cast("string").alias("body_text"), "offset", "seqNumber", "enqueuedTime",
+                       "publisher", "partitionKey")
+
+
 def q_sink_json_latest(spark, sf_dir):
     base = work_path(spark, "sink-json-latest")
     _run(sinks.sink_json(_stream(spark, sf_dir), f"{base}/out", f"{base}/cp", mode="latest", available_now=True))
@@ -95,9 +129,12 @@ def q_sink_table(spark, sf_dir):
 
 
 def q_stream_ledger(spark, sf_dir):
+    """Partition 3 has events in the first two batches only."""
     base = work_path(spark, "stream-ledger")
-    _run(sinks.sink_ledger(_stream(spark, sf_dir), f"{base}/ledger", Q.UID, f"{base}/cp", available_now=True))
-    return sinks.read_ledger(spark, f"{base}/ledger")
+    half = Q.events(spark, sf_dir).agg(F.max("seqNumber")).first()[0] or 0
+    stream = _stream(spark, sf_dir).filter((F.col("partition_id") != 3) | (F.col("seqNumber") * 2 > half))
+    _run(sinks.sink_ledger(stream, f"{base}/ledger", f"{base}/cp", available_now=True))
+    return sinks.read_ledger(spark, f"{base}/ledger", Q.UID)
 
 
 def q_stream_sequence_gaps(spark, sf_dir):
@@ -106,27 +143,11 @@ def q_stream_sequence_gaps(spark, sf_dir):
     return sinks.read_gaps(spark, f"{base}/gaps")
 
 
-def q_direct_batches(spark, sf_dir):
-    """Two rate-capped direct batches over the events, tracked in a stored
-    ledger; returns the events each batch read."""
-    base = work_path(spark, "direct")
-    env = Q.events(spark, sf_dir)
-
-    def keep(read, batch_ts):
-        read.select(*("hub", "partition_id", "seqNumber")).write.mode("overwrite").parquet(
-            f"{base}/reads/batch_ts={batch_ts}")
-
-    for batch_ts in range(DIRECT_BATCHES):
-        run_direct_batch(spark, env, f"{base}/ledger", Q.UID, batch_ts, keep, max_rate=Q.RANGE_MAX_RATE)
-    reads = spark.read.parquet(f"{base}/reads")
-    return reads.select(F.col("batch_ts").cast("long").alias("batch_ts"), "hub", "partition_id", "seqNumber")
-
-
 def q_sink_total_text(spark, sf_dir):
     base = work_path(spark, "sink-total-text")
     totals = stream_running_total(_stream(spark, sf_dir))
     _run(sinks.sink_total_text(totals, f"{base}/total", f"{base}/cp", available_now=True))
-    return spark.read.text(f"{base}/total-*")
+    return spark.read.text(f"{base}/total-*")  # a line for each batch
 
 
 STREAM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -141,44 +162,42 @@ STREAM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "sink_total_text": q_sink_total_text,
     "stream_ledger": q_stream_ledger,
     "stream_sequence_gaps": q_stream_sequence_gaps,
-    "direct_batches": q_direct_batches,
+    "stream_window_state": q_stream_window_state,
+    "stream_envelope_log": q_stream_envelope_log,
 }
 
-_HUB_CASE = " ".join(f"WHEN '{k}' THEN {Q.HUB_PARTITIONS[k]}" for k in STREAM_HUBS)
+# Slice and batch of each event.
+_BATCHED = f"""batched AS (
+  SELECT *, CAST({SLICES - 1} - least({SLICES - 1}, seqNumber * {SLICES} // (SELECT max(seqNumber) + 1 FROM env)) AS BIGINT) AS batch_ts FROM env)"""
 
 STREAM_SQL: dict[str, str] = {
     "stream_window_counts": _with(ENV) + f"""SELECT enqueuedTime - enqueuedTime % {Q.WINDOW_SECONDS} AS window_start,
-        count(*) AS n FROM env GROUP BY 1""",
+        CAST(count(*) AS BIGINT) AS n FROM env GROUP BY 1""",
+    "stream_window_state": _with(ENV) + f"""SELECT enqueuedTime - enqueuedTime % {Q.WINDOW_SECONDS} AS window_start,
+        CAST(count(*) AS BIGINT) AS n FROM env GROUP BY 1""",
     "stream_window_counts_filled": SQL["window_counts"],
     "stream_running_total": "SELECT 'StreamLength' AS key, count(*) AS total FROM events",
-    "stream_union_hubs": f"""SELECT event_type AS hub, CAST(user_id % (CASE event_type {_HUB_CASE} END) AS INTEGER)
-        AS partition_id, event_id AS seqNumber, event_type AS partitionKey FROM events
-        WHERE event_type IN ({', '.join(f"'{k}'" for k in STREAM_HUBS)})""",
-    "sink_json_latest": _with(ENV) + "SELECT to_json({'EventDetails': body_text})::VARCHAR AS value FROM env",
+    "stream_union_hubs": SQL["union_hubs"],
+    "stream_envelope_log": SQL["envelope"],
+    "sink_json_latest": _with(ENV, _BATCHED) + f"""SELECT to_json({{'EventDetails': body_text}})::VARCHAR AS value
+        FROM batched WHERE batch_ts = {SLICES - 1}""",
     "sink_json_append": _with(ENV) + "SELECT to_json({'EventDetails': body_text})::VARCHAR AS value FROM env",
     "sink_parquet": _with(ENV) + """SELECT partition_id, seqNumber, enqueuedTime,
         CAST(DATE '1970-01-01' + CAST(enqueuedTime // 86400 AS INTEGER) AS VARCHAR) AS enqueued_date FROM env""",
     "sink_table": _with(ENV) + "SELECT body_text AS EventContent FROM env",
-    "sink_total_text": "SELECT '(StreamLength,' || CAST(count(*) AS VARCHAR) || ')' AS value FROM events",
-    # One micro-batch (the whole table): batch 0 holds every partition's end position.
-    "stream_ledger": _with(ENV) + f"""SELECT CAST(0 AS BIGINT) AS batch_ts, '{Q.UID}' AS uid, hub, partition_id,
-        arg_max("offset", seqNumber) AS end_offset, max(seqNumber) AS end_seq, count(*) AS n FROM env GROUP BY ALL""",
-    # Batch 0 starts at the start of the log (-1); batch 1 where batch 0 stopped.
-    "direct_batches": _with(ENV) + f""", lat AS (SELECT hub, partition_id, max(seqNumber) AS latest FROM env GROUP BY ALL),
-        b0 AS (SELECT e.hub, e.partition_id, e.seqNumber FROM env e JOIN lat l
-               ON l.hub = e.hub AND l.partition_id = e.partition_id
-               WHERE e.seqNumber > -1 AND e.seqNumber <= least(l.latest, -1 + {Q.RANGE_MAX_RATE})),
-        p0 AS (SELECT l.hub, l.partition_id, coalesce(max(b0.seqNumber), -1) AS pos FROM lat l LEFT JOIN b0
-               ON b0.hub = l.hub AND b0.partition_id = l.partition_id GROUP BY l.hub, l.partition_id),
-        b1 AS (SELECT e.hub, e.partition_id, e.seqNumber FROM env e
-               JOIN p0 ON p0.hub = e.hub AND p0.partition_id = e.partition_id
-               JOIN lat l ON l.hub = e.hub AND l.partition_id = e.partition_id
-               WHERE e.seqNumber > p0.pos AND e.seqNumber <= least(l.latest, p0.pos + {Q.RANGE_MAX_RATE}))
-        SELECT CAST(0 AS BIGINT) AS batch_ts, * FROM b0 UNION ALL SELECT CAST(1 AS BIGINT) AS batch_ts, * FROM b1""",
-    # One micro-batch: every partition's previous maximum is 0.
-    "stream_sequence_gaps": _with(ENV) + """, g AS (
-        SELECT hub, partition_id, count(*) FILTER (WHERE length(body_text) > 0) AS n, min(seqNumber) AS min_seq,
-               max(seqNumber) AS max_seq FROM env GROUP BY ALL)
-        SELECT hub, partition_id, CAST(0 AS BIGINT) AS batch_ts, n, min_seq, max_seq,
-               max_seq - min_seq - n + 1 AS missing, min_seq - 1 AS discontinuity FROM g""",
+    "sink_total_text": _with(ENV, _BATCHED) + """SELECT '(StreamLength,' || CAST(sum(count(*)) OVER (ORDER BY batch_ts) AS VARCHAR) || ')' AS value
+        FROM batched GROUP BY batch_ts""",
+    "stream_ledger": _with(ENV, _BATCHED) + f""", c AS (
+        SELECT batch_ts, hub, partition_id, arg_max("offset", seqNumber) AS end_offset, max(seqNumber) AS end_seq, count(*) AS n FROM batched
+        WHERE partition_id <> 3 OR seqNumber * 2 > (SELECT max(seqNumber) FROM env) GROUP BY ALL),
+        g AS (SELECT hub, partition_id, batch_ts FROM (SELECT DISTINCT hub, partition_id FROM c), (SELECT DISTINCT batch_ts FROM c))
+        SELECT g.batch_ts, '{Q.UID}' AS uid, hub, partition_id, coalesce(last_value(end_offset IGNORE NULLS) OVER w, -1) AS end_offset,
+               coalesce(last_value(end_seq IGNORE NULLS) OVER w, -1) AS end_seq, coalesce(n, 0) AS n
+        FROM g LEFT JOIN c USING (hub, partition_id, batch_ts)
+        WINDOW w AS (PARTITION BY hub, partition_id ORDER BY batch_ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""",
+    "stream_sequence_gaps": _with(ENV, _BATCHED) + """, g AS (
+        SELECT hub, partition_id, batch_ts, count(*) FILTER (WHERE length(body_text) > 0) AS n, min(seqNumber) AS min_seq,
+               max(seqNumber) AS max_seq FROM batched GROUP BY ALL)
+        SELECT hub, partition_id, batch_ts, n, min_seq, max_seq, max_seq - min_seq - n + 1 AS missing,
+               min_seq - (coalesce(lag(max_seq) OVER (PARTITION BY hub, partition_id ORDER BY batch_ts), 0) + 1) AS discontinuity FROM g""",
 }

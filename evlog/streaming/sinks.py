@@ -14,19 +14,16 @@ from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.errors import AnalysisException
 from pyspark.sql.streaming import StreamingQuery
 
 from evlog.functions.payload import count_non_empty, decode_payload, encode_json
-from evlog.operators.counts import end_positions
-from evlog.plans.joins import join_small
+from evlog.operators.counts import end_positions, gaps_of, interval_start
+from evlog.operators.ledger import fill_cells
 from evlog.schema import (CONSOLE_ROWS, JDBC_BATCH_SIZE, JDBC_PAYLOAD_TYPE, PARTITION_KEY, PAYLOAD_COLUMN,
-                          STREAM_LENGTH_KEY, START_OF_LOG, TABLE_COLUMN, TOTAL_TEXT_FORMAT)
+                          STREAM_LENGTH_KEY, TABLE_COLUMN, TOTAL_TEXT_FORMAT)
 from evlog.session import materialize
 from evlog.streaming.stream import stream_running_total
 
-POSITION_COLUMNS = ["end_offset", "end_seq"]
-
 BatchWriter = Callable[[DataFrame, int], None]
 
 
@@ -41,6 +38,15 @@ def trigger_args(trigger_seconds: int | None = None, available_now: bool = False
     return {"processingTime": f"{int(trigger_seconds)} seconds"}
 
 
+# Batches to a folder of batch folders, so that no folder gets very many.
+BATCH_GROUP = 1000
+
+
+def batch_folder(path: str, batch_id: int) -> str:
+    """A batch's own folder: rewriting it replaces the batch's output and nothing else."""
+    return f"{path}/batch_group={int(batch_id) // BATCH_GROUP}/batch_id={int(batch_id)}"
+
+
 def _start(writer, checkpoint: str, trigger_seconds: int | None, available_now: bool,
            name: str | None = None) -> StreamingQuery:
     writer = writer.option("checkpointLocation", checkpoint)
@@ -57,15 +63,14 @@ def json_writer(path: str, mode: str = "latest") -> BatchWriter:
     """Payload -> ``{"EventDetails": ...}`` string rows, stored as Parquet.
 
     ``latest``: every batch replaces the previous one (only the last batch is
-    kept). ``append``: one ``batch_id=N`` folder per batch.
+    kept). ``append``: one folder per batch.
     """
     if mode not in ("latest", "append"):
         raise ValueError("mode is 'latest' or 'append'")
 
     def write(batch: DataFrame, batch_id: int) -> None:
         rows = encode_json(decode_payload(batch))
-        target = path if mode == "latest" else f"{path}/batch_id={int(batch_id)}"
-        rows.write.mode("overwrite").parquet(target)
+        rows.write.mode("overwrite").parquet(path if mode == "latest" else batch_folder(path, batch_id))
 
     return write
 
@@ -134,24 +139,27 @@ def sink_table(stream: DataFrame, table: str, checkpoint: str, location: str | N
 
 
 # --- K4: JDBC -----------------------------------------------------------------------------------
-def jdbc_options(url: str, table: str, properties: Mapping[str, str] | None = None) -> dict[str, str]:
+def jdbc_options(url: str, table: str, properties: Mapping[str, str] | None = None,
+                 payload_type: str = JDBC_PAYLOAD_TYPE) -> dict[str, str]:
+    """Options of Spark's JDBC writer. ``payload_type`` is the payload column's type when the table is created; a
+    payload that doesn't fit it fails its batch, so name a wide enough one (``VARCHAR(4000)``, ``TEXT``)."""
     opts = {
         "url": url,
         "dbtable": table,
         "batchsize": str(JDBC_BATCH_SIZE),
-        "createTableColumnTypes": f"{PAYLOAD_COLUMN} {JDBC_PAYLOAD_TYPE}",
+        "createTableColumnTypes": f"{PAYLOAD_COLUMN} {payload_type}",
     }
     opts.update(properties or {})
     return opts
 
 
 def jdbc_writer(url: str, table: str, properties: Mapping[str, str] | None = None,
-                dedupe_key: bool = False) -> BatchWriter:
+                dedupe_key: bool = False, payload_type: str = JDBC_PAYLOAD_TYPE) -> BatchWriter:
     """Appends the payload rows with bound parameters, ``batchsize`` rows per
     round trip; the table is created on first write. At-least-once: with
     ``dedupe_key`` every row also carries ``hub, partition_id, seqNumber``,
     which identify an event, so the target can drop replayed rows."""
-    opts = jdbc_options(url, table, properties)
+    opts = jdbc_options(url, table, properties, payload_type)
     keep = PARTITION_KEY + ["seqNumber"] if dedupe_key else []
 
     def write(batch: DataFrame, batch_id: int) -> None:
@@ -163,8 +171,8 @@ def jdbc_writer(url: str, table: str, properties: Mapping[str, str] | None = Non
 
 def sink_jdbc(stream: DataFrame, url: str, table: str, checkpoint: str, properties: Mapping[str, str] | None = None,
               trigger_seconds: int | None = None, available_now: bool = False,
-              dedupe_key: bool = False) -> StreamingQuery:
-    return _start(stream.writeStream.foreachBatch(jdbc_writer(url, table, properties, dedupe_key)), checkpoint,
+              dedupe_key: bool = False, payload_type: str = JDBC_PAYLOAD_TYPE) -> StreamingQuery:
+    return _start(stream.writeStream.foreachBatch(jdbc_writer(url, table, properties, dedupe_key, payload_type)), checkpoint,
                   trigger_seconds, available_now)
 
 
@@ -176,7 +184,7 @@ def total_text(totals: DataFrame) -> DataFrame:
 
 def total_text_writer(prefix: str) -> BatchWriter:
     def write(batch: DataFrame, batch_id: int) -> None:
-        total_text(batch).coalesce(1).write.mode("overwrite").text(f"{prefix}-{int(batch_id)}")
+        total_text(batch).repartition(1).write.mode("overwrite").text(f"{prefix}-{int(batch_id)}")
 
     return write
 
@@ -201,95 +209,84 @@ def sink_console(stream: DataFrame, checkpoint: str, output_mode: str = "append"
     return _start(writer, checkpoint, trigger_seconds, available_now)
 
 
+# --- A1 in a stream: counts per interval -----------------------------------------------------------
+def counts_writer(path: str, interval_seconds: int, show: bool = False, time_col: str = "enqueuedTime") -> BatchWriter:
+    """Per batch: its events per interval, in the batch's folder. No state and no watermark, so an event counts
+    whenever it arrives; ``read_counts`` adds the batches up. ``show`` prints the batch's first intervals."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        counts = batch.groupBy(interval_start(time_col, interval_seconds).alias("window_start")).agg(F.count(F.lit(1)).alias("n"))
+        counts.write.mode("overwrite").parquet(batch_folder(path, batch_id))
+        if show:
+            written = batch.sparkSession.read.parquet(batch_folder(path, batch_id))
+            written.orderBy("window_start").show(CONSOLE_ROWS, truncate=False)
+
+    return write
+
+
+def sink_counts(stream: DataFrame, path: str, checkpoint: str, interval_seconds: int, trigger_seconds: int | None = None,
+                available_now: bool = False) -> StreamingQuery:
+    return _start(stream.writeStream.foreachBatch(counts_writer(path, interval_seconds)), checkpoint, trigger_seconds, available_now)
+
+
+def read_counts(spark: SparkSession, path: str) -> DataFrame:
+    """``(window_start, n)`` over all batches written by ``counts_writer``."""
+    return spark.read.parquet(path).groupBy("window_start").agg(F.sum("n").alias("n"))
+
+
+def sink_all(stream: DataFrame, writers: list[BatchWriter], checkpoint: str, trigger_seconds: int | None = None,
+             available_now: bool = False) -> StreamingQuery:
+    """Several writers on one query: each batch is read once and written by all of them, so their outputs agree."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        if len(writers) > 1:
+            batch = batch.persist()
+        try:
+            for writer in writers:
+                writer(batch, batch_id)
+        finally:
+            if len(writers) > 1:
+                batch.unpersist()
+
+    return _start(stream.writeStream.foreachBatch(write), checkpoint, trigger_seconds, available_now)
+
+
 # --- L1 in a stream: the read ledger ---------------------------------------------------------------
-def ledger_writer(path: str, uid: str, expected: DataFrame | None = None) -> BatchWriter:
-    """Writes one ledger row per partition for every batch under
-    ``<path>/batch_ts=<batch id>``: end offset and sequence number after the
-    batch and the events read in it. A partition without new events repeats
-    its previous position (read from the previous batch's folder, one row per
-    partition) with ``n = 0``; ``expected`` partitions never seen start at
-    ``(-1, -1)``. Re-running a batch id rewrites the same folder.
-    """
-    key = ["uid", *PARTITION_KEY]
+def ledger_writer(path: str) -> BatchWriter:
+    """Per batch: the end offset and sequence number of each partition with events, and their number, in the batch's
+    folder. ``read_ledger`` repeats the positions of idle partitions."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        value = F.struct(*POSITION_COLUMNS, "n")
-        cells = end_positions(batch).select(F.lit(uid).alias("uid"), *PARTITION_KEY, value.alias("_v"),
-                                            F.lit(2).alias("_prio"))
-        parts = [cells]
-        if batch_id > 0:
-            try:
-                prev = spark.read.option("basePath", path).parquet(f"{path}/batch_ts={int(batch_id) - 1}")
-                parts.append(prev.select(*key, F.struct(*POSITION_COLUMNS, F.lit(0).cast("long").alias("n"))
-                                         .alias("_v"), F.lit(1).alias("_prio")))
-            except AnalysisException:
-                pass                                    # first batch written to this ledger
-        if expected is not None:
-            start = F.lit(START_OF_LOG).cast("long")
-            parts.append(expected.select(F.lit(uid).alias("uid"), *PARTITION_KEY).distinct().select(
-                *key, F.struct(start.alias("end_offset"), start.alias("end_seq"), F.lit(0).cast("long").alias("n"))
-                .alias("_v"), F.lit(0).alias("_prio")))
-        both = parts[0]
-        for more in parts[1:]:
-            both = both.unionByName(more)
-        merged = both.groupBy(*key).agg(F.max_by("_v", "_prio").alias("_v"))
-        (merged.select(*key, *[F.col(f"_v.{c}").alias(c) for c in (*POSITION_COLUMNS, "n")])
-         .write.mode("overwrite").parquet(f"{path}/batch_ts={int(batch_id)}"))
+        end_positions(batch).write.mode("overwrite").parquet(batch_folder(path, batch_id))
 
     return write
 
 
-def sink_ledger(stream: DataFrame, path: str, uid: str, checkpoint: str, expected: DataFrame | None = None,
-                trigger_seconds: int | None = None, available_now: bool = False) -> StreamingQuery:
-    return _start(stream.writeStream.foreachBatch(ledger_writer(path, uid, expected)), checkpoint,
-                  trigger_seconds, available_now)
+def sink_ledger(stream: DataFrame, path: str, checkpoint: str, trigger_seconds: int | None = None,
+                available_now: bool = False) -> StreamingQuery:
+    return _start(stream.writeStream.foreachBatch(ledger_writer(path)), checkpoint, trigger_seconds, available_now)
+
 
+def _cells(spark: SparkSession, path: str) -> DataFrame:
+    return materialize(spark.read.parquet(path).withColumn("batch_ts", F.col("batch_id").cast("long")).drop("batch_group", "batch_id"))
 
-def read_ledger(spark: SparkSession, path: str) -> DataFrame:
-    """The ledger written by ``sink_ledger`` in ``LEDGER_SCHEMA`` column order."""
-    df = spark.read.parquet(path)
-    return df.select(F.col("batch_ts").cast("long").alias("batch_ts"), "uid", *PARTITION_KEY, *POSITION_COLUMNS, "n")
+
+def read_ledger(spark: SparkSession, path: str, uid: str, expected: DataFrame | None = None) -> DataFrame:
+    """The ledger of reader ``uid`` from what ``sink_ledger`` wrote, in ``LEDGER_SCHEMA`` column order: a row for every
+    batch and partition (``expected``, or every partition seen). A partition without events in a batch has its last
+    position with ``n = 0``, and ``(-1, -1)`` before its first event."""
+    return fill_cells(_cells(spark, path), uid, expected=expected)
 
 
 # --- A3 in a stream: sequence gaps per batch ------------------------------------------------------
 def gaps_writer(path: str) -> BatchWriter:
-    """Per batch and partition: events with a body, min/max sequence number,
-    missing and discontinuity, under ``<path>/gaps/batch_ts=<batch id>``.
-
-    The previous maximum of each partition (0 before its first batch) is
-    carried in ``<path>/_last/batch_ts=<batch id>``, one row per partition, so
-    a partition that was idle for some batches still compares with its last
-    seen maximum, and a replayed batch rewrites both folders identically.
-    """
+    """Per batch and partition: events with a body and min/max sequence number, in the batch's folder.
+    ``read_gaps`` compares each with the partition's last batch before it."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        cells = materialize(batch.groupBy(*PARTITION_KEY).agg(
+        batch.groupBy(*PARTITION_KEY).agg(
             count_non_empty("body").alias("n"), F.min("seqNumber").alias("min_seq"),
-            F.max("seqNumber").alias("max_seq")))
-        last = None
-        if batch_id > 0:
-            try:
-                last = spark.read.parquet(f"{path}/_last/batch_ts={int(batch_id) - 1}")
-            except AnalysisException:
-                last = None                              # first batch written to this folder
-        if last is None:
-            with_prev = cells.withColumn("last_max", F.lit(None).cast("long"))
-        else:
-            with_prev = join_small(cells, last, PARTITION_KEY, "left")
-        prev = F.coalesce(F.col("last_max"), F.lit(0).cast("long"))
-        gaps = with_prev.select(
-            *PARTITION_KEY, "n", "min_seq", "max_seq",
-            (F.col("max_seq") - F.col("min_seq") - F.col("n") + 1).alias("missing"),
-            (F.col("min_seq") - (prev + 1)).alias("discontinuity"))
-        gaps.write.mode("overwrite").parquet(f"{path}/gaps/batch_ts={int(batch_id)}")
-        carry = cells.select(*PARTITION_KEY, F.col("max_seq").alias("last_max"))
-        if last is not None:
-            carry = (carry.withColumn("_prio", F.lit(1))
-                     .unionByName(last.select(*PARTITION_KEY, "last_max").withColumn("_prio", F.lit(0)))
-                     .groupBy(*PARTITION_KEY).agg(F.max_by("last_max", "_prio").alias("last_max")))
-        carry.write.mode("overwrite").parquet(f"{path}/_last/batch_ts={int(batch_id)}")
+            F.max("seqNumber").alias("max_seq")).write.mode("overwrite").parquet(batch_folder(path, batch_id))
 
     return write
 
@@ -300,17 +297,15 @@ def sink_gaps(stream: DataFrame, path: str, checkpoint: str, trigger_seconds: in
 
 
 def read_gaps(spark: SparkSession, path: str) -> DataFrame:
-    df = spark.read.parquet(f"{path}/gaps")
-    return df.select(*PARTITION_KEY, F.col("batch_ts").cast("long").alias("batch_ts"), "n", "min_seq", "max_seq",
-                     "missing", "discontinuity")
+    return gaps_of(_cells(spark, path))
 
 
 # --- keyed results of update-mode aggregations ------------------------------------------------------
 def upsert_writer(path: str) -> BatchWriter:
-    """Each batch's updated rows under ``batch_id=N`` (idempotent)."""
+    """Each batch's updated rows in the batch's folder (idempotent)."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch_id={int(batch_id)}")
+        batch.write.mode("overwrite").parquet(batch_folder(path, batch_id))
 
     return write
 
@@ -324,7 +319,7 @@ def sink_upserts(stream: DataFrame, path: str, checkpoint: str, output_mode: str
 def read_upserts(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
     """The newest version of every key written by ``sink_upserts``."""
     rows = spark.read.parquet(path)
-    values = [c for c in rows.columns if c not in keys and c != "batch_id"]
+    values = [c for c in rows.columns if c not in (*keys, "batch_group", "batch_id")]
     latest = rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch_id").alias("_v"))
     return latest.select(*keys, *[F.col(f"_v.{c}").alias(c) for c in values])
 
@@ -338,4 +333,4 @@ def read_total_text(spark: SparkSession, prefix: str) -> DataFrame:
 
 
 __all__ = ["STREAM_LENGTH_KEY", "sink_json", "sink_parquet", "sink_table", "sink_jdbc", "sink_total_text",
-           "sink_console", "sink_ledger", "read_ledger", "sink_gaps", "read_gaps", "sink_upserts", "read_upserts", "read_total_text"]
+           "sink_console", "sink_counts", "read_counts", "sink_all", "sink_ledger", "read_ledger", "sink_gaps", "read_gaps", "sink_upserts", "read_upserts", "read_total_text"]

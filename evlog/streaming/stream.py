@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evlog.schema import STREAM_LENGTH_KEY
+from evlog.functions.payload import key_by_constant
 
 EVENT_TIME = "_event_time"
 
@@ -28,16 +28,17 @@ def stream_window_counts(df: DataFrame, interval_seconds: int, watermark_seconds
                          time_col: str = "enqueuedTime") -> DataFrame:
     """Events per tumbling interval of event time, ``(window_start, n)``.
 
-    The watermark (default: one interval) bounds the state: a window's count
-    is final once the watermark passes its end, and its state is dropped.
+    Without a watermark every event counts, however late, and the state keeps
+    one row per interval. ``watermark_seconds`` bounds the state: a window's count
+    is final once the watermark passes its end, its state is dropped, and **later
+    events of it are lost**. ``sinks.sink_counts`` needs neither state nor watermark.
     Idle intervals produce no row in a stream; the batch ``window_counts``
     fills them with zeros.
     """
     iv = int(interval_seconds)
     if iv <= 0:
         raise ValueError("interval must be a positive number of seconds")
-    wm = iv if watermark_seconds is None else watermark_seconds
-    timed = with_event_time(df, time_col, wm)
+    timed = with_event_time(df, time_col, watermark_seconds)
     return (timed.groupBy(F.window(EVENT_TIME, f"{iv} seconds"))
             .agg(F.count(F.lit(1)).alias("n"))
             .select(F.unix_seconds(F.col("window.start")).alias("window_start"), "n"))
@@ -46,4 +47,4 @@ def stream_window_counts(df: DataFrame, interval_seconds: int, watermark_seconds
 def stream_running_total(df: DataFrame) -> DataFrame:
     """Events so far, under the single key ``StreamLength`` (complete mode).
     The state is one row whatever the volume, and restarts continue it."""
-    return df.groupBy(F.lit(STREAM_LENGTH_KEY).alias("key")).agg(F.count(F.lit(1)).alias("total"))
+    return key_by_constant(df).groupBy("key").agg(F.count("value").alias("total"))

@@ -45,7 +45,7 @@ def summarise(text: str) -> dict:
 
 def main() -> None:
     sf_dir = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
-    spark = get_session("local[8]", **{"spark.ui.enabled": "false"})
+    spark = get_session("local[8]", shuffle_partitions=8, **{"spark.ui.enabled": "false"})
     spark.sparkContext.setLogLevel("ERROR")
     print("# Physical plans of the registered queries\n")
     print(f"Generated by `scripts/plan_report.py {sf_dir}`. Stream and sink queries are planned as the batch")

@@ -135,10 +135,9 @@ def test_slice_ranges_brute_force(spark, events, starts, rate):
                                 "hub string, partition_id int, end_seq long")
     got = sorted((r.partition_id, r.seqNumber) for r in slice_ranges(env, pos, max_rate=rate).collect())
     want = []
-    for p, start in starts.items():
+    for p in {p for p, _ in events}:
+        start = starts.get(p, -1)                # no position: from the start of the log
         seqs = [s for q, s in events if q == p]
-        if not seqs:
-            continue
         until = min(max(seqs), start + rate)
         want += [(p, s) for s in seqs if start < s <= until]
     assert got == sorted(want)

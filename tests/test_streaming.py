@@ -10,7 +10,7 @@ from evlog.functions.payload import decode_payload, encode_json
 from evlog.operators.counts import window_counts
 from evlog.sources.events import read_events, union_hubs
 from evlog.streaming import sinks
-from evlog.streaming.jobs import JobConfig, count_job, json_job, parquet_job, table_job
+from evlog.streaming.jobs import JobConfig, await_queries, count_job, job_counts, json_job, parquet_job, read_stream, table_job
 from evlog.streaming.stream import stream_running_total, stream_window_counts
 
 FILES = 4
@@ -128,7 +128,7 @@ def test_jobs_run_to_completion(spark, staged, scratch):
                     max_files_per_trigger=1, file_glob="part-*.parquet")
     count_job(spark, cfg, f"{scratch}/count-total")
     assert max(r.total for r in sinks.read_total_text(spark, f"{scratch}/count-total").collect()) == 10_000
-    counts = sinks.read_upserts(spark, f"{scratch}/count/window_counts", ["window_start"])
+    counts = job_counts(spark, cfg)
     assert counts.agg(F.sum("n")).first()[0] == 10_000
     cfg2 = JobConfig(source=staged, checkpoint=f"{scratch}/json", interval_seconds=60, available_now=True,
                      file_glob="part-*.parquet")
@@ -159,8 +159,6 @@ def test_jdbc_options():
 
 
 def test_console_sink_and_timeout_stop(spark, staged, scratch):
-    from evlog.streaming.jobs import await_queries
-
     q = sinks.sink_console(stream_running_total(stream_of(spark, staged)), f"{scratch}/cp", output_mode="complete",
                            trigger_seconds=1)
     await_queries([q], timeout_minutes=0.1)       # runs ~6 s, then stops between batches
@@ -173,8 +171,8 @@ def test_stream_ledger_repeats_idle_partitions(spark, staged, scratch):
     # Partition 3 only has events in the first file (batch 0); partition 7 is expected but never seen.
     stream = stream_of(spark, staged).filter((F.col("partition_id") != 3) | (F.col("seqNumber") < 2500))
     expected = spark.createDataFrame([("hub1", p) for p in (0, 1, 2, 3, 7)], "hub string, partition_id int")
-    run(sinks.sink_ledger(stream, f"{scratch}/ledger", "ns1", f"{scratch}/cp", expected=expected, available_now=True))
-    led = sinks.read_ledger(spark, f"{scratch}/ledger")
+    run(sinks.sink_ledger(stream, f"{scratch}/ledger", f"{scratch}/cp", available_now=True))
+    led = sinks.read_ledger(spark, f"{scratch}/ledger", "ns1", expected)
     rows = {(r.batch_ts, r.partition_id): r for r in led.collect()}
     assert sorted({b for b, _ in rows}) == [0, 1, 2, 3]
     assert all((b, p) in rows for b in range(4) for p in (0, 1, 2, 3, 7))
@@ -190,9 +188,9 @@ def test_stream_ledger_repeats_idle_partitions(spark, staged, scratch):
     assert led.agg(F.sum("n")).first()[0] == batch.agg(F.sum("n")).first()[0]
     # Replaying batch 2 rewrites its folder with the same rows.
     before = sorted(led.filter("batch_ts = 2").collect())
-    sinks.ledger_writer(f"{scratch}/ledger", "ns1", expected)(
+    sinks.ledger_writer(f"{scratch}/ledger")(
         read_events(spark, f"{staged}/part-002.parquet").filter((F.col("partition_id") != 3)), 2)
-    assert sorted(sinks.read_ledger(spark, f"{scratch}/ledger").filter("batch_ts = 2").collect()) == before
+    assert sorted(sinks.read_ledger(spark, f"{scratch}/ledger", "ns1", expected).filter("batch_ts = 2").collect()) == before
 
 
 def test_stream_gaps_equal_batch_gaps(spark, staged, scratch):
@@ -275,30 +273,81 @@ def test_stream_counts_and_lateness(spark, scratch, tmp_path):
     assert late_q.lastProgress["stateOperators"][0]["numRowsTotal"] <= 2
 
 
-def test_direct_batches_are_capped_and_replayable(spark, scratch):
-    from conftest import envelope_rows
-
-    from evlog.operators.ledger import load_ledger
-    from evlog.streaming.direct import run_direct_batch
-
-    # partition 0: seq 0..9, partition 1: seq 0..2
-    env = envelope_rows(spark, [("h", 0, "x", s * 10, s, s) for s in range(10)]
-                        + [("h", 1, "x", 100 + s, s, s) for s in range(3)])
-    seen = {}
-
-    def keep(read, batch_ts):
-        seen[batch_ts] = sorted((r.partition_id, r.seqNumber) for r in read.collect())
-
-    path = f"{scratch}/ledger"
-    for b in range(3):
-        run_direct_batch(spark, env, path, "u", b, keep, max_rate=4)
-    assert seen[0] == [(0, 0), (0, 1), (0, 2), (0, 3), (1, 0), (1, 1), (1, 2)]
-    assert seen[1] == [(0, 4), (0, 5), (0, 6), (0, 7)]
-    assert seen[2] == [(0, 8), (0, 9)]
-    led = {(r.batch_ts, r.partition_id): (r.end_offset, r.end_seq, r.n) for r in load_ledger(spark, path).collect()}
-    assert led[(1, 1)] == (102, 2, 0)            # nothing new: position repeated
-    assert led[(2, 0)] == (90, 9, 2)
-    before = sorted(load_ledger(spark, path).collect())
-    run_direct_batch(spark, env, path, "u", 1, keep, max_rate=4)     # replay batch 1
-    assert seen[1] == [(0, 4), (0, 5), (0, 6), (0, 7)]
-    assert sorted(load_ledger(spark, path).collect()) == before
+def land(spark, folder, name, rows, mtime):
+    """rows: (event_id, seconds)."""
+    import datetime
+
+    from evlog.schema import EVENTS_SCHEMA
+
+    data = [(i, datetime.datetime(2024, 1, 1) + datetime.timedelta(seconds=s), 1, "click", 1.0, "{}") for i, s in rows]
+    spark.createDataFrame(data, EVENTS_SCHEMA).coalesce(1).write.parquet(f"{folder}/w-{name}")
+    (src,) = [f for f in os.listdir(f"{folder}/w-{name}") if f.endswith(".parquet")]
+    os.makedirs(f"{folder}/log", exist_ok=True)
+    os.link(f"{folder}/w-{name}/{src}", f"{folder}/log/{name}.parquet")
+    os.utime(f"{folder}/log/{name}.parquet", (mtime, mtime))
+
+
+def test_counts_lose_no_late_event(spark, scratch, tmp_path):
+    """Seven events in three files, the oldest last: windows and total agree."""
+    land(spark, tmp_path, "a", [(4, 7200), (5, 7210), (6, 7270)], 1_000_000)
+    land(spark, tmp_path, "b", [(2, 3600), (3, 3601)], 1_000_001)
+    land(spark, tmp_path, "c", [(0, 0), (1, 59)], 1_000_002)
+    cfg = JobConfig(source=f"{tmp_path}/log", checkpoint=f"{scratch}/job", interval_seconds=60, available_now=True, max_files_per_trigger=1)
+    count_job(spark, cfg, f"{scratch}/total")
+    counts = {r.window_start - 1704067200: r.n for r in job_counts(spark, cfg).collect()}
+    assert counts == {0: 2, 3600: 2, 7200: 2, 7260: 1}
+    assert sorted(r.total for r in sinks.read_total_text(spark, f"{scratch}/total").collect()) == [3, 5, 7]
+    # Without a watermark the state store loses none either.
+    stream = read_events(spark, f"{tmp_path}/log", streaming=True, max_files_per_trigger=1)
+    run(sinks.sink_upserts(stream_window_counts(stream, 60), f"{scratch}/s", f"{scratch}/scp", available_now=True))
+    assert sum(r.n for r in sinks.read_upserts(spark, f"{scratch}/s", ["window_start"]).collect()) == 7
+
+
+def test_timeout_stops_every_query(spark, staged, scratch):
+    queries = [sinks.sink_console(stream_running_total(stream_of(spark, staged)), f"{scratch}/cp{i}", output_mode="complete", trigger_seconds=1)
+               for i in range(2)]
+    await_queries(queries, timeout_minutes=0.05)
+    assert not any(q.isActive for q in queries) and all(q.exception() is None for q in queries)
+    cfg = JobConfig(source=staged, checkpoint=f"{scratch}/job", interval_seconds=60, available_now=True, file_glob="part-*.parquet",
+                    max_files_per_trigger=1, timeout_minutes=0.0)
+    assert not any(q.isActive for q in count_job(spark, cfg, f"{scratch}/total"))
+
+
+def test_a_failing_query_stops_the_others(spark, staged, scratch):
+    from pyspark.errors import StreamingQueryException
+
+    def fail(batch, batch_id):
+        raise ValueError("broken sink")
+
+    stream = stream_of(spark, staged)
+    good = sinks.sink_console(stream_running_total(stream), f"{scratch}/good", output_mode="complete", trigger_seconds=1)
+    bad = sinks.sink_all(stream, [fail], f"{scratch}/bad", trigger_seconds=1)
+    with pytest.raises(StreamingQueryException):
+        await_queries([good, bad])
+    assert not good.isActive and not bad.isActive
+
+
+def test_start_points_hubs_and_properties_of_jobs(spark, staged, scratch):
+    stream = read_stream(spark, JobConfig(source=staged, checkpoint=scratch, after_offset=64 * 9000, file_glob="part-*.parquet"))
+    run(sinks.sink_parquet(stream, f"{scratch}/late", f"{scratch}/cp-late", available_now=True))
+    assert spark.read.parquet(f"{scratch}/late").agg(F.min("seqNumber"), F.count("*")).first()[:] == (9001, 999)
+    hubs = {"a": {"source": staged, "num_partitions": 2}, "b": {"source": staged, "num_partitions": 3}}
+    stream = read_stream(spark, JobConfig(hubs=hubs, checkpoint=scratch, file_glob="part-*.parquet", properties=["k"]))
+    run(sinks.sink_parquet(stream, f"{scratch}/hubs", f"{scratch}/cp-hubs", available_now=True))
+    got = {(r.hub, r.partition_id) for r in spark.read.parquet(f"{scratch}/hubs").select("hub", "partition_id").distinct().collect()}
+    assert got == {("a", 0), ("a", 1), ("b", 0), ("b", 1), ("b", 2)} and "k" in stream.columns
+    # Streamed back as an envelope log, from a time on.
+    again = read_stream(spark, JobConfig(source=f"{scratch}/late", checkpoint=scratch, layout="envelope", after_time=0))
+    run(sinks.sink_parquet(again, f"{scratch}/again", f"{scratch}/cp-again", available_now=True))
+    assert spark.read.parquet(f"{scratch}/again").filter("body IS NOT NULL AND offset > 0").count() == 999
+    with pytest.raises(ValueError):
+        JobConfig(checkpoint=scratch)
+
+
+def test_kafka_and_jdbc_options():
+    from evlog.sources.events import kafka_options
+
+    assert kafka_options({"subscribe": "t"}, 500, headers=True) == {"subscribe": "t", "maxOffsetsPerTrigger": "500", "includeHeaders": "true"}
+    assert sinks.jdbc_options("u", "t", payload_type="VARCHAR(4000)")["createTableColumnTypes"] == "EventDetails VARCHAR(4000)"
+    with pytest.raises(ValueError):
+        kafka_options({}, 0)
