@@ -50,16 +50,13 @@ ENTITY = re.compile(
     r"|(?P<phone>(?<![\w+])\+1[ .-]?\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}(?!\d)|(?<![\w+])\+(?!1)\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){1,4}(?!\d)|(?<![\w-])(?:\(\d{3}\) ?|\d{3}[-.])\d{3}[-.]\d{4}(?!\d))"
     r"|(?P<card>(?<![\w.])(?:\d{13,19}|\d{4}([ -])\d{4}\8\d{4}\8\d{1,7}|\d{4}([ -])\d{6}\9\d{5})(?!\d))"
     rf"|(?P<name>(?<!\w)(?:{'|'.join(map(re.escape, sorted(TITLES, key=len, reverse=True)))})\.? [^\W\d_]+(?:[ -][^\W\d_]+)?)")
-#: A text without any of these has no entity.
-HINTS = ("@", "AKIA", *(f"{t}{end}" for t in TITLES for end in (" ", ". ")))
+#: A text that matches neither of these has no entity. Both begin with one of few characters, which makes them quick.
+HINTS = ("[0-9=:@]", f"(?=[A{''.join(sorted({t[0] for t in TITLES}))}])(?:AKIA|(?:{'|'.join(map(re.escape, TITLES))})[.]? )")
 
 
 def may_have(text: Column) -> Column:
     """False only for texts without entities; simple enough to be read off whole tables."""
-    found = text.rlike("[0-9=:]")
-    for hint in HINTS:
-        found = found | F.contains(text, F.lit(hint))
-    return F.coalesce(found, F.lit(False))
+    return F.coalesce(text.rlike(HINTS[0]) | text.rlike(HINTS[1]), F.lit(False))
 
 
 def script(text: str) -> str:
