@@ -20,6 +20,7 @@ MAX_REPEATS = 2.0
 SEED = 17
 LEVELS, ROUNDS = 6, 5  # of bisection: 2**LEVELS - 1 exponents for each pass over the sources, so 30 halvings in 5 passes
 DIGITS = 6  # of the exponent that are kept, so that the last bits of power functions don't matter
+WEIGHT_DIGITS = 12  # of the weight shown, for the same reason
 WORD = r"[^\x20\x09-\x0D]+"
 BLOCK_ROWS = 1 << 16  # wanted rows of the largest block
 
@@ -105,4 +106,4 @@ def mix_sources(docs: DataFrame, text: str = "text", source: str = "source", doc
               .join(starts, F.col("source").eqNullSafe(F.col("source_")) & (F.col("epoch") == F.col("epoch_")) & (F.col("block") == F.col("block_"))))
     position = F.col("before") + F.col("upto") - F.col("n_tokens")
     return (placed.filter((F.col("epoch") < F.col("passes")) | (F.col("epoch") * F.col("tokens") + F.col("before") + F.col("upto") <= F.col("quota")))
-            .select("source", "doc_id", "epoch", "block", position.alias("position"), "n_tokens", "weight"))
+            .select("source", "doc_id", "epoch", "block", position.alias("position"), "n_tokens", F.round("weight", WEIGHT_DIGITS).alias("weight")))

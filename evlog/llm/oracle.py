@@ -4,7 +4,7 @@ The others: op1 and op10 are tested against brute force, op5 and op9 by held-out
 (its quality and surrogate stages have no SQL) by brute force over its stages.
 """
 
-from evlog.llm.mixing import DIGITS, MAX_REPEATS, SEED
+from evlog.llm.mixing import DIGITS, MAX_REPEATS, SEED, WEIGHT_DIGITS
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -34,7 +34,8 @@ drawn AS (
 placed AS (
     SELECT *, substr(draw, 1, 2) AS block,
            sum(n_tokens) OVER (PARTITION BY source, epoch ORDER BY draw, doc_id, n_tokens RANGE UNBOUNDED PRECEDING) AS upto FROM drawn)
-SELECT source, doc_id, epoch::BIGINT AS epoch, block, (upto - n_tokens)::BIGINT AS position, n_tokens, weight FROM placed
+SELECT source, doc_id, epoch::BIGINT AS epoch, block, (upto - n_tokens)::BIGINT AS position, n_tokens,
+       round(weight, {WEIGHT_DIGITS}) AS weight FROM placed
 WHERE epoch < passes OR epoch * tokens + upto <= quota
 """,
     "op3_chat_parts": r"""
