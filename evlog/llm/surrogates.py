@@ -13,6 +13,7 @@ import hashlib
 import hmac
 import re
 import unicodedata
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -50,6 +51,7 @@ ENTITY = re.compile(
     r"|(?P<phone>(?<![\w+])\+1[ .-]?\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}(?!\d)|(?<![\w+])\+(?!1)\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){1,4}(?!\d)|(?<![\w-])(?:\(\d{3}\) ?|\d{3}[-.])\d{3}[-.]\d{4}(?!\d))"
     r"|(?P<card>(?<![\w.])(?:\d{13,19}|\d{4}([ -])\d{4}\8\d{4}\8\d{1,7}|\d{4}([ -])\d{6}\9\d{5})(?!\d))"
     rf"|(?P<name>(?<!\w)(?:{'|'.join(map(re.escape, sorted(TITLES, key=len, reverse=True)))})\.? [^\W\d_]+(?:[ -][^\W\d_]+)?)")
+WORD = re.compile(r"(?<!\w)[^\W\d_]++(?!\w)")
 #: A text that matches neither of these has no entity. Both begin with one of few characters, which makes them quick.
 HINTS = ("[0-9=:@]", f"(?=[A{''.join(sorted({t[0] for t in TITLES}))}])(?:AKIA|(?:{'|'.join(map(re.escape, TITLES))})[.]? )")
 
@@ -71,8 +73,35 @@ def digits(text: str) -> str:
     return "".join(c for c in text if c.isdigit())
 
 
-def entities(text: str) -> Iterator[tuple[int, int, str, str]]:
-    """(begin, end, kind, canonical form) of the entities, left to right. A name gives one for each of its words after the title."""
+def entities(text: str) -> list[tuple[int, int, str, str]]:
+    """(begin, end, kind, canonical form) of the entities, left to right. A name gives one for each of its words after the title.
+
+    A text's names are found without a title too, so that all mentions of a person get one surrogate. Words that the text
+    also has in lower case are taken as ordinary ones there.
+    """
+    found = list(_matches(text))
+    names: dict[str, str] = {}
+    for _, _, kind, canonical in found:
+        if kind.startswith("name-") and len(canonical) > 1:
+            names.setdefault(canonical, kind)
+    if not names:
+        return found
+    begins = [begin for begin, *_ in found]
+
+    def free(word: re.Match) -> bool:
+        before = bisect_right(begins, word.start()) - 1
+        return before < 0 or found[before][1] <= word.start()
+
+    words = [w for w in WORD.finditer(text) if w[0].lower() in names and w[0] not in TITLES and free(w)]
+    for word in words:
+        if word[0][0].islower():
+            names.pop(word[0].lower(), None)
+    found += [(w.start(), w.end(), names[w[0].lower()], w[0].lower()) for w in words if w[0].lower() in names]
+    return sorted(found)
+
+
+def _matches(text: str) -> Iterator[tuple[int, int, str, str]]:
+    """What ``ENTITY`` finds."""
     for match in ENTITY.finditer(text):
         kind, found = match.lastgroup, match[match.lastgroup]
         begin = match.start(kind)
@@ -203,14 +232,15 @@ def surrogate_table(mentions: DataFrame, key: bytes = KEY) -> DataFrame:
     def draw(rows: DataFrame) -> DataFrame:
         return rows.mapInArrow(drawn, "kind string, canonical string, attempt int, surrogate string")
 
+    space = F.regexp_replace("kind", "^(name-[a-z]+)-.$", "$1")  # one for the names of a script, whatever their gender
     known = materialize(mentions.select("kind", "canonical").distinct())
     table = materialize(draw(known.withColumn("attempt", F.lit(0))))
     for _ in range(MAX_DRAWS):
         taken = table.groupBy("kind", "surrogate").agg(F.min("canonical").alias("keeps"), F.count("*").alias("n"))
         taken = taken.filter("n > 1").select(F.col("kind").alias("k"), F.col("surrogate").alias("s"), "keeps")
         shared = (table.join(taken, (F.col("kind") == F.col("k")) & (F.col("surrogate") == F.col("s")) & (F.col("canonical") != F.col("keeps")), "left_semi"))
-        real = table.join(known.select(F.col("kind").alias("k"), F.col("canonical").alias("c")),
-                          (F.col("kind") == F.col("k")) & (F.col("surrogate") == F.col("c")), "left_semi")
+        real = table.join(known.select(space.alias("k"), F.col("canonical").alias("c")),
+                          (space == F.col("k")) & (F.col("surrogate") == F.col("c")), "left_semi")
         losers = materialize(shared.unionByName(real).select("kind", "canonical", "attempt").distinct())
         if losers.isEmpty():
             return table.select("kind", "canonical", "surrogate")
@@ -223,7 +253,7 @@ def replace_entities(docs: DataFrame, text: str = "text", key: bytes = KEY) -> D
     """``docs`` with surrogates for the entities in ``text``, and ``n_entities``; other columns stay.
 
     Kinds are e-mail and IP addresses, phone, card and social security numbers, access keys, secrets after names like
-    ``password =``, and names after a title. Texts without entities (null and empty ones too) stay as they are with 0.
+    ``password =``, and names that the text has after a title at least once. Texts without entities (null and empty ones too) stay as they are with 0.
     Repeated rows and texts get equal results. No rows in, no rows out. A column of ``docs`` named n_entities is replaced.
 
     Only texts that may have entities move. Each is joined with the surrogates of its own entities by its digest, so one entity that

@@ -95,6 +95,24 @@ def test_surrogates_keep_format_script_and_gender():
     assert surrogates.surrogate("email", "a@b.cd") != surrogates.surrogate("email", "a@b.cd", key=b"other")
 
 
+def test_names_are_found_again_without_a_title():
+    text = "Dr. Maria Jones met Mr Will Smith. Jones's idea: will Will go? SMITH and Maria said so to jones@x.com, A. Smithson, Smith2 and Miss A Smith."
+    marks = surrogates.entities(text)
+    assert [text[b:e] for b, e, _, _ in marks] == ["Maria", "Jones", "Will", "Smith", "Jones", "SMITH", "Maria", "jones@x.com", "A", "Smith"]
+    assert {(k, c) for _, _, k, c in marks if c in ("maria", "jones", "smith")} == {("name-latin-u", c) for c in ("maria", "jones", "smith")}
+    new, n = surrogates.replace_all(text, table := {(k, c): surrogates.surrogate(k, c) for _, _, k, c in marks})
+    smith, jones = (table["name-latin-u", c].capitalize() for c in ("smith", "jones"))
+    assert n == 10 and f"Mr {table['name-latin-m', 'will'].capitalize()} {smith}. {jones}'s idea: will Will go? {smith.upper()} and" in new
+    assert surrogates.entities("Jones and Smith met.") == []
+
+
+def test_a_name_is_no_other_persons_surrogate(spark):
+    """Whether drawn for a given name or a family name."""
+    drawn = surrogates.surrogate("name-latin-f", "anna")
+    rows = surrogates.surrogate_table(spark.createDataFrame([("name-latin-f", "anna"), ("name-latin-u", drawn)], "kind string, canonical string")).collect()
+    assert not {r.surrogate for r in rows} & {r.canonical for r in rows} and len({r.surrogate for r in rows}) == 2
+
+
 def test_collisions_are_drawn_again(spark):
     """Two-letter addresses on one domain: many draws meet each other or another real address."""
     letters = "abcdefghijklmnopqrstuvwxyz"
