@@ -4,20 +4,22 @@ Detected entities are replaced with others of their type that a keyed hash
 draws: the same entity gets the same surrogate everywhere, and format, script,
 case and (for names) gender are kept. Two entities never share a surrogate and
 no surrogate is another entity of the corpus: collisions are looked for over
-the whole corpus and drawn again.
+the whole corpus and drawn again, from a space that grows, and what is left
+after ``MAX_DRAWS`` draws gets numbers of its own in longer surrogates.
 """
 
 from __future__ import annotations
 
 import hashlib
 import hmac
+import ipaddress
 import re
 import unicodedata
 from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -25,7 +27,9 @@ from evlog.llm.tokens import blocks
 from evlog.session import materialize
 
 KEY = b"evlog surrogates"  # a deployment passes its own secret
-MAX_DRAWS = 40
+MAX_DRAWS = 40  # random draws; the rest is numbered
+GROW = 4  # names and mailboxes get one more syllable or letter after so many draws, private addresses other blocks
+RANGES = 4096  # hash ranges in which the rest is numbered
 BLOCK_BYTES = 4 << 20
 
 FEMALE = ("Mrs", "Ms", "Miss", "Lady", "Frau", "Madame", "Mme", "Señora", "Sra", "г-жа", "κυρία")
@@ -164,7 +168,8 @@ def luhn(number: str) -> bool:
 
 
 def surrogate(kind: str, canonical: str, attempt: int = 0, key: bytes = KEY) -> str:
-    """The canonical form of an entity's surrogate; never the entity's own."""
+    """The canonical form of an entity's surrogate; never the entity's own, if its shape has others."""
+    more = attempt // GROW
     for again in range(64):
         draw = Draw(key, kind, canonical, attempt + again * 1_000_003)
         if kind == "email":
@@ -172,10 +177,13 @@ def surrogate(kind: str, canonical: str, attempt: int = 0, key: bytes = KEY) ->
             labels = domain.split(".")
             # One domain stays one domain; its last label stays what it is.
             of_domain = Draw(key, "domain", domain, 0)
-            new = f"{draw.like(local)}@{'.'.join([*map(of_domain.like, labels[:-1]), labels[-1]])}"
+            longer = "".join(ALPHABETS["LATIN"][draw.below(26)] for _ in range(more))
+            new = f"{draw.like(local)}{longer}@{'.'.join([*map(of_domain.like, labels[:-1]), labels[-1]])}"
         elif kind == "ip":
             parts = canonical.split(".")
             kept = 1 if parts[0] == "10" else 2 if parts[:2] == ["192", "168"] else 0  # private networks stay private
+            if kept == 2 and more:  # the other private blocks: 172.16 to 172.31, then 10
+                parts, kept = (["172", str(16 + draw.below(16)), *parts[2:]], 2) if more < 3 else (["10", *parts[1:]], 1)
             new = ".".join(parts[:kept] + [str(1 + draw.below(254)) for _ in parts[kept:]])
         elif kind == "card":
             new = canonical[0] + draw.like(canonical[1:])  # the first digit names the network
@@ -188,7 +196,7 @@ def surrogate(kind: str, canonical: str, attempt: int = 0, key: bytes = KEY) ->
             new = new.upper() if canonical.upper() == canonical else new
         elif kind.startswith("name-"):
             of_script, gender = kind.upper().split("-")[1], kind[-1]
-            new = "".join(SYLLABLES[of_script][draw.below(len(SYLLABLES[of_script]))] for _ in range(2 + draw.below(2))) + ENDINGS[of_script, gender]
+            new = "".join(SYLLABLES[of_script][draw.below(len(SYLLABLES[of_script]))] for _ in range(2 + more + draw.below(2))) + ENDINGS[of_script, gender]
         else:
             new = draw.like(canonical)
         if new != canonical:
@@ -196,12 +204,42 @@ def surrogate(kind: str, canonical: str, attempt: int = 0, key: bytes = KEY) ->
     return new
 
 
+def numbered(kind: str, canonical: str, attempt: int, number: int, most: int, key: bytes = KEY) -> str:
+    """A longer surrogate that no other number up to ``most`` gives in this attempt: the number stands at the same place in all of its kind."""
+    draw = Draw(key, kind, canonical, attempt)
+    # One more place with each attempt: at last longer than any entity of the corpus.
+    if kind == "ip":  # IPv4 has no longer addresses: a unique local one of IPv6, or for a public one a documentation one
+        private = ipaddress.ip_address(".".join(str(int(p)) for p in canonical.split("."))).is_private
+        return str(ipaddress.IPv6Address(((0xFD << 120) if private else (0x20010DB8 << 96)) + ((attempt % (1 << 16)) << 64) + number))
+    if kind.startswith("name-"):
+        of_script, gender = kind.upper().split("-")[1], kind[-1]
+        units = SYLLABLES[of_script]
+    else:
+        units = list(ALPHABETS["LATIN"] if kind == "email" else "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567" if kind == "key" else "0123456789")
+    code, width = [], attempt - MAX_DRAWS
+    while len(units) ** width <= most:
+        width += 1
+    for _ in range(width):
+        number, unit = divmod(number, len(units))
+        code.append(units[unit])
+    code = "".join(code)
+    if kind.startswith("name-"):
+        return "".join(units[draw.below(len(units))] for _ in range(2)) + code + ENDINGS[of_script, gender]
+    base = surrogate(kind, canonical, attempt, key)
+    if kind == "email":
+        local, _, domain = base.partition("@")
+        return f"{local}{code}@{domain}"
+    if kind == "card":  # the number before the check digit, and so for cards without one
+        return next(n for d in "0123456789" if luhn(n := base + code + d)) if luhn(canonical) else base + code + str(draw.below(10))
+    return base + code
+
+
 def render(mention: str, kind: str, canonical: str, new: str) -> str:
     """A surrogate in the mention's format: separators, country code and case."""
     if kind in ("phone", "card", "ssn"):
         found = digits(mention)
         filled = iter(found[:len(found) - len(canonical)] + new)
-        return "".join(next(filled) if c.isdigit() else c for c in mention)
+        return "".join([*(next(filled) if c.isdigit() else c for c in mention), *filled])
     if kind.startswith("name-"):
         return new.upper() if mention.isupper() and len(mention) > 1 else new.capitalize()
     if kind == "email" and len(new) == len(mention):
@@ -222,20 +260,25 @@ def surrogate_table(mentions: DataFrame, key: bytes = KEY) -> DataFrame:
     """``(kind, canonical, surrogate)`` of the distinct entities, one surrogate for one entity.
 
     Of entities that draw the same surrogate the first in order keeps it, and one that is itself an entity of the corpus is
-    kept by none; the others draw again until no collision is left.
+    kept by none; the others draw again until no collision is left. Spaces grow with the draws where the kind allows it. After
+    ``MAX_DRAWS`` draws the rest is numbered: numbers meet no other of these, and get longer while one meets a real entity.
     """
     def drawn(batches):
         for batch in batches:
-            new = [surrogate(*row, key) for row in zip(*(batch.column(c).to_pylist() for c in ("kind", "canonical", "attempt")), strict=True)]
-            yield batch.append_column("surrogate", pa.array(new, pa.string()))
+            new = [surrogate(*row, key) if most is None else numbered(*row, number, most, key) for *row, number, most in
+                   zip(*(batch.column(c).to_pylist() for c in ("kind", "canonical", "attempt", "number", "most")), strict=True)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("kind", "canonical", "attempt")), pa.array(new, pa.string())],
+                                             ["kind", "canonical", "attempt", "surrogate"])
 
     def draw(rows: DataFrame) -> DataFrame:
         return rows.mapInArrow(drawn, "kind string, canonical string, attempt int, surrogate string")
 
+    none = F.lit(None).cast("bigint")
     space = F.regexp_replace("kind", "^(name-[a-z]+)-.$", "$1")  # one for the names of a script, whatever their gender
     known = materialize(mentions.select("kind", "canonical").distinct())
-    table = materialize(draw(known.withColumn("attempt", F.lit(0))))
-    for _ in range(MAX_DRAWS):
+    table = materialize(draw(known.select("kind", "canonical", F.lit(0).alias("attempt"), none.alias("number"), none.alias("most"))))
+    attempt = 0
+    while True:
         taken = table.groupBy("kind", "surrogate").agg(F.min("canonical").alias("keeps"), F.count("*").alias("n"))
         taken = taken.filter("n > 1").select(F.col("kind").alias("k"), F.col("surrogate").alias("s"), "keeps")
         shared = (table.join(taken, (F.col("kind") == F.col("k")) & (F.col("surrogate") == F.col("s")) & (F.col("canonical") != F.col("keeps")), "left_semi"))
@@ -245,8 +288,18 @@ def surrogate_table(mentions: DataFrame, key: bytes = KEY) -> DataFrame:
         if losers.isEmpty():
             return table.select("kind", "canonical", "surrogate")
         stay = table.join(losers, ["kind", "canonical"], "left_anti")
-        table = materialize(stay.unionByName(draw(losers.withColumn("attempt", (F.col("attempt") + 1).cast("int")))))
-    raise ValueError(f"no surrogates without collisions in {MAX_DRAWS} draws")
+        attempt += 1
+        again = losers.withColumn("attempt", F.lit(attempt))
+        if attempt < MAX_DRAWS:
+            again = again.withColumn("number", none).withColumn("most", none)
+        else:
+            # Keyed, the same in each run, and bounded: a rank within a hash range and the range.
+            keyed = F.sha2(F.concat_ws("\0", F.lit(key.hex()), "kind", "canonical").cast("binary"), 256)
+            again = again.withColumn("range", F.pmod(F.xxhash64(keyed), F.lit(RANGES)))
+            rank = F.row_number().over(Window.partitionBy("range").orderBy(keyed, "kind", "canonical"))
+            again = materialize(again.withColumn("number", (rank.cast("bigint") - 1) * RANGES + F.col("range")).drop("range"))
+            again = again.withColumn("most", F.lit(again.agg(F.max("number")).first()[0]))
+        table = materialize(stay.unionByName(draw(again)))
 
 
 def replace_entities(docs: DataFrame, text: str = "text", key: bytes = KEY) -> DataFrame:
