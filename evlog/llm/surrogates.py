@@ -54,8 +54,13 @@ ENTITY = re.compile(
     r"|(?P<ssn>(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-]))"
     r"|(?P<phone>(?<![\w+])\+1[ .-]?\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}(?!\d)|(?<![\w+])\+(?!1)\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){1,4}(?!\d)|(?<![\w-])(?:\(\d{3}\) ?|\d{3}[-.])\d{3}[-.]\d{4}(?!\d))"
     r"|(?P<card>(?<![\w.])(?:\d{13,19}|\d{4}([ -])\d{4}\8\d{4}\8\d{1,7}|\d{4}([ -])\d{6}\9\d{5})(?!\d))"
-    rf"|(?P<name>(?<!\w)(?:{'|'.join(map(re.escape, sorted(TITLES, key=len, reverse=True)))})\.? [^\W\d_]+(?:[ -][^\W\d_]+)?)")
-WORD = re.compile(r"(?<!\w)[^\W\d_]++(?!\w)")
+    rf"|(?P<title>(?<!\w)(?:{'|'.join(map(re.escape, sorted(TITLES, key=len, reverse=True)))})\.? (?=[^\W\d_]))")
+#: Letters, joined by apostrophes if more than a possessive or contracted verb follows.
+WORD = re.compile(r"(?<!\w)[^\W\d_]++(?:['’](?!(?:ll|re|ve)\b)[^\W\d_]{2,}+)*+(?!\w)")
+#: What stands between the words of a name: of initials a dot too.
+BETWEEN, AFTER_INITIAL = re.compile(r" |[-‐‑]"), re.compile(r"\.? |\.?[-‐‑]|\.")
+#: Words in lower case that stand within names.
+PARTICLES = frozenset("van von der den de del della di da das dos du la le zu zur bin ibn al el ter ten".split())
 #: A text that matches neither of these has no entity. Both begin with one of few characters, which makes them quick.
 HINTS = ("[0-9=:@]", f"(?=[A{''.join(sorted({t[0] for t in TITLES}))}])(?:AKIA|(?:{'|'.join(map(re.escape, TITLES))})[.]? )")
 
@@ -96,30 +101,57 @@ def entities(text: str) -> list[tuple[int, int, str, str]]:
         before = bisect_right(begins, word.start()) - 1
         return before < 0 or found[before][1] <= word.start()
 
-    words = [w for w in WORD.finditer(text) if w[0].lower() in names and w[0] not in TITLES and free(w)]
+    words = [w for w in WORD.finditer(text) if canonical_name(w[0]) in names and w[0] not in TITLES and free(w)]
     for word in words:
-        if word[0][0].islower():
-            names.pop(word[0].lower(), None)
-    found += [(w.start(), w.end(), names[w[0].lower()], w[0].lower()) for w in words if w[0].lower() in names]
+        if not capital(word[0]):
+            names.pop(canonical_name(word[0]), None)
+    found += [(w.start(), w.end(), names[c], c) for w in words if (c := canonical_name(w[0])) in names]
     return sorted(found)
 
 
+def name_words(text: str, at: int, end: int) -> list[tuple[int, int, bool]]:
+    """(begin, end, whether of the family name) of the capitalised words that follow each other from ``at`` on; particles among them stay out.
+
+    The last one is the family name, with all that hyphens join to it.
+    """
+    words: list[tuple[int, int, int]] = []  # and the number of the word, hyphens joining several parts
+    number = 0
+    while (word := WORD.match(text, at)) and word.end() <= end:
+        if capital(word[0]) and word[0] not in TITLES:
+            words.append((word.start(), word.end(), number))
+        elif word[0] not in PARTICLES:
+            break
+        between = (AFTER_INITIAL if len(word[0]) == 1 else BETWEEN).match(text, word.end())
+        if not between:
+            break
+        number += between[0][-1] in " ."
+        at = between.end()
+    return [(begin, stop, n == words[-1][2]) for begin, stop, n in words]
+
+
+def capital(word: str) -> bool:
+    """Whether a word, or a part of it that an apostrophe joins, begins with a capital: Arc, O'Brien, d'Arc."""
+    return any(part[0].isupper() for part in re.split("['’]", word))
+
+
+def canonical_name(word: str) -> str:
+    return word.lower().replace("’", "'")
+
+
 def _matches(text: str) -> Iterator[tuple[int, int, str, str]]:
-    """What ``ENTITY`` finds."""
-    for match in ENTITY.finditer(text):
+    """What ``ENTITY`` finds, with the names after its titles."""
+    matches = list(ENTITY.finditer(text))
+    gender, title_end = "u", -1
+    for i, match in enumerate(matches):
         kind, found = match.lastgroup, match[match.lastgroup]
         begin = match.start(kind)
-        if kind == "name":
-            title, _, words = found.partition(" ") if " " in found else found.partition(" ")
-            title = title.rstrip(".")
-            gender = "f" if title in FEMALE else "m" if title in MALE else "u"
-            at = begin + len(found) - len(words)
-            for i, word in enumerate(parts := re.split(r"[  -]", words)):
-                if not word[0].isupper():
-                    break
-                last = i == len(parts) - 1 or not parts[i + 1][0].isupper()  # the family name: the same for all genders
-                yield at, at + len(word), f"name-{script(word).lower()}-{'u' if last else gender}", word.lower()
-                at += len(word) + 1
+        if kind == "title":
+            title = found.rstrip(". ")
+            before = gender if title_end == begin else "u"  # of titles in a row one tells it
+            gender, title_end = "f" if title in FEMALE else "m" if title in MALE else before, match.end()
+            for at, stop, family in name_words(text, match.end(), matches[i + 1].start() if i + 1 < len(matches) else len(text)):  # the family name: the same for all genders
+                word = text[at:stop]
+                yield at, stop, f"name-{script(word).lower()}-{'u' if family else gender}", canonical_name(word)
         elif kind == "secret":
             found = found.rstrip(".-")
             if any(c.isdigit() for c in found):

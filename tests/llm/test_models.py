@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 
+import pytest
+
 from evlog.llm import langid, quality, surrogates
 from evlog.llm.common import table
 from evlog.llm.queries import QUERIES
@@ -155,3 +157,21 @@ def test_numbers_give_one_surrogate_each():
             assert len(new) == 3001, kind
     assert surrogates.luhn(surrogates.numbered("card", "4111111111111111", surrogates.MAX_DRAWS, 7, 9))
     assert surrogates.numbered("ip", "192.168.0.1", surrogates.MAX_DRAWS, 7, 9).startswith("fd") and surrogates.numbered("ip", "8.8.8.8", surrogates.MAX_DRAWS, 7, 9).startswith("2001:db8:")
+
+
+@pytest.mark.parametrize(("text", "left"), [
+    ("Dr. J. Smith came. Smith left.", "Dr. _. _ came. _ left."), ("Prof. J. R. Smith, J.R. Smith", "Prof. _. _. _, J.R. _"), ("Dr. J.R.R. Tolkien", "Dr. _._._. _"),
+    ("Dr. John Michael Smith saw Michael.", "Dr. _ _ _ saw _."), ("Mr Jean-Paul Sartre and Sartre", "Mr _-_ _ and _"), ("Mr John F. Kennedy was", "Mr _ _. _ was"),
+    ("Mr O'Brien's dog, O’Brien, O'BRIEN", "Mr _'s dog, _, _"), ("Mr d'Arc and Mr. Smith'll", "Mr _ and Mr. _'ll"), ("Mrs Anna Smith-Jones’s", "Mrs _ _-_’s"),
+    ("Frau Prof. Dr. Anna Müller", "Frau Prof. Dr. _ _"), ("Mr and Mrs Smith. He saw Mr Smith Mr Jones", "Mr and Mrs _. He saw Mr _ Mr _"),
+    ("Dr. Ludwig van Beethoven", "Dr. _ van _"), ("г-жа Анна Мария Иванова пела", "г-жа _ _ _ пела"), ("Dr. Smith2, Dr. no", "Dr. Smith2, Dr. no")])
+def test_whole_names_after_titles(text, left):
+    marks = surrogates.entities(text)
+    assert left == "".join(text[b:a] + "_" * bool(e) for b, a, e in zip([0, *(m[1] for m in marks)], [*(m[0] for m in marks), len(text)], [*marks, None], strict=True))
+    new, n = surrogates.replace_all(text, {(k, c): surrogates.surrogate(k, c) for _, _, k, c in marks})
+    assert n == len(marks) and re.fullmatch(re.escape(left).replace("_", r"\w+"), new)
+
+
+def test_given_and_family_names():
+    kinds = [(c, k[-1]) for _, _, k, c in surrogates.entities("Mr Jean-Paul Sartre, Herr Dr. Karl Max Weber, Mrs Anna Smith-Jones")]
+    assert kinds == [("jean", "m"), ("paul", "m"), ("sartre", "u"), ("karl", "m"), ("max", "m"), ("weber", "u"), ("anna", "f"), ("smith", "u"), ("jones", "u")]
