@@ -61,8 +61,9 @@ WORD = re.compile(r"(?<!\w)[^\W\d_]++(?:['’](?!(?:ll|re|ve)\b)[^\W\d_]{2,}+)*+
 BETWEEN, AFTER_INITIAL = re.compile(r" |[-‐‑]"), re.compile(r"\.? |\.?[-‐‑]|\.")
 #: Words in lower case that stand within names.
 PARTICLES = frozenset("van von der den de del della di da das dos du la le zu zur bin ibn al el ter ten".split())
-#: A text that matches neither of these has no entity. Both begin with one of few characters, which makes them quick.
-HINTS = ("[0-9=:@]", f"(?=[A{''.join(sorted({t[0] for t in TITLES}))}])(?:AKIA|(?:{'|'.join(map(re.escape, TITLES))})[.]? )")
+#: A text that matches neither of these has no entity: digits are those of all scripts, as in ``ENTITY`` (three are newer than those of Java 17).
+#: Both begin with one of few characters, which makes them quick.
+HINTS = (r"[0-9=:@\p{Nd}\x{11F50}-\x{11F59}\x{16AC0}-\x{16AC9}\x{1E4F0}-\x{1E4F9}]", f"(?=[A{''.join(sorted({t[0] for t in TITLES}))}])(?:AKIA|(?:{'|'.join(map(re.escape, TITLES))})[.]? )")
 
 
 def may_have(text: Column) -> Column:
