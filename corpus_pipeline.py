@@ -15,29 +15,35 @@ from evlog.session import work_path
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
-def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """The rows whose doc_id isn't in ``dropped``; rows without an id stay."""
-    return docs.join(dropped.select(F.col("doc_id").alias("_gone")).distinct(), F.col("doc_id") == F.col("_gone"), "left_anti").select(*COLUMNS)
+def _whole(docs: DataFrame) -> DataFrame:
+    """The rows as one value beside their text, so that an operator's decision stays on the row, whatever its doc_id."""
+    return docs.select(F.struct(*COLUMNS).alias("row"), "text")
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier predicts as label 1. Without labels of both classes all stay."""
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
-    return _without(docs, quality.score(docs, model).filter("predicted = 0"))
+    return quality.score(_whole(docs), model, doc_id="row").filter("predicted = 1").select("doc_id.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each near-duplicate group, once."""
-    found = minmax.near_duplicates(docs)
-    kept = _without(docs, found.filter("NOT kept"))
-    once = kept.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
-    return once.unionByName(kept.filter("doc_id IS NULL"))
+    """The document with the smallest doc_id of each near-duplicate group, once.
+
+    Rows without an id are dropped if a row with one has an equal set. Of rows with one id and text the first by lang, source and n_chars
+    stays; different texts that share an id each stay if no smaller id is near them.
+    """
+    keyed = docs.select(*COLUMNS, F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("_text"))
+    gone = minmax.near_duplicates(keyed, carry="_text").filter("NOT kept").select(F.col("doc_id").alias("_gone"), F.col("_text").alias("_of")).distinct()
+    kept = keyed.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")) & F.col("_text").eqNullSafe(F.col("_of")), "left_anti")
+    first = F.min(F.struct("lang", "source", "n_chars", "text")).alias("first")
+    once = kept.filter("doc_id IS NOT NULL").groupBy("doc_id", "_text").agg(first).select("doc_id", "first.*").select(*COLUMNS)
+    return once.unionByName(kept.filter("doc_id IS NULL").select(*COLUMNS))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any benchmark window."""
-    found = wumanber.find_windows(docs, table(spark, sf_dir, "benchmark"))
-    return _without(docs, found.filter("contaminated"))
+    found = wumanber.find_windows(_whole(docs), table(spark, sf_dir, "benchmark"), doc_id="row")
+    return found.filter("NOT contaminated").select("doc_id.*")
 
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -50,7 +50,7 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: Words, width: int
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = SHINGLE, percent: int = PERCENT,
-                    permutations: int = PERMUTATIONS, rows: int = ROWS) -> DataFrame:
+                    permutations: int = PERMUTATIONS, rows: int = ROWS, carry: str | None = None) -> DataFrame:
     """``(doc_id, n_shingles, component_id, kept)``, a row for each row of ``docs``.
 
     A text's set holds its distinct shingles of ``width`` words (all words as one
@@ -67,12 +67,14 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
       nothing: the row belongs to the component of an equal set if there is one
       and isn't kept; else component_id is null and it's kept. Rows with one
       doc_id are one document. No rows in, no rows out; other columns of
-      ``docs`` are ignored.
+      ``docs`` are ignored, but for ``carry``, which each row keeps.
     """
+    more = [carry] if carry else []
     kind = docs.schema[doc_id].dataType.simpleString()
     base = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
-    signed = materialize(base.mapInArrow(_signer(width, permutations, rows),
-                                         f"id {kind}, n bigint, digest binary, bands array<bigint>"))
+    carried = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"), *(F.col(c).alias("carried") for c in more))
+    signed = materialize(carried.mapInArrow(_signer(width, permutations, rows), "id " + kind + ", n bigint, digest binary, bands array<bigint>"
+                                            + "".join(f", carried {docs.schema[c].dataType.simpleString()}" for c in more)))
     classes = materialize(signed.filter("digest IS NOT NULL AND id IS NOT NULL").groupBy("digest")
                           .agg(F.min("id").alias("rep"), F.min_by("bands", "id").alias("bands")))
     banded = classes.select("rep", F.explode("bands").alias("bucket"))
@@ -82,9 +84,9 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     found = (classes.select("digest", "rep").join(labels, F.col("rep") == F.col("node"), "left")
              .select("digest", F.coalesce("root", "rep").alias("component")))
     own = F.coalesce("component", "id")
-    return (signed.select("id", "n", "digest").join(found, "digest", "left")
+    return (signed.select("id", "n", "digest", *("carried" for _ in more)).join(found, "digest", "left")
             .select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), own.alias("component_id"),
-                    F.coalesce(F.col("id") == own, own.isNull()).alias("kept")))
+                    F.coalesce(F.col("id") == own, own.isNull()).alias("kept"), *(F.col("carried").alias(c) for c in more)))
 
 
 def _signer(width: int, permutations: int, rows: int):
@@ -117,9 +119,10 @@ def _signer(width: int, permutations: int, rows: int):
                 values = signature(unique)
                 sums = (values[:n_bands * rows].reshape(n_bands, rows).astype(U64) * weights).sum(axis=1, dtype=U64)
                 bands.append(mix(sums + band_of).view(np.int64))
+            carried = [c for c in batch.schema.names if c == "carried"]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id"), pa.array(n, pa.int64()), pa.array(digests, pa.binary()),
-                 pa.array(bands, pa.list_(pa.int64()))], ["id", "n", "digest", "bands"])
+                 pa.array(bands, pa.list_(pa.int64())), *map(batch.column, carried)], ["id", "n", "digest", "bands", *carried])
 
     return sign
 

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from evlog.llm import chat, fingerprint, langid, lm, minmax, mixing, quality, surrogates, warc, wumanber
+from evlog.llm.tokens import NOT_SPACE, Words, flat
 
 SHAPE = "doc_id long, text string, lang string, source string, n_chars long"
 PLAIN = "the of and this that with from is was are to in on at by for an it be as or"
@@ -155,3 +158,25 @@ def test_pipeline_against_its_operators(spark, scratch):
             assert all(c not in r.text for d, r in after.items() for _, _, _, c in surrogates.entities(before[d].text))
         assert all(len(r.text) == r.n_chars for r in after.values())
     assert {r.doc_id for r in corpus_pipeline.run(spark, SMALL).collect()} == set(after)
+
+
+def test_pipeline_decides_on_rows(spark, items, scratch, monkeypatch):
+    """Rows without an id are not spared, and rows that share one are not dropped for each other."""
+    def kept(stage, data):
+        out = stage(spark, spark.createDataFrame([(*d, "en", "s", 1) if len(d) == 2 else (*d, "s", 1) for d in data], SHAPE), scratch)
+        assert out.columns == corpus_pipeline.COLUMNS
+        return sorted(((r.doc_id, r.text, r.lang) for r in out.collect()), key=str)
+
+    a, b, c, e = (text_of(i) for i in (11, 12, 13, 14))
+    assert kept(corpus_pipeline.drop_near_duplicates, [(1, a), (None, a), (2, a), (2, b), (3, c, "en"), (3, c, "de"), (3, c, "fr"), (None, e), (None, None)]) == sorted(
+        [(1, a, "en"), (2, b, "en"), (3, c, "de"), (None, e, "en"), (None, None, "en")], key=str)
+    items.write.parquet(f"{scratch}/benchmark.parquet")
+    leak = text_of(3, 15)
+    assert kept(corpus_pipeline.drop_contaminated, [(None, leak), (4, leak), (4, a), (None, b), (5, None)]) == sorted(
+        [(4, a, "en"), (None, b, "en"), (5, None, "en")], key=str)
+    good, bad = "a calm long sentence about the old river " * 9, "!!! 99 $$ BUY BUY " * 20
+    features, n = quality.passage_features(*flat(pa.array([good, bad] * 8)), Words(NOT_SPACE))
+    model = quality.train(features, n, np.array([1.0, 0.0] * 8))
+    monkeypatch.setattr(quality, "fit", lambda *_: model)
+    monkeypatch.setattr(corpus_pipeline, "table", lambda *_: None)
+    assert kept(corpus_pipeline.keep_quality, [(None, bad), (6, bad), (6, good), (None, good)]) == sorted([(6, good, "en"), (None, good, "en")], key=str)
