@@ -18,6 +18,7 @@ from evlog.llm.tokens import NOT_SPACE, U64, Words, blocks, byte_set, flat
 
 FOLDS, TEST = 3, 1  # of crc32(doc_id): labels of remainder TEST are never learned from
 PER_CLASS = 1500  # bound on the labelled documents of each class that are learned from
+PER_DOCUMENT = 512  # passages of a document that are learned from; scoring reads all
 PASSAGE = 64  # words
 BLOCK_BYTES = 2 << 20
 HIDDEN, ATTENTION = 16, 8
@@ -131,11 +132,17 @@ def train(features: np.ndarray, n: np.ndarray, target: np.ndarray, steps: int =
     return model
 
 
+def _spread(n: int, most: int) -> np.ndarray:
+    """All of n places, or ``most`` evenly spread ones, the first and last among them."""
+    return np.arange(n) if n <= most else np.linspace(0, n - 1, most).astype(int)
+
+
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "quality",
-        per_class: int = PER_CLASS) -> MilModel | None:
+        per_class: int = PER_CLASS, per_document: int = PER_DOCUMENT) -> MilModel | None:
     """The model of a bounded sample of the training fold's labelled documents; None if that lacks a class.
 
-    Labels that aren't 0 or 1 and rows without an id or text are left out; of several labels of a document the largest holds.
+    Labels that aren't 0 or 1 and rows without an id or text are left out; of several labels of a document the largest holds, and
+    of several texts that with the smallest digest. A document of more than ``per_document`` passages is learned from as many, evenly spread ones.
     """
     marked = (labels.filter(F.col(label).isin(0, 1) & (id_remainder(doc_id, FOLDS) != TEST))
               .groupBy(F.col(doc_id).alias("id")).agg(F.max(label).cast("int").alias("label")))
@@ -145,13 +152,14 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "d
         words = Words(NOT_SPACE)
         for batch in blocks(batches, "text", BLOCK_BYTES):
             features, n = passage_features(*flat(batch.column("text")), words)
-            rows = np.split(features.astype(np.float32), np.cumsum(n)[:-1])
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("label"), pa.array(n), pa.array([r.tobytes() for r in rows], pa.binary())],
+            rows = [r[_spread(len(r), per_document)] for r in np.split(features.astype(np.float32), np.cumsum(n)[:-1])]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("label"), pa.array([len(r) for r in rows], pa.int64()), pa.array([r.tobytes() for r in rows], pa.binary())],
                                              ["id", "label", "n", "features"])
 
     kind = docs.schema[doc_id].dataType.simpleString()
     rows = (docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).filter("text IS NOT NULL")
-            .join(F.broadcast(sample), "id").select("id", "label", "text")
+            .join(F.broadcast(sample), "id").groupBy("id", "label")
+            .agg(F.min(F.struct(F.sha2(F.col("text").cast("binary"), 256).alias("digest"), "text")).getField("text").alias("text"))
             .mapInArrow(featured, f"id {kind}, label int, n bigint, features binary").orderBy("id", "label", "features").collect())
     target = np.array([r["label"] for r in rows], float)
     if len(set(target)) < 2:

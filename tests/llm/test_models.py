@@ -192,3 +192,17 @@ def test_texts_with_entities_pass_the_hints(spark):
     assert len(out) == len(zeros) and all(r.n_entities == 1 and r.text not in texts for r in out)
     plain = spark.createDataFrame([("no digit here; nor (a title)",), ("x² and Ⅷ",)], "text string")
     assert plain.filter(surrogates.may_have(plain.text)).count() == 0
+
+
+def test_an_id_is_learned_from_once(spark, monkeypatch):
+    """Whatever its rows and length."""
+    learned = []
+    monkeypatch.setattr(quality, "train", lambda features, n, target: learned.append((len(features), list(n), list(target))))
+    docs = [(i, f"text number {i} of some words") for i in range(1, 13)]
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in docs], "doc_id long, quality int")
+    quality.fit(spark.createDataFrame(docs, "doc_id long, text string"), labels)
+    quality.fit(spark.createDataFrame(docs + [(i, t) for i, t in docs[:6] for _ in range(40)], "doc_id long, text string"), labels)
+    assert learned[0] == learned[1] and learned[0][0] == len(learned[0][1]) < 12
+    quality.fit(spark.createDataFrame([(i, t * 20_000) for i, t in docs], "doc_id long, text string"), labels)
+    assert set(learned[2][1]) == {quality.PER_DOCUMENT}
+    assert list(quality._spread(5, 5)) == [0, 1, 2, 3, 4] and list(quality._spread(9, 3)) == [0, 4, 8]
