@@ -37,3 +37,9 @@ def sample_per_class(df: DataFrame, by: str, key: str, per_class: int) -> DataFr
     first = Window.partitionBy(by).orderBy("_h", key)
     return (hashed.filter(near).withColumn("_r", F.row_number().over(first))
             .filter(F.col("_r") <= per_class).drop("_h", "_r"))
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Removes a folder of ``work_path`` that nothing reads any more."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)

@@ -1,14 +1,43 @@
 """DuckDB twins of the queries that SQL can express.
 
-The others: op1 and op10 are tested against brute force, op5 and op9 by held-out accuracy, op7 by its properties, and the pipeline
+The others: op1, op10 and op12 are tested against brute force, op5 and op9 by held-out accuracy, op7 by its properties, and the pipeline
 (its quality and surrogate stages have no SQL) by brute force over its stages.
 """
 
+from evlog.llm.codes import ENTRIES, PARTS, ROUNDS, SCALE
 from evlog.llm.mixing import DIGITS, MAX_REPEATS, SEED, WEIGHT_DIGITS
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+
+
+def _codes_sql() -> str:
+    """Rounds as CTEs: ``near`` has each part's smallest distance and the entry's place behind it, ``book`` the entries by component."""
+    steps = [f"""
+q AS (SELECT row_number() OVER () AS r, vec_id, label, [floor({SCALE} * x::DOUBLE)::BIGINT for x in embedding] AS v FROM embeddings
+      WHERE embedding IS NOT NULL AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0),
+w AS (SELECT len(v) // {PARTS} AS width, i FROM (SELECT v, unnest(range(0, len(v))) AS i FROM (SELECT v FROM q LIMIT 1))),
+c AS (SELECT r, i // width AS p, i % width AS k, v[i + 1] AS x FROM q, w),
+book0 AS (SELECT p, e, k, x AS y FROM c JOIN (SELECT r, row_number() OVER (ORDER BY vec_id) - 1 AS e FROM q) o USING (r) WHERE e < {ENTRIES})"""]
+    for i in range(ROUNDS + 1):
+        steps.append(f"""
+near{i} AS (SELECT r, p, min(d * {ENTRIES} + e) AS m FROM (
+    SELECT r, p, e, sum((x - y) * (x - y))::BIGINT AS d FROM c JOIN book{i} USING (p, k) GROUP BY r, p, e) GROUP BY r, p)""")
+        if i < ROUNDS:
+            steps.append(f"""
+mean{i} AS (SELECT p, m % {ENTRIES} AS e, k, sum(x)::BIGINT AS s, count(*) AS n FROM c JOIN near{i} USING (r, p) GROUP BY ALL),
+book{i + 1} AS (SELECT b.p, b.e, b.k, CASE WHEN n IS NULL THEN y ELSE (s - ((s % n) + n) % n) // n END AS y
+    FROM book{i} b LEFT JOIN mean{i} t ON b.p = t.p AND b.e = t.e AND b.k = t.k)""")
+    return "WITH " + ",".join(steps) + f""",
+coded AS (SELECT r, string_agg(printf('%02x', m % {ENTRIES}), '' ORDER BY p) AS code, sum(m // {ENTRIES})::BIGINT AS error FROM near{ROUNDS} GROUP BY r)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+       (SELECT sha256(string_agg(y::VARCHAR, ',' ORDER BY p, e, k)) FROM book{ROUNDS}) AS codebooks_sha256
+FROM q JOIN coded USING (r)
+"""
+
+
 SQL = {
+    "op11_vector_codes": _codes_sql(),
     "op2_temperature_mixing": rf"""
 WITH RECURSIVE counted AS (
     SELECT source, doc_id, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS n_tokens FROM documents),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evlog.llm import chat, fingerprint, langid, lm, minmax, mixing, quality, surrogates, warc, wumanber
+from evlog.llm import chat, codes, fingerprint, langid, lm, minmax, mixing, quality, surrogates, warc, wumanber
 from evlog.llm.common import table
 from evlog.session import work_path
 
@@ -81,6 +81,13 @@ def op10_multiset_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.compare_edits(table(spark, sf_dir, "documents"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector's code and error, and the codebooks' digest."""
+    coded, history = codes.compress(table(spark, sf_dir, "embeddings"))
+    return codes.with_label_error(coded).select(F.col("id").alias("vec_id"), "code", "error", "label_error",
+                                                F.lit(codes.codebook_digest(history[-1])).alias("codebooks_sha256"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages of corpus_pipeline.py over the documents."""
     import corpus_pipeline
@@ -89,4 +96,4 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_deleted_interpolation, op2_temperature_mixing, op3_chat_parts, op4_wu_manber, op5_string_kernel,
-                                   op6_warc_zstd, op7_surrogates, op8_minmax_near_dups, op9_attention_mil, op10_multiset_hash, pipeline)}
+                                   op6_warc_zstd, op7_surrogates, op8_minmax_near_dups, op9_attention_mil, op10_multiset_hash, op11_vector_codes, pipeline)}
