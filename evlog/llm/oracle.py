@@ -6,6 +6,7 @@ The others: op1, op10 and op12 are tested against brute force, op5 and op9 by he
 
 from evlog.llm.codes import ENTRIES, PARTS, ROUNDS, SCALE
 from evlog.llm.mixing import DIGITS, MAX_REPEATS, SEED, WEIGHT_DIGITS
+from evlog.llm.secrets import ACCESS, ASSIGN, ASSIGN_MIN, DISTINCT, FEW_OWNERS, HEX, TOKEN
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -36,7 +37,46 @@ FROM q JOIN coded USING (r)
 """
 
 
+def _secrets_sql() -> str:
+    quoted = {k: "'" + p.replace("'", "''") + "'" for k, p in (("assign", ASSIGN), ("access", ACCESS), ("hex", HEX), ("token", TOKEN))}
+    parts = []
+    for rank, (kind, pattern) in enumerate(quoted.items()):
+        value = f"regexp_extract_all(t, {pattern}, 2)" if kind == "assign" else f"regexp_extract_all(t, {pattern})"
+        parts.append(f"""SELECT r, {rank} AS rank, '{kind}' AS kind, unnest(range(1, len(whole) + 1)) AS i, unnest(gaps[1:len(whole)]) AS gap,
+            unnest(whole) AS w, unnest(value) AS v FROM (
+        SELECT r, regexp_split_to_array(t, {pattern}) AS gaps, regexp_extract_all(t, {pattern}) AS whole, {value} AS value
+        FROM {"blanked" if kind == "token" else "doc"} WHERE regexp_matches(t, {pattern}))""")
+    return f"""
+WITH doc AS (SELECT row_number() OVER () AS r, doc_id, source, lang, coalesce(text, '') AS t FROM documents),
+pieces AS (SELECT r, unnest(regexp_split_to_array(t, {quoted['assign']})) AS gap,
+                  unnest(list_append(regexp_extract_all(t, {quoted['assign']}), '')) AS w,
+                  unnest(range(0, len(regexp_extract_all(t, {quoted['assign']})) + 1)) AS i FROM doc),
+blanked AS (SELECT r, string_agg(gap || repeat(' ', length(w)), '' ORDER BY i) AS t FROM pieces GROUP BY r),
+found AS ({" UNION ALL ".join(parts)}),
+placed AS (SELECT *, (sum(length(gap) + length(w)) OVER (PARTITION BY r, rank ORDER BY i))::BIGINT AS e FROM found),
+judged AS (
+    SELECT *, regexp_matches(v, '[0-9]') AND len(list_distinct(regexp_extract_all(v, '.'))) >= {DISTINCT}
+              AND (kind <> 'token' OR (regexp_matches(v, '[a-z]') AND regexp_matches(v, '[A-Z]'))) AS live
+    FROM placed WHERE kind <> 'assign' OR length(v) >= {ASSIGN_MIN}),
+owners AS (SELECT v, count(DISTINCT coalesce(source, chr(0))) AS n FROM judged JOIN doc USING (r) WHERE kind <> 'token' OR live GROUP BY v),
+kept AS (
+    SELECT r, kind, rank, e - length(w) AS s, e, CASE WHEN n > {FEW_OWNERS} THEN 'example' WHEN live THEN 'live' ELSE 'unclear' END AS verdict
+    FROM judged JOIN owners USING (v) WHERE kind <> 'token' OR (live AND n <= {FEW_OWNERS})),
+told AS (
+    SELECT r, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+           string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rank) FILTER (kind <> 'token') AS base,
+           string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rank) AS spans,
+           count(*) FILTER (verdict = 'live') AS n_live, count(*) FILTER (verdict = 'example') AS n_example
+    FROM kept GROUP BY r)
+SELECT doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0)::BIGINT AS n_access, coalesce(n_hex, 0)::BIGINT AS n_hex,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0)::BIGINT AS n_live,
+       coalesce(n_example, 0)::BIGINT AS n_example
+FROM doc LEFT JOIN told USING (r)
+"""
+
+
 SQL = {
+    "op13_secret_ownership": _secrets_sql(),
     "op11_vector_codes": _codes_sql(),
     "op2_temperature_mixing": rf"""
 WITH RECURSIVE counted AS (

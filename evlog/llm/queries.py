@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evlog.llm import chat, codes, fingerprint, langid, lm, minmax, mixing, quality, surrogates, warc, wumanber
+from evlog.llm import chat, codes, fingerprint, langid, lm, minmax, mixing, quality, secrets, surrogates, warc, wumanber
 from evlog.llm.common import table
 from evlog.session import work_path
 
@@ -88,6 +88,19 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
                                                 F.lit(codes.codebook_digest(history[-1])).alias("codebooks_sha256"))
 
 
+def op13_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document. A source stands for an owner, its documents in one language for a repository."""
+    found = secrets.scan(table(spark, sf_dir, "documents"), repository=F.struct("source", "lang"))
+
+    def some(condition) -> Column:
+        return F.filter("findings", condition)
+
+    counts = [F.size(some(lambda f, k=k: f["kind"] == k)).cast("bigint").alias(f"n_{k}") for k in secrets.KINDS[:3]]
+    verdicts = [F.size(some(lambda f, v=v: f["verdict"] == v)).cast("bigint").alias(f"n_{v}") for v in ("live", "example")]
+    base = secrets.spans(some(lambda f: f["kind"] != "token"))
+    return found.select("doc_id", *counts, F.sha2(base.cast("binary"), 256).alias("base_sha256"), secrets.spans(F.col("findings")).alias("spans"), *verdicts)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages of corpus_pipeline.py over the documents."""
     import corpus_pipeline
@@ -96,4 +109,4 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_deleted_interpolation, op2_temperature_mixing, op3_chat_parts, op4_wu_manber, op5_string_kernel,
-                                   op6_warc_zstd, op7_surrogates, op8_minmax_near_dups, op9_attention_mil, op10_multiset_hash, op11_vector_codes, pipeline)}
+                                   op6_warc_zstd, op7_surrogates, op8_minmax_near_dups, op9_attention_mil, op10_multiset_hash, op11_vector_codes, op13_secret_ownership, pipeline)}
