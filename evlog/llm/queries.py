@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evlog.llm import chat, codes, fingerprint, langid, lm, minmax, mixing, quality, secrets, surrogates, warc, wumanber
+from evlog.llm import alignment, chat, codes, fingerprint, langid, lm, minmax, mixing, quality, secrets, surrogates, warc, wumanber
 from evlog.llm.common import table
 from evlog.session import work_path
 
@@ -88,6 +88,11 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
                                                 F.lit(codes.codebook_digest(history[-1])).alias("codebooks_sha256"))
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's tokens by two tokenizers, aligned."""
+    return alignment.align_documents(table(spark, sf_dir, "documents"))
+
+
 def op13_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in every document. A source stands for an owner, its documents in one language for a repository."""
     found = secrets.scan(table(spark, sf_dir, "documents"), repository=F.struct("source", "lang"))
@@ -109,4 +114,4 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_deleted_interpolation, op2_temperature_mixing, op3_chat_parts, op4_wu_manber, op5_string_kernel,
-                                   op6_warc_zstd, op7_surrogates, op8_minmax_near_dups, op9_attention_mil, op10_multiset_hash, op11_vector_codes, op13_secret_ownership, pipeline)}
+                                   op6_warc_zstd, op7_surrogates, op8_minmax_near_dups, op9_attention_mil, op10_multiset_hash, op11_vector_codes, op12_token_alignment, op13_secret_ownership, pipeline)}
