@@ -12,8 +12,10 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +30,8 @@ from evlog.session import materialize, work_path
 A_PATH, B_PATH = "/opt/tokenizers/byte_bpe_50k.json", "/opt/tokenizers/piece_bpe_32k.model"
 BLOCK_BYTES = 1 << 20  # of text tokenized at a time
 MERGE = 1 << 21  # documents' distinct pairs that a task holds before it merges them
+TOGETHER = 512  # words encoded as one text
+MAX_WORDS = 500_000  # that a task remembers the tokens of; beyond it, it starts anew
 FREQUENT = 1 << 20  # pairs with the highest counts that every task holds; the others are joined
 
 
@@ -40,6 +44,12 @@ def byte_letters() -> dict[str, int]:
     return {**{chr(b): b for b in printable}, **{chr(0x100 + i): b for i, b in enumerate(rest)}}
 
 
+#: A space between two characters that no library takes for white space (the excluded ones were or are taken for it by some).
+VISIBLE = "[^\\s\u180e\u200b\u2060\ufeff]"
+BETWEEN = re.compile(f"(?<={VISIBLE}) (?={VISIBLE})")
+INNER = re.compile(f"{VISIBLE}(.*{VISIBLE})?\\Z", re.DOTALL)
+
+
 class ByteLevel:
     """A byte-level BPE tokenizer, from the text of its JSON file."""
 
@@ -47,8 +57,11 @@ class ByteLevel:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.tokenizer = Tokenizer.from_str(source.decode())
         self.tokenizer.encode_special_tokens = True  # their strings in a text are plain text
-        letters = byte_letters()
-        vocabulary = json.loads(source)["model"]["vocab"]
+        letters, said = byte_letters(), json.loads(source)
+        vocabulary = said["model"]["vocab"]
+        # Its pattern begins a new piece at a space between two other characters, and pieces are encoded one by one.
+        self.separable = (said["normalizer"] is None and said["pre_tokenizer"]["type"] == "ByteLevel" and said["pre_tokenizer"].get("use_regex", False)
+                          and not said["pre_tokenizer"]["add_prefix_space"])
         self.bytes = [b""] * (max(vocabulary.values(), default=-1) + 1)
         for token, i in vocabulary.items():
             self.bytes[i] = bytes(letters[c] for c in token)
@@ -63,6 +76,8 @@ class Pieces:
     def __init__(self, source: bytes):
         self.model = sentencepiece.SentencePieceProcessor(model_proto=source)
         self.bytes = []
+        # If no piece goes on with a space, merges don't reach over one.
+        self.separable = not any("▁" in self.model.id_to_piece(i).lstrip("▁") for i in range(self.model.get_piece_size()))
         for i in range(self.model.get_piece_size()):
             piece = self.model.id_to_piece(i)
             self.bytes.append(bytes([int(piece[3:5], 16)]) if self.model.is_byte(i) else piece.replace("▁", " ").encode())
@@ -174,25 +189,98 @@ class Pair:
 
     def __init__(self, a: bytes, b: bytes):
         self.a, self.b = ByteLevel(a), Pieces(b)
+        self.separable = self.a.separable and self.b.separable
+        self.forget()
         self.sizes = [np.array([len(t) for t in side.bytes], np.int64) for side in (self.a, self.b)]
         # Two strings for each token, with what follows it in its group, and with what follows the group's last one of its side.
         self.shown = [f"{i}{after}".encode() for side, last in ((self.a, "|"), (self.b, ";")) for i in range(len(side.bytes)) for after in (",", last)]
 
+    def forget(self) -> None:
+        """Starts anew with the words whose tokens are known: their places, whether their bytes come out the same, and for each
+        side their numbers of ids and the ids end to end."""
+        self.known: dict[str, int] = {}
+        self.fine = np.zeros(0, bool)
+        self.held = [(np.zeros(0, np.int64), np.zeros(0, np.int64))] * 2
+
+    def _encoded(self, words: list[str]) -> list[tuple[list[int], list[int]] | None]:
+        """Ids of both, or None where the tokens' bytes aren't a space and the word."""
+        out: list[tuple[list[int], list[int]] | None] = []
+        for word, a, b in zip(words, self.a.encode(words), self.b.encode(words), strict=True):
+            wanted = b" " + word.encode()
+            same = word and all(b"".join(map(side.bytes.__getitem__, ids)) == wanted for side, ids in ((self.a, a), (self.b, b)))
+            out.append((a, b) if same else None)
+        return out
+
+    def _together(self, words: list[str]) -> list[tuple[np.ndarray, np.ndarray]] | None:
+        """For both sides the words' numbers of ids and the ids, from one text of all the words. None if the bytes don't come out the same or a
+        token reaches over a word's end."""
+        text = " ".join(words)
+        wanted = b" " + text.encode()
+        ends = np.cumsum([len(w.encode()) + 1 for w in words])
+        out = []
+        for side, sizes in zip((self.a, self.b), self.sizes, strict=True):
+            ids = side.encode([text])[0]
+            if b"".join(map(side.bytes.__getitem__, ids)) != wanted:
+                return None
+            ids = np.array(ids, np.int64)
+            token_ends = np.cumsum(sizes[ids])
+            at = np.searchsorted(token_ends, ends)
+            if (token_ends[at] != ends).any():
+                return None
+            out.append((np.diff(at + 1, prepend=0), ids))
+        return out
+
+    def _learn(self, words: list[str]) -> None:
+        """Adds words to those whose tokens are known. Words that begin and end without white space are encoded many at a time."""
+        inner = [w for w in words if INNER.match(w)]
+        found, alone = [], [w for w in words if not INNER.match(w)]
+        for i in range(0, len(inner), TOGETHER):
+            some = inner[i:i + TOGETHER]
+            ids = self._together(some)
+            if ids is None:
+                alone += some
+            else:
+                found.append((some, np.ones(len(some), bool), ids))
+        if alone:
+            each = self._encoded(alone)
+            sides = [[e[side] if e else () for e in each] for side in (0, 1)]
+            found.append((alone, np.array([e is not None for e in each], bool),
+                          [(np.array([len(i) for i in ids], np.int64), np.fromiter(chain.from_iterable(ids), np.int64)) for ids in sides]))
+        for some, fine, ids in found:
+            self.known.update(zip(some, range(len(self.known), len(self.known) + len(some)), strict=True))
+        if found:
+            self.fine = np.concatenate((self.fine, *(f for _, f, _ in found)))
+            self.held = [tuple(np.concatenate((old, *(ids[side][k] for _, _, ids in found))) for k, old in enumerate(self.held[side])) for side in (0, 1)]
+
     def tokens(self, texts: list[bytes | None]) -> tuple[list[np.ndarray], list[np.ndarray]]:
-        """Ids by either tokenizer; none where the tokens' bytes aren't a space and the text."""
+        """Ids by either tokenizer; none where the tokens' bytes aren't a space and the text.
+
+        Where both tokenizers work word by word, that is, between plain spaces, a word is encoded once and its ids are looked up after that.
+        """
         given = []
         for text in texts:
             try:
                 given.append((text or b"").decode())
             except UnicodeDecodeError:
                 given.append("")
-        found: tuple[list, list] = ([], [])
-        for text, a, b in zip(given, self.a.encode(given), self.b.encode(given), strict=True):
-            wanted = b" " + text.encode()
-            same = text and all(b"".join(map(side.bytes.__getitem__, ids)) == wanted for side, ids in ((self.a, a), (self.b, b)))
-            for ids, out in zip((a, b), found, strict=True):
-                out.append(np.array(ids if same else [], np.int64))
-        return found
+        if not given:
+            return [], []
+        words = [BETWEEN.split(t) for t in given] if self.separable else [[t] for t in given]
+        if len(self.known) > MAX_WORDS or not self.separable:
+            self.forget()
+        every = list(chain.from_iterable(words))
+        self._learn(sorted(set(every) - self.known.keys()))
+        place = np.fromiter(map(self.known.__getitem__, every), np.int64, len(every))
+        n_words = np.array([len(w) for w in words], np.int64)
+        first = np.cumsum(n_words) - n_words  # every text has a word, if only an empty one
+        fine = np.logical_and.reduceat(self.fine[place], first)
+        found = []
+        for sizes, ids in self.held:
+            starts = np.cumsum(sizes) - sizes
+            count = np.where(np.repeat(fine, n_words), sizes[place], 0)
+            flat = ids[np.repeat(starts[place] - (np.cumsum(count) - count), count) + np.arange(count.sum())]
+            found.append(np.split(flat, np.cumsum(np.add.reduceat(count, first))[:-1]))
+        return found[0], found[1]
 
     def documents(self, texts: list[bytes | None]) -> dict[str, pa.Array]:
         """Columns of ``DOCUMENT`` for the texts."""

@@ -115,3 +115,27 @@ def test_merged_counts_of_many_documents(monkeypatch):
         for p, n in zip(d.tolist(), k.tolist()):
             expected[p] += n
     assert found == expected
+
+
+@pytest.fixture(scope="module")
+def pair():
+    return alignment.Pair(open(alignment.A_PATH, "rb").read(), open(alignment.B_PATH, "rb").read())
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.text(alphabet="ab s'1.é\n\t\r 　́᠎​﻿\x1c\x85 ▁漢🙂\x00A", max_size=30), min_size=1, max_size=6))
+def test_words_give_the_tokens_of_whole_texts(pair, texts):
+    given_texts = [t.encode() for t in texts]
+    by_word = pair.tokens(given_texts)
+    whole = pair._encoded(texts)
+    for i, expected in enumerate(whole):
+        assert [by_word[side][i].tolist() for side in (0, 1)] == [list(x) for x in expected or ([], [])], texts[i]
+
+
+def test_forgetting_words_changes_nothing(pair, monkeypatch):
+    texts = [" ".join(f"w{i * k % 97}x" for k in range(50)).encode() for i in range(20)]
+    expected = [[ids.tolist() for ids in side] for side in pair.tokens(texts)]
+    monkeypatch.setattr(alignment, "MAX_WORDS", 10)
+    monkeypatch.setattr(alignment, "TOGETHER", 3)
+    for i, text in enumerate(texts):
+        assert [side[0].tolist() for side in pair.tokens([text])] == [expected[0][i], expected[1][i]]
