@@ -97,12 +97,12 @@ def op13_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in every document. A source stands for an owner, its documents in one language for a repository."""
     found = secrets.scan(table(spark, sf_dir, "documents"), repository=F.struct("source", "lang"))
 
-    def some(condition) -> Column:
-        return F.filter("findings", condition)
+    def some(field: str, value: str) -> Column:
+        return F.filter("findings", lambda f: f[field] == F.lit(value))
 
-    counts = [F.size(some(lambda f, k=k: f["kind"] == k)).cast("bigint").alias(f"n_{k}") for k in secrets.KINDS[:3]]
-    verdicts = [F.size(some(lambda f, v=v: f["verdict"] == v)).cast("bigint").alias(f"n_{v}") for v in ("live", "example")]
-    base = secrets.spans(some(lambda f: f["kind"] != "token"))
+    counts = [F.size(some("kind", k)).cast("bigint").alias(f"n_{k}") for k in secrets.KINDS[:3]]
+    verdicts = [F.size(some("verdict", v)).cast("bigint").alias(f"n_{v}") for v in ("live", "example")]
+    base = secrets.spans(F.filter("findings", lambda f: f["kind"] != "token"))
     return found.select("doc_id", *counts, F.sha2(base.cast("binary"), 256).alias("base_sha256"), secrets.spans(F.col("findings")).alias("spans"), *verdicts)
 
 
