@@ -24,22 +24,27 @@ def parser() -> argparse.ArgumentParser:
     sub = p.add_subparsers(dest="job", required=True)
     common = argparse.ArgumentParser(add_help=False)
     common.add_argument("--source", default=None, help="folder of the stored event log (Parquet)")
-    common.add_argument("--hub-source", action="append", default=None, metavar="NAME:PARTITIONS:FOLDER",
-                        help="one of several hubs, instead of --source; repeat it")
+    common.add_argument("--hub-source", action="append", default=None, metavar="NAME:PARTITIONS[:FILES]:FOLDER",
+                        help="one of several hubs, instead of --source, with its read cap in files per batch; repeat it")
     common.add_argument("--kafka", action="append", default=None, metavar="OPTION=VALUE",
                         help="option of Spark's Kafka source, instead of --source; repeat it")
     common.add_argument("--max-offsets-per-trigger", type=int, default=None, help="Kafka: events per batch")
     common.add_argument("--layout", choices=["landed", "envelope"], default=None, help="layout of the stored log")
     common.add_argument("--after-offset", type=int, default=None, help="start after this offset")
     common.add_argument("--after-time", type=int, default=None, help="start after this epoch second")
+    common.add_argument("--ledger", default=None, help="start each partition after its position in this stored ledger")
+    common.add_argument("--uid", default=None, help="reader whose positions in the ledger are meant")
+    common.add_argument("--ledger-ts", type=int, default=None, help="batch of the ledger (default: the reader's newest)")
     common.add_argument("--properties", default=None, help="'all' for a map of properties, or a comma list of keys")
     common.add_argument("--watermark-seconds", type=int, default=None,
                         help="keep interval counts in state; later events than this may be lost (default: every event counts)")
+    common.add_argument("--idle-zeros", action="store_true", help="with a watermark: write idle intervals as zeros while the job runs")
     common.add_argument("--checkpoint", required=True, help="job folder for state, progress and outputs")
     common.add_argument("--interval", type=int, default=10, help="batch interval and count window, seconds")
     common.add_argument("--timeout-minutes", type=float, default=None, help="stop after N minutes (default: run)")
     common.add_argument("--available-now", action="store_true", help="process what is there, then stop")
     common.add_argument("--max-files-per-trigger", type=int, default=None, help="read cap per batch")
+    common.add_argument("--max-bytes-per-trigger", type=int, default=None, help="read cap per batch")
     common.add_argument("--file-glob", default=None, help="only files whose name matches")
     common.add_argument("--hub", default="hub1", help="hub name of the log")
     common.add_argument("--partitions", type=int, default=4, help="partition count of the log")
@@ -66,18 +71,27 @@ def parser() -> argparse.ArgumentParser:
     return p
 
 
+def _hub(text: str) -> tuple[str, dict]:
+    """``NAME:PARTITIONS:FOLDER`` or ``NAME:PARTITIONS:FILES:FOLDER``; a folder may hold colons."""
+    name, partitions, rest = text.split(":", 2)
+    cap, _, folder = rest.partition(":")
+    if cap.isdigit() and folder:
+        return name, {"source": folder, "num_partitions": int(partitions), "max_files_per_trigger": int(cap)}
+    return name, {"source": rest, "num_partitions": int(partitions)}
+
+
 def run(args: argparse.Namespace, spark: SparkSession | None = None) -> list:
     spark = spark or get_session()
-    hubs = {name: {"source": folder, "num_partitions": int(n)}
-            for name, n, folder in (h.split(":", 2) for h in args.hub_source)} if args.hub_source else None
+    hubs = dict(map(_hub, args.hub_source)) if args.hub_source else None
     kafka = dict(o.split("=", 1) for o in args.kafka) if args.kafka else None
     properties = False if not args.properties else True if args.properties == "all" else args.properties.split(",")
     cfg = jobs.JobConfig(source=args.source, hubs=hubs, kafka=kafka, max_offsets_per_trigger=args.max_offsets_per_trigger,
                          layout=args.layout, after_offset=args.after_offset, after_time=args.after_time, properties=properties,
+                         ledger=args.ledger, uid=args.uid, ledger_ts=args.ledger_ts, idle_zeros=args.idle_zeros,
                          watermark_seconds=args.watermark_seconds, checkpoint=args.checkpoint, interval_seconds=args.interval,
                          timeout_minutes=args.timeout_minutes, available_now=args.available_now,
-                         max_files_per_trigger=args.max_files_per_trigger, file_glob=args.file_glob,
-                         envelope={"hub": args.hub, "num_partitions": args.partitions}, console=args.console)
+                         max_files_per_trigger=args.max_files_per_trigger, max_bytes_per_trigger=args.max_bytes_per_trigger, file_glob=args.file_glob,
+                         envelope={} if kafka else {"hub": args.hub, "num_partitions": args.partitions}, console=args.console)
     if args.job == "count":
         return jobs.count_job(spark, cfg, args.total_prefix)
     if args.job == "json":

@@ -36,21 +36,23 @@ def _check_interval(interval_seconds: int) -> int:
 
 
 def spread_range(source: DataFrame, lo: Column, hi: Column, step: int, name: str,
-                 keys: list[str] | None = None) -> DataFrame:
+                 keys: list[str] | None = None, spread: bool = True) -> DataFrame:
     """For every row of ``source``: one row per value ``lo, lo+step, .. <= hi``
     in column ``name`` (plus the ``keys`` columns of the row).
 
     Generated in two levels: first one row per block of ``SPINE_BLOCK`` values,
     spread over the cluster by a fixed-count repartition (adaptive execution
     does not merge those), then the values of each block. No array ever holds
-    more than one block, and no single task generates the whole range.
+    more than one block, and no single task generates the whole range. Without
+    ``spread`` (for few rows) the values are made where the rows are.
     """
     keys = keys or []
     span = int(step) * SPINE_BLOCK
     blocks = source.select(*keys, F.explode(F.sequence(lo, hi, F.lit(span).cast("long"))).alias("_b"),
                            hi.alias("_hi"))
-    width = int(source.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    blocks = blocks.repartition(width, *keys, "_b")
+    if spread:
+        width = int(source.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        blocks = blocks.repartition(width, *keys, "_b")
     return blocks.select(*keys, F.explode(F.sequence(
         F.col("_b"), F.least(F.col("_b") + F.lit(span - int(step)), F.col("_hi")),
         F.lit(int(step)).cast("long"))).alias(name))

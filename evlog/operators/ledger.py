@@ -11,11 +11,13 @@ literal, so no cross join and no single-task window is ever needed.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Mapping
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evlog.operators.counts import end_positions, spread_range
-from evlog.operators.ordered import fill_forward, with_previous
+from evlog.operators.counts import end_positions
+from evlog.operators.ordered import fill_forward, with_next, with_previous
 from evlog.plans.joins import join_small
 from evlog.schema import (LEDGER_COLUMNS, LEDGER_SCHEMA, LEDGER_TEXT_FORMAT, PARTITION_KEY, RANGE_DESCRIPTION_FORMAT,
                           START_OF_LOG)
@@ -23,6 +25,7 @@ from evlog.session import materialize
 from evlog.sources.events import partition_name
 
 POSITION_COLUMNS = ["end_offset", "end_seq"]
+FILL_BLOCK = 4096  # batches filled at a time
 _INTEGER_TEXT = r"^[+-]?[0-9]+$"
 
 
@@ -40,35 +43,62 @@ def ledger_rows(df: DataFrame, batch_col: str | Column, uid: str, batch_step: in
     events, in blocks of batches (``operators.ordered``), so no task holds a
     partition's whole history.
     """
-    batch = F.col(batch_col) if isinstance(batch_col, str) else batch_col
-    cells = end_positions(df.withColumn("batch_ts", batch.cast("long")), by=[*PARTITION_KEY, "batch_ts"])
+    return readers_ledger(df, {uid: (batch_col, batch_step)}, fill, expected)
+
+
+def readers_ledger(df: DataFrame, readers: Mapping[str, tuple[str | Column, int]], fill: bool = True,
+                   expected: DataFrame | None = None) -> DataFrame:
+    """``ledger_rows`` of several readers, ``uid -> (batch column, batch step)``, with one pass over the events and one fill.
+    ``expected`` (``hub, partition_id``) holds for all of them."""
+    batches = {uid: (F.col(c) if isinstance(c, str) else c).cast("long") for uid, (c, _) in readers.items()}
+    named = {uid: f"_batch{i}" for i, uid in enumerate(batches)}
+    for uid, batch in batches.items():
+        df = df.withColumn(named[uid], batch)
+    cells = end_positions(df, by=[*PARTITION_KEY, *named.values()])
+    # A row for each reader from the events' common cells, whose number doesn't depend on that of the events.
+    each = F.inline(F.array(*[F.struct(F.lit(uid).alias("uid"), F.col(name).alias("batch_ts")) for uid, name in named.items()]))
+    cells = cells.select(*PARTITION_KEY, *POSITION_COLUMNS, "n", each)
+    if len(readers) > 1:
+        cells = cells.groupBy("uid", *PARTITION_KEY, "batch_ts").agg(F.max_by("end_offset", "end_seq").alias("end_offset"),
+                                                                     F.max("end_seq").alias("end_seq"), F.sum("n").alias("n"))
     if not fill:
-        return cells.select("batch_ts", F.lit(uid).alias("uid"), *PARTITION_KEY, *POSITION_COLUMNS, "n")
-    return fill_cells(materialize(cells), uid, batch_step, expected)
+        return cells.select(*LEDGER_COLUMNS)
+    return _filled(materialize(cells.select(*LEDGER_COLUMNS)), {uid: step for uid, (_, step) in readers.items()}, expected)
 
 
 def fill_cells(cells: DataFrame, uid: str, batch_step: int = 1, expected: DataFrame | None = None) -> DataFrame:
-    """``ledger_rows`` from rows that have ``end_offset, end_seq, n`` per partition and batch."""
-    step = int(batch_step)
-    if step <= 0:
+    """``ledger_rows`` from (materialised) rows that have ``end_offset, end_seq, n`` per partition and batch."""
+    return _filled(cells.withColumn("uid", F.lit(uid)).select(*LEDGER_COLUMNS), {uid: batch_step}, expected)
+
+
+def _filled(cells: DataFrame, steps: Mapping[str, int], expected: DataFrame | None) -> DataFrame:
+    """A cell holds until its partition's next one: its position is repeated, with ``n = 0``, for the batches between.
+    Before a partition's first cell its position is the start of the log."""
+    if any(int(step) <= 0 for step in steps.values()):
         raise ValueError("batch_step must be positive")
-    partitions = (expected.select(*PARTITION_KEY) if expected is not None
-                  else cells.select(*PARTITION_KEY)).distinct()
-    lo = cells.select(F.min("batch_ts")).scalar()
-    hi = cells.select(F.max("batch_ts")).scalar()
-    grid = spread_range(partitions, lo, hi, step, "batch_ts", keys=PARTITION_KEY).select(
-        *PARTITION_KEY, "batch_ts", F.lit(None).cast("long").alias("end_offset"),
-        F.lit(None).cast("long").alias("end_seq"), F.lit(0).cast("long").alias("n"))
-    real = cells.select(*PARTITION_KEY, "batch_ts", *POSITION_COLUMNS, "n")
+    step = F.element_at(F.create_map(*[F.lit(x) for uid, s in steps.items() for x in (uid, int(s))]), F.col("uid")).cast("long")
+    key = ["uid", *PARTITION_KEY]
+    # First and last batches of the readers' partitions, and of the readers: a row for each. Readers are named in the call, so few.
+    spans = materialize(cells.groupBy(*key).agg(F.min("batch_ts").alias("first"), F.max("batch_ts").alias("last")))
+    ends = F.broadcast(materialize(spans.groupBy("uid").agg(F.min("first").alias("lo"), F.max("last").alias("hi"))))
+    wanted = spans
     if expected is not None:
-        real = join_small(real, partitions, PARTITION_KEY, "left_semi")
-    # Every (partition, batch) once: the batch's cell where there is one, else nulls and n = 0.
-    merged = grid.unionByName(real).groupBy(*PARTITION_KEY, "batch_ts").agg(
-        *[F.max(c).alias(c) for c in POSITION_COLUMNS], F.max("n").alias("n"))
-    filled = fill_forward(merged, PARTITION_KEY, "batch_ts", POSITION_COLUMNS, step=step)
-    return filled.select(
-        "batch_ts", F.lit(uid).alias("uid"), *PARTITION_KEY,
-        *[F.coalesce(c, F.lit(START_OF_LOG).cast("long")).alias(c) for c in POSITION_COLUMNS], "n")
+        partitions = materialize(expected.select(*PARTITION_KEY).distinct())
+        cells = join_small(cells, partitions, PARTITION_KEY, "left_semi")
+        wanted = partitions.select(*PARTITION_KEY, F.explode(F.array(*map(F.lit, steps))).alias("uid")).join(spans, key, "left")
+    start, zero = F.lit(START_OF_LOG).cast("long"), F.lit(0).cast("long")
+    heads = wanted.join(ends, "uid").select(
+        *key, start.alias("end_offset"), start.alias("end_seq"), zero.alias("n"), F.col("lo").alias("batch_ts"),
+        F.coalesce("first", F.col("hi") + step).alias("until"))
+    tails = with_next(cells, key, "batch_ts", step).join(ends, "uid").select(
+        *key, *POSITION_COLUMNS, "n", "batch_ts", F.coalesce("next_batch_ts", F.col("hi") + step).alias("until"))
+    # In two steps, so that no array holds more than a block of batches.
+    rows = heads.unionByName(tails).filter("batch_ts < until")
+    span = step * FILL_BLOCK
+    blocks = rows.select(*key, *POSITION_COLUMNS, "n", F.col("batch_ts").alias("_from"), "until",
+                         F.explode(F.sequence("batch_ts", F.col("until") - 1, span)).alias("_block"))
+    each = blocks.select("*", F.explode(F.sequence(F.col("_block"), F.least(F.col("_block") + span, F.col("until")) - 1, step)).alias("batch_ts"))
+    return each.select("batch_ts", *key, *POSITION_COLUMNS, F.when(F.col("batch_ts") == F.col("_from"), F.col("n")).otherwise(zero).alias("n"))
 
 
 def save_ledger(ledger: DataFrame, path: str) -> None:
@@ -120,6 +150,17 @@ def parse_ledger(lines: DataFrame, col: str = "value", keep: list[str] | None =
     return lines.select(*(keep or []), *out)
 
 
+def save_ledger_files(lines: DataFrame, path: str, file_col: str = "file_ts") -> None:
+    """Ledger lines (``format_ledger``) as text files, one for each value of ``file_col``."""
+    lines.select(F.col(file_col).alias("file_ts"), "value").repartition("file_ts").write.partitionBy("file_ts").text(path)
+
+
+def read_ledger_files(spark: SparkSession, path: str) -> DataFrame:
+    """The records of a folder of text ledgers, parsed (``parse_ledger``), with the ``file`` (its path) that each line stands in. Empty files have no rows."""
+    lines = spark.read.option("recursiveFileLookup", "true").text(path).select("value", F.col("_metadata.file_path").alias("file"))
+    return parse_ledger(lines, keep=["file"])
+
+
 def _newest_at_or_before(ledger: DataFrame, ts: int) -> Column:
     return ledger.filter(F.col("batch_ts") <= int(ts)).select(F.max("batch_ts")).scalar()
 
@@ -146,6 +187,29 @@ def ledger_as_of(ledger: DataFrame, uid: str, ts: int, exact: bool = False,
     )
 
 
+def ledger_as_of_many(ledger: DataFrame, requests: DataFrame, expected: DataFrame | None = None, step: int = 1) -> DataFrame:
+    """``ledger_as_of`` for every ``(uid, ts)`` of ``requests`` at once: ``(uid, ts, hub, partition_id, batch_ts, end_offset, end_seq)``.
+
+    Requests and the readers' batches are put in one order, and each request takes the last batch before it, in blocks
+    of batches (``step`` apart), so that neither a reader's history nor its requests are in one task. A request
+    of an unknown reader has no rows unless ``expected`` (``uid, hub, partition_id``) names partitions of it; repeated requests are one.
+    """
+    ledger = materialize(ledger.select("uid", "batch_ts", *PARTITION_KEY, *POSITION_COLUMNS))
+    none = F.lit(None).cast("long")
+    marks = ledger.select("uid", F.col("batch_ts").alias("ts"), F.col("batch_ts").alias("_batch"), F.lit(0).alias("_asked")).unionByName(
+        requests.select("uid", F.col("ts").cast("long").alias("ts"), none.alias("_batch"), F.lit(1).alias("_asked")))
+    # A batch and a request at one time are one row, so the batch counts for the request.
+    merged = materialize(marks.groupBy("uid", "ts").agg(F.max("_batch").alias("_batch"), F.max("_asked").alias("_asked")))
+    found = fill_forward(merged, ["uid"], "ts", ["_batch"], step=step).filter("_asked = 1").select("uid", "ts", "_batch")
+    wanted = (ledger if expected is None else expected).select("uid", *PARTITION_KEY).distinct()
+    grid = join_small(found, wanted, "uid")
+    at = ledger.withColumnRenamed("batch_ts", "_batch").withColumn("_known", F.lit(True))
+    joined = grid.join(at, ["uid", *PARTITION_KEY, "_batch"], "left")
+    start = F.lit(START_OF_LOG).cast("long")
+    return joined.select("uid", "ts", *PARTITION_KEY, F.when(F.col("_known"), F.col("_batch")).otherwise(start).alias("batch_ts"),
+                         *[F.coalesce(c, start).alias(c) for c in POSITION_COLUMNS])
+
+
 def ledger_merge(current: DataFrame, update: DataFrame) -> DataFrame:
     """Current positions overridden, per partition, by the update's.
 
@@ -175,30 +239,34 @@ def ledger_retain(ledger: DataFrame, ts: int) -> DataFrame:
 
 
 def ledger_audit(records: DataFrame, expected: DataFrame, file_col: str | None = None) -> DataFrame:
-    """Per batch (or per progress file ``file_col``): record count, malformed
+    """Per reader and batch, ``(uid, batch_ts, ...)``, or per progress file ``file_col``: record count, malformed
     records, distinct record timestamps, expected partitions that are missing,
     and ``valid`` = no malformed record, one timestamp, nothing missing.
 
     ``records`` is a typed or parsed ledger (``is_valid`` optional);
-    ``expected`` lists ``uid, hub, partition_id``.
+    ``expected`` lists ``uid, hub, partition_id``. Readers number their batches on their own, so a batch is held against
+    its reader's partitions, a file against all expected ones. Malformed records of no known reader are a group of their own (nulls).
     """
     key = ["uid", *PARTITION_KEY]
-    group = file_col or "batch_ts"
+    group = [file_col] if file_col else ["uid", "batch_ts"]
     rec = records if "is_valid" in records.columns else records.withColumn("is_valid", F.lit(True))
-    wanted = expected.select(*key).distinct()
-    n_expected = wanted.select(F.count(F.lit(1))).scalar()
+    wanted = materialize(expected.select(*key).distinct())
     marked = join_small(rec, wanted.withColumn("_expected", F.lit(True)), key, "left")
     in_expected = F.col("is_valid") & F.coalesce(F.col("_expected"), F.lit(False))
-    per = marked.groupBy(group).agg(
+    per = marked.groupBy(*group).agg(
         F.count(F.lit(1)).alias("n_records"),
         F.count_if(~F.col("is_valid")).alias("n_malformed"),
         F.count_distinct(F.when(F.col("is_valid"), F.col("batch_ts"))).alias("n_timestamps"),
         F.count_distinct(F.when(in_expected, F.struct(*key))).alias("_present"),
     )
+    if file_col:
+        per = per.withColumn("_wanted", wanted.select(F.count(F.lit(1))).scalar())
+    else:
+        per = join_small(per, wanted.groupBy("uid").agg(F.count(F.lit(1)).alias("_wanted")), "uid", "left").withColumn("_wanted", F.coalesce("_wanted", F.lit(0)))
     return per.select(
-        group, "n_records", "n_malformed", "n_timestamps",
-        (n_expected - F.col("_present")).alias("n_missing"),
-        ((F.col("n_malformed") == 0) & (F.col("n_timestamps") == 1) & (n_expected == F.col("_present"))).alias("valid"),
+        *group, "n_records", "n_malformed", "n_timestamps",
+        (F.col("_wanted") - F.col("_present")).alias("n_missing"),
+        ((F.col("n_malformed") == 0) & (F.col("n_timestamps") == 1) & (F.col("_wanted") == F.col("_present"))).alias("valid"),
     )
 
 
@@ -234,5 +302,5 @@ def batch_report(ledger: DataFrame, batch_step: int = 1) -> DataFrame:
     )
 
 
-__all__ = ["ledger_rows", "save_ledger", "load_ledger", "format_ledger", "parse_ledger", "ledger_as_of", "ledger_merge", "ledger_batch",
+__all__ = ["ledger_rows", "readers_ledger", "fill_cells", "save_ledger_files", "read_ledger_files", "save_ledger", "load_ledger", "format_ledger", "parse_ledger", "ledger_as_of", "ledger_as_of_many", "ledger_merge", "ledger_batch",
            "ledger_retain", "ledger_audit", "lost_partitions", "batch_report", "LEDGER_COLUMNS"]

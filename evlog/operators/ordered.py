@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Batches per block.
@@ -46,6 +46,19 @@ def with_previous(df: DataFrame, keys: Sequence[str], order: str, cols: Sequence
         for c in cols])
 
 
+def with_next(df: DataFrame, keys: Sequence[str], order: str, step: int | Column = 1, block: int | None = None) -> DataFrame:
+    """Add ``next_<order>``: ``order`` of the next row of the same key (null for its last one); the same as
+    ``lead(order) over (partition by keys order by order)``. ``step`` may differ by key. ``df`` is read twice: materialise it."""
+    keys = list(keys)
+    span = (step if isinstance(step, Column) else F.lit(int(step))) * F.lit(int(block or ORDER_BLOCK))
+    blocked = df.withColumn("_blk", F.floor(F.col(order) / span).cast("long"))
+    first = blocked.groupBy(*keys, "_blk").agg(F.min(order).alias("_first"))
+    after = first.select(*keys, "_blk", F.lead("_first").over(Window.partitionBy(*keys).orderBy("_blk")).alias("_after"))
+    inner = Window.partitionBy(*keys, "_blk").orderBy(order)
+    led = blocked.select("*", F.lead(order).over(inner).alias("_next")).join(after, [*keys, "_blk"], "left")
+    return led.select(*df.columns, F.coalesce("_next", "_after").alias(f"next_{order}"))
+
+
 def fill_forward(df: DataFrame, keys: Sequence[str], order: str, cols: Sequence[str], step: int = 1,
                  block: int | None = None) -> DataFrame:
     """Replace nulls in ``cols`` (null together, as a position is) with the

@@ -106,6 +106,19 @@ def _ledger(*more: str) -> str:
     return _with(ENV, CELLS, LEDGER, *more)
 
 
+# The report of a CTE named ledger.
+REPORT = """, r AS (
+        SELECT uid, batch_ts, hub, partition_id,
+               end_seq - coalesce(lag(end_seq) OVER w, -1) AS size,
+               'eventhub: ' || hub || '-partition-' || CAST(partition_id AS VARCHAR) || chr(9)
+                 || 'starting offsets: ' || CAST(coalesce(lag(end_offset) OVER w, -1) AS VARCHAR)
+                 || 'sequenceNumbers: ' || CAST(coalesce(lag(end_seq) OVER w, -1) AS VARCHAR)
+                 || ' to ' || CAST(end_seq AS VARCHAR) AS line
+        FROM ledger WINDOW w AS (PARTITION BY uid, hub, partition_id ORDER BY batch_ts))
+        SELECT uid, batch_ts, CAST(sum(size) AS BIGINT) AS input_size, sum(size) >= 0 AS valid,
+               string_agg(line, chr(10) ORDER BY hub, partition_id) AS description
+        FROM r GROUP BY uid, batch_ts"""
+
 SQL: dict[str, str] = {
     "envelope": _with(ENV) + """SELECT hub, partition_id, body_text, "offset", seqNumber, enqueuedTime,
         publisher, partitionKey FROM env""",
@@ -218,15 +231,24 @@ SQL: dict[str, str] = {
         end_offset, end_seq FROM ledger WHERE batch_ts = {Q.STORED_AS_OF_BATCH}""",
     "ledger_retain": _ledger() + f"""SELECT * FROM ledger l WHERE batch_ts > {Q.AS_OF_BATCH}
         OR batch_ts = (SELECT max(batch_ts) FROM ledger m WHERE m.uid = l.uid AND batch_ts <= {Q.AS_OF_BATCH})""",
-    "batch_report": _ledger() + """, r AS (
-        SELECT uid, batch_ts, hub, partition_id,
-               end_seq - coalesce(lag(end_seq) OVER w, -1) AS size,
-               'eventhub: ' || hub || '-partition-' || CAST(partition_id AS VARCHAR) || chr(9)
-                 || 'starting offsets: ' || CAST(coalesce(lag(end_offset) OVER w, -1) AS VARCHAR)
-                 || 'sequenceNumbers: ' || CAST(coalesce(lag(end_seq) OVER w, -1) AS VARCHAR)
-                 || ' to ' || CAST(end_seq AS VARCHAR) AS line
-        FROM ledger WINDOW w AS (PARTITION BY uid, hub, partition_id ORDER BY batch_ts))
-        SELECT uid, batch_ts, CAST(sum(size) AS BIGINT) AS input_size, sum(size) >= 0 AS valid,
-               string_agg(line, chr(10) ORDER BY hub, partition_id) AS description
-        FROM r GROUP BY uid, batch_ts""",
+    "batch_report": _ledger() + REPORT,
 }
+SQL["slice_ranges_indexed"] = SQL["slice_ranges"]
+_DAILY = _with(ENV, _cells(Q.STORED_BATCH_SECONDS, BOTH, where=f"uid = '{Q.UID}' OR partition_id <> 0"), DAILY_LEDGER)
+SQL["ledger_cleaned"] = _DAILY + f"""SELECT * FROM ledger l WHERE batch_ts > {Q.STORED_AS_OF_BATCH}
+    OR batch_ts = (SELECT max(batch_ts) FROM ledger m WHERE m.uid = l.uid AND batch_ts <= {Q.STORED_AS_OF_BATCH})"""
+SQL["ledger_audit_files"] = SQL["ledger_audit"]
+SQL["ledger_as_of_many"] = _ledger() + f""", asked AS (
+    SELECT uid, unnest(range((SELECT min(batch_ts) - 10 FROM ledger), (SELECT max(batch_ts) + 11 FROM ledger), {Q.MANY_STEP})) AS ts
+    FROM (VALUES {BOTH}) AS readers(uid)),
+    batches AS (SELECT DISTINCT uid, batch_ts FROM ledger),
+    newest AS (SELECT a.uid, a.ts, b.batch_ts AS newest FROM asked a ASOF LEFT JOIN batches b ON a.uid = b.uid AND a.ts >= b.batch_ts)
+    SELECT r.uid, r.ts, p.hub, p.partition_id, coalesce(l.batch_ts, -1) AS batch_ts, coalesce(l.end_offset, -1) AS end_offset,
+           coalesce(l.end_seq, -1) AS end_seq
+    FROM newest r JOIN (SELECT DISTINCT uid, hub, partition_id FROM ledger) p ON p.uid = r.uid
+    LEFT JOIN ledger l ON l.uid = r.uid AND l.batch_ts = r.newest AND l.hub = p.hub AND l.partition_id = p.partition_id"""
+SQL["ledger_audit_readers"] = _with(ENV, CELLS) + f""", l AS (SELECT * FROM cells WHERE uid = '{Q.UID}' OR partition_id <> 0),
+    x AS (SELECT uid, count(DISTINCT (hub, partition_id)) AS n FROM l GROUP BY uid)
+    SELECT l.uid, batch_ts, count(*) AS n_records, CAST(0 AS BIGINT) AS n_malformed, count(DISTINCT batch_ts) AS n_timestamps,
+           any_value(x.n) - count(*) AS n_missing, any_value(x.n) = count(*) AS valid
+    FROM l JOIN x ON x.uid = l.uid GROUP BY l.uid, batch_ts"""

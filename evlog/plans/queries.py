@@ -15,12 +15,14 @@ from pyspark.sql import functions as F
 
 from evlog.functions.payload import count_non_empty, decode_payload, encode_json, non_empty, payload_text
 from evlog.operators.counts import end_positions, running_total, sequence_gaps, window_counts
-from evlog.operators.ledger import (batch_report, format_ledger, ledger_as_of, ledger_audit, ledger_batch,
+from evlog.operators.ledger import (batch_report, format_ledger, ledger_as_of, ledger_as_of_many, ledger_audit, ledger_batch,
                                     ledger_merge, ledger_retain, ledger_rows, load_ledger, lost_partitions,
-                                    parse_ledger, save_ledger)
+                                    parse_ledger, read_ledger_files, readers_ledger, save_ledger, save_ledger_files)
+from evlog.operators.ledger_table import clean_ledger, load_ledger_table, save_ledger_table
 from evlog.session import materialize, work_path
 from evlog.sources.events import load_log, read_events, read_partition, save_log, union_hubs, union_partitions
 from evlog.sources.positions import partition_lag, slice_ranges, start_from, total_lag
+from evlog.sources.zones import index_log, stored_slices
 
 # Parameters shared with the oracle SQL.
 HUB = "hub1"
@@ -35,10 +37,12 @@ START_OFFSET = 64 * 5000
 START_TIME = 1705276800              # 2024-01-15 00:00:00 UTC
 RANGE_FROM_STRIDE = 100              # from_seq = partition_id * 100
 RANGE_MAX_RATE = 200
+INDEXED_FILE_ROWS = 1_000_000        # events in a file of the indexed log, at most
 PROPERTY_KEYS = ["k", "missing"]
 HUB_PARTITIONS = {"click": 2, "view": 3, "purchase": 4, "signup": 1, "error": 2}
 HUB_MAX_RATE = {"click": 50, "view": 120, "purchase": 10, "signup": 300}   # "error" keeps the default
 LOST_BATCH_SECONDS = 60              # lost_partitions: batches of a minute, of which the newest lacks partitions
+MANY_STEP = 7                        # hours between the times of ledger_as_of_many
 BOTH_BATCH = 473549                  # an hour in which both readers have a batch
 LAST_BATCH_SECONDS = 600             # the update batch of ledger_merge: the final 10 minutes
 STORED_BATCH_SECONDS = 86400         # the stored ledger has daily batches
@@ -62,13 +66,12 @@ def ledger(spark: SparkSession, sf_dir: str, fill: bool = True) -> DataFrame:
     checkpoint folder, so the lookups below do not rebuild it from events."""
     env = events(spark, sf_dir)
     second = F.floor(hour() / UID2_STEP) * UID2_STEP + UID2_PHASE
-    return materialize(ledger_rows(env, hour(), UID, fill=fill)
-                       .unionByName(ledger_rows(env, second, UID2, batch_step=UID2_STEP, fill=fill)))
+    return materialize(readers_ledger(env, {UID: (hour(), 1), UID2: (second, UID2_STEP)}, fill=fill))
 
 
-def _expected(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return (events(spark, sf_dir).select("hub", "partition_id").distinct()
-            .select(F.explode(F.array(F.lit(UID), F.lit(UID2))).alias("uid"), "hub", "partition_id"))
+def _expected(rows: DataFrame) -> DataFrame:
+    """The partitions that the readers of a (materialised) ledger read."""
+    return rows.select("uid", "hub", "partition_id").distinct()
 
 
 def ledger_lines(df: DataFrame) -> DataFrame:
@@ -145,6 +148,20 @@ def q_slice_ranges(spark, sf_dir):
         "hub", "partition_id", "seqNumber", "offset", "from_seq", "until_seq")
 
 
+def q_slice_ranges_indexed(spark, sf_dir):
+    """``slice_ranges`` of a stored log, of which two thirds are in its zone map and the rest came later."""
+    path = work_path(spark, "indexed-log")
+    env = events(spark, sf_dir)
+    early = F.col("seqNumber") * 3 < 2 * env.select(F.max("seqNumber")).scalar()
+    save_log(env.filter(early), path, max_records_per_file=INDEXED_FILE_ROWS)
+    index_log(spark, path)
+    save_log(env.filter(~early), path, append=True, max_records_per_file=INDEXED_FILE_ROWS)
+    positions = env.select("hub", "partition_id").distinct().filter("partition_id < 3").withColumn(
+        "end_seq", (F.col("partition_id") * RANGE_FROM_STRIDE).cast("long"))
+    return stored_slices(spark, path, positions, max_rate=RANGE_MAX_RATE).select(
+        "hub", "partition_id", "seqNumber", "offset", "from_seq", "until_seq")
+
+
 def q_slice_ranges_per_hub(spark, sf_dir):
     env = events(spark, sf_dir, hub_col="event_type", num_partitions=HUB_PARTITIONS)
     positions = env.select("hub", "partition_id").distinct().withColumn(
@@ -213,8 +230,26 @@ def q_ledger_as_of(spark, sf_dir):
 
 
 def q_ledger_as_of_exact(spark, sf_dir):
-    return ledger_as_of(ledger(spark, sf_dir, fill=False), UID, AS_OF_BATCH, exact=True,
-                        expected=_expected(spark, sf_dir).filter(F.col("uid") == UID))
+    raw = ledger(spark, sf_dir, fill=False)
+    return ledger_as_of(raw, UID, AS_OF_BATCH, exact=True, expected=_expected(raw).filter(F.col("uid") == UID))
+
+
+def q_ledger_as_of_many(spark, sf_dir):
+    """Both readers' positions at every seventh hour, from before their first batch to after their last."""
+    both = ledger(spark, sf_dir)
+    ends = both.agg(F.min("batch_ts").alias("lo"), F.max("batch_ts").alias("hi"))
+    hours = ends.select(F.explode(F.sequence(F.col("lo") - 10, F.col("hi") + 10, F.lit(MANY_STEP).cast("long"))).alias("ts"))
+    requests = hours.select(F.explode(F.array(F.lit(UID), F.lit(UID2))).alias("uid"), "ts")
+    return ledger_as_of_many(both, requests)
+
+
+def q_ledger_audit_files(spark, sf_dir):
+    """The ledger's lines written as text files, read back and audited file by file."""
+    path = work_path(spark, "ledger-files")
+    raw = ledger(spark, sf_dir, fill=False).filter(F.col("uid") == UID)
+    save_ledger_files(ledger_lines(raw), path)
+    audit = ledger_audit(read_ledger_files(spark, path), _expected(raw), file_col="file")
+    return audit.withColumn("file_ts", F.regexp_extract("file", "file_ts=([0-9]+)", 1).cast("long")).drop("file")
 
 
 def q_ledger_merge(spark, sf_dir):
@@ -229,28 +264,41 @@ def q_ledger_merge(spark, sf_dir):
 
 
 def q_ledger_audit(spark, sf_dir):
-    records = parse_ledger(ledger_lines(ledger(spark, sf_dir, fill=False).filter(F.col("uid") == UID)), keep=["file_ts"])
-    return ledger_audit(records, _expected(spark, sf_dir).filter(F.col("uid") == UID), file_col="file_ts")
+    raw = ledger(spark, sf_dir, fill=False).filter(F.col("uid") == UID)
+    return ledger_audit(parse_ledger(ledger_lines(raw), keep=["file_ts"]), _expected(raw), file_col="file_ts")
+
+
+def q_ledger_audit_readers(spark, sf_dir):
+    """Both readers' batches, each held against its own partitions: the second one doesn't read partition 0."""
+    raw = ledger(spark, sf_dir, fill=False).filter((F.col("uid") == UID) | (F.col("partition_id") != 0))
+    return ledger_audit(raw, _expected(raw))
 
 
 def q_lost_partitions(spark, sf_dir):
     minute = F.floor(F.col("enqueuedTime") / LOST_BATCH_SECONDS).cast("long")
-    recent = ledger_rows(events(spark, sf_dir), minute, UID, fill=False).unionByName(ledger(spark, sf_dir).filter(F.col("uid") == UID2))
-    return lost_partitions(recent, _expected(spark, sf_dir))
+    both = ledger(spark, sf_dir)
+    recent = ledger_rows(events(spark, sf_dir), minute, UID, fill=False).unionByName(both.filter(F.col("uid") == UID2))
+    return lost_partitions(recent, _expected(both))
 
 
 def q_ledger_batch(spark, sf_dir):
     return ledger_batch(ledger(spark, sf_dir), BOTH_BATCH)
 
 
+def daily_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two readers' daily ledgers; the second one doesn't read partition 0."""
+    day = F.floor(F.col("enqueuedTime") / STORED_BATCH_SECONDS).cast("long")
+    env = events(spark, sf_dir)
+    return ledger_rows(env, day, UID).unionByName(ledger_rows(env.filter(F.col("partition_id") != 0), day, UID2))
+
+
 def q_ledger_stored_batch(spark, sf_dir):
     """Two readers' daily ledgers stored one after the other, then one batch looked up:
     the lookup reads that batch's folders, and the second reader's rows have not replaced the first one's."""
     path = work_path(spark, "ledger")
-    day = F.floor(F.col("enqueuedTime") / STORED_BATCH_SECONDS).cast("long")
-    env = events(spark, sf_dir)
-    save_ledger(ledger_rows(env, day, UID), path)
-    save_ledger(ledger_rows(env.filter(F.col("partition_id") != 0), day, UID2), path)
+    both = daily_ledger(spark, sf_dir)
+    for uid in (UID, UID2):
+        save_ledger(both.filter(F.col("uid") == uid), path)
     return ledger_batch(load_ledger(spark, path), STORED_AS_OF_BATCH)
 
 
@@ -258,6 +306,17 @@ def q_ledger_retain(spark, sf_dir):
     return ledger_retain(ledger(spark, sf_dir), AS_OF_BATCH)
 
 
+def q_ledger_cleaned(spark, sf_dir):
+    """The daily ledgers as a catalog table, cleaned twice."""
+    path = work_path(spark, "ledger-table")
+    database = "evlog_" + path.rsplit("-", 1)[-1]
+    spark.sql(f"CREATE DATABASE {database} LOCATION '{path}'")
+    save_ledger_table(daily_ledger(spark, sf_dir), f"{database}.ledger")
+    clean_ledger(spark, f"{database}.ledger", STORED_AS_OF_BATCH - 3)
+    clean_ledger(spark, f"{database}.ledger", STORED_AS_OF_BATCH)
+    return load_ledger_table(spark, f"{database}.ledger")
+
+
 def q_batch_report(spark, sf_dir):
     return batch_report(ledger(spark, sf_dir))
 
@@ -276,6 +335,7 @@ BATCH_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "start_from_time": q_start_from_time,
     "slice_ranges": q_slice_ranges,
     "slice_ranges_per_hub": q_slice_ranges_per_hub,
+    "slice_ranges_indexed": q_slice_ranges_indexed,
     "partition_lag": q_partition_lag,
     "total_lag": q_total_lag,
     "non_empty": q_non_empty,
@@ -287,11 +347,15 @@ BATCH_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "parse_ledger": q_parse_ledger,
     "ledger_as_of": q_ledger_as_of,
     "ledger_as_of_exact": q_ledger_as_of_exact,
+    "ledger_as_of_many": q_ledger_as_of_many,
+    "ledger_audit_files": q_ledger_audit_files,
     "ledger_merge": q_ledger_merge,
     "ledger_audit": q_ledger_audit,
+    "ledger_audit_readers": q_ledger_audit_readers,
     "lost_partitions": q_lost_partitions,
     "ledger_batch": q_ledger_batch,
     "ledger_stored_batch": q_ledger_stored_batch,
     "ledger_retain": q_ledger_retain,
+    "ledger_cleaned": q_ledger_cleaned,
     "batch_report": q_batch_report,
 }

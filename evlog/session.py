@@ -101,3 +101,51 @@ def materialize(df: DataFrame) -> DataFrame:
     lineage cut, and recomputable from files if an executor is lost."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def remove_folder(spark: SparkSession, path: str) -> bool:
+    """Remove a folder that the library itself wrote, on whatever file system it's on. False if there was none."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True))
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at))
+
+
+def folder_names(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder, in order; none if there's no such folder."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    return sorted(s.getPath().getName() for s in store.listStatus(at)) if store.exists(at) else []
+
+
+def folder_bytes(spark: SparkSession, path: str) -> int:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(at).getLength()
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """Write a small file, from the driver."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(spark._jsc.hadoopConfiguration()).create(at, False)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    """A small file, on the driver."""
+    return "\n".join(r[0] for r in spark.read.text(path, wholetext=True).collect())
+
+
+def move_file(spark: SparkSession, source: str, target: str) -> bool:
+    """Rename a file; False, with the source removed, if the target is there already."""
+    old, new = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (source, target))
+    store = old.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not store.exists(new) and store.rename(old, new):
+        return True
+    store.delete(old, False)
+    return False

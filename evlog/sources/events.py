@@ -10,15 +10,17 @@ pushes filters on the source columns into the Parquet scan.
 from __future__ import annotations
 
 import datetime
+import json
 from collections.abc import Iterable, Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from evlog.functions.payload import enqueued_seconds
-from evlog.functions.properties import property_columns
-from evlog.schema import ENVELOPE_COLUMNS, ENVELOPE_SCHEMA, EVENTS_SCHEMA, PARTITION_KEY, PARTITION_NAME_FORMAT
+from evlog.functions.properties import PROPERTY_MAP_TYPE, property_columns
+from evlog.schema import ENVELOPE_COLUMNS, ENVELOPE_SCHEMA, EVENTS_SCHEMA, PARTITION_KEY, PARTITION_NAME_FORMAT, START_OF_LOG
 
 # Bytes per event in the synthetic offset (offset = event_id * OFFSET_STRIDE).
 OFFSET_STRIDE = 64
@@ -26,6 +28,7 @@ DEFAULT_HUB = "hub1"
 DEFAULT_PARTITIONS = 4
 # Layouts of a stored log: plain events, or envelope rows (as ``save_log`` and the Parquet sink write them).
 LANDED, ENVELOPE = "landed", "envelope"
+KAFKA_EARLIEST = -2  # of the Kafka source's starting offsets
 _EPOCH = datetime.datetime(1970, 1, 1)
 
 
@@ -54,7 +57,7 @@ def to_envelope(df: DataFrame, hub: str = DEFAULT_HUB, hub_col: str | None = Non
         out = df
         if "hub" not in out.columns:
             out = out.withColumn("hub", F.col(hub_col) if hub_col else F.lit(hub))
-        return out
+        return _stored_properties(out, properties) if properties else out
     hub_c = F.col(hub_col) if hub_col else F.lit(hub)
     cols = [
         hub_c.cast("string").alias("hub"),
@@ -71,6 +74,18 @@ def to_envelope(df: DataFrame, hub: str = DEFAULT_HUB, hub_col: str | None = Non
     return df.select(*cols)
 
 
+def _stored_properties(df: DataFrame, properties: bool | Sequence[str]) -> DataFrame:
+    """The properties of envelope rows: the stored map, or columns made from it or stored as such."""
+    if properties is True:
+        if "properties" not in df.columns:
+            raise ValueError("the stored log has no properties column")
+        return df
+    lacking = [k for k in properties if k not in df.columns]
+    if lacking and "properties" not in df.columns:
+        raise ValueError(f"the stored log has neither a properties column nor the columns {lacking}")
+    return df.select("*", *[F.coalesce(F.col("properties").getItem(k), F.lit("")).alias(k) for k in lacking]).drop("properties")
+
+
 def raw_bounds(after_offset: int | None = None, after_time: int | None = None, layout: str = LANDED) -> Column | None:
     """Start bounds stated on the stored columns, so that Parquet can skip row
     groups. In the landed layout ``offset > X`` is ``event_id > floor(X / stride)``, and
@@ -90,20 +105,30 @@ def raw_bounds(after_offset: int | None = None, after_time: int | None = None, l
 
 def read_events(spark: SparkSession, path: str, streaming: bool = False, file_glob: str | None = None,
                 max_files_per_trigger: int | None = None, after_offset: int | None = None,
-                after_time: int | None = None, layout: str | None = None, **envelope) -> DataFrame:
+                after_time: int | None = None, layout: str | None = None, max_bytes_per_trigger: int | None = None, **envelope) -> DataFrame:
     """Read a stored event log (Parquet) as envelope rows, batch or streaming.
 
     ``after_offset`` / ``after_time`` (epoch seconds) keep only events after
     that point, filtered on the stored columns and pushed into the scan.
     ``layout`` is ``landed`` or ``envelope``; a batch read sees it from the columns, a
-    stream has to be told (default ``landed``).
+    stream has to be told (default ``landed``). ``max_files_per_trigger`` or
+    ``max_bytes_per_trigger`` caps what a stream's batch reads. ``properties`` of
+    an envelope log are its stored map: a stream reads the log's ``properties`` column
+    (null where there is none), a batch read of a log without one is an error.
     """
     if layout not in (None, LANDED, ENVELOPE):
         raise ValueError("layout is 'landed' or 'envelope'")
+    caps = {"maxFilesPerTrigger": max_files_per_trigger, "maxBytesPerTrigger": max_bytes_per_trigger}
+    given = {k: int(v) for k, v in caps.items() if v is not None}
+    if any(v <= 0 for v in given.values()):
+        raise ValueError("a read cap must be positive")
+    if len(given) > 1:
+        raise ValueError("give max_files_per_trigger or max_bytes_per_trigger, not both")
     if streaming:
-        reader = spark.readStream.schema(ENVELOPE_SCHEMA if layout == ENVELOPE else EVENTS_SCHEMA)
-        if max_files_per_trigger:
-            reader = reader.option("maxFilesPerTrigger", int(max_files_per_trigger))
+        stored = T.StructType([*ENVELOPE_SCHEMA, T.StructField("properties", PROPERTY_MAP_TYPE)]) if envelope.get("properties") else ENVELOPE_SCHEMA
+        reader = spark.readStream.schema(stored if layout == ENVELOPE else EVENTS_SCHEMA).options(**{k: str(v) for k, v in given.items()})
+    elif given:
+        raise ValueError("a read cap is for a stream")
     else:
         reader = spark.read
     if file_glob:
@@ -165,9 +190,23 @@ def kafka_options(options: Mapping[str, str], max_offsets_per_trigger: int | Non
     return out
 
 
-def save_log(df: DataFrame, path: str) -> None:
-    """Store envelope rows in ``hub=/partition_id=`` folders, so that reading a partition or a hub reads only its folders."""
-    df.write.partitionBy(*PARTITION_KEY).parquet(path)
+def kafka_start(positions: DataFrame) -> dict[str, str]:
+    """The Kafka source's ``startingOffsets`` after saved positions (``hub, partition_id, end_offset``): the hub is the topic. A
+    partition that is to be read and has no row is an error of the source; one at the start of the log begins there.
+    The option is one string, so the positions (one row per partition) come to the driver."""
+    starts: dict[str, dict[str, int]] = {}
+    for hub, partition, offset in positions.select(*PARTITION_KEY, "end_offset").collect():
+        starts.setdefault(hub, {})[str(partition)] = KAFKA_EARLIEST if offset in (None, START_OF_LOG) else offset + 1
+    return {"startingOffsets": json.dumps(starts, sort_keys=True)}
+
+
+def save_log(df: DataFrame, path: str, append: bool = False, max_records_per_file: int | None = None) -> None:
+    """Store envelope rows in ``hub=/partition_id=`` folders, so that reading a partition or a hub reads only its folders.
+    Smaller files (``max_records_per_file``) make the ranges of a zone map (``zones.index_log``) and a stream's read caps finer."""
+    writer = df.write.mode("append" if append else "error").partitionBy(*PARTITION_KEY)
+    if max_records_per_file is not None:
+        writer = writer.option("maxRecordsPerFile", int(max_records_per_file))
+    writer.parquet(path)
 
 
 def load_log(spark: SparkSession, path: str) -> DataFrame:

@@ -3,8 +3,9 @@ text and console.
 
 Writers used from ``foreachBatch`` key their output by batch id, so a batch
 replayed after a failure overwrites its own output instead of adding to it
-(exactly-once for files and tables). JDBC stays at-least-once; its rows carry
-no batch key unless the caller adds one.
+(exactly-once for files and tables). Many batches are made few folders by
+``compaction``, whose ``read_batches`` reads either. JDBC stays at-least-once; its
+rows carry no batch key unless the caller adds one.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from evlog.operators.ledger import fill_cells
 from evlog.schema import (CONSOLE_ROWS, JDBC_BATCH_SIZE, JDBC_PAYLOAD_TYPE, PARTITION_KEY, PAYLOAD_COLUMN,
                           STREAM_LENGTH_KEY, TABLE_COLUMN, TOTAL_TEXT_FORMAT)
 from evlog.session import materialize
+from evlog.streaming.compaction import read_batches
 from evlog.streaming.stream import stream_running_total
 
 BatchWriter = Callable[[DataFrame, int], None]
@@ -47,8 +49,8 @@ def batch_folder(path: str, batch_id: int) -> str:
     return f"{path}/batch_group={int(batch_id) // BATCH_GROUP}/batch_id={int(batch_id)}"
 
 
-def _start(writer, checkpoint: str, trigger_seconds: int | None, available_now: bool,
-           name: str | None = None) -> StreamingQuery:
+def start_query(writer, checkpoint: str, trigger_seconds: int | None, available_now: bool,
+                name: str | None = None) -> StreamingQuery:
     writer = writer.option("checkpointLocation", checkpoint)
     targs = trigger_args(trigger_seconds, available_now)
     if targs:
@@ -63,7 +65,7 @@ def json_writer(path: str, mode: str = "latest") -> BatchWriter:
     """Payload -> ``{"EventDetails": ...}`` string rows, stored as Parquet.
 
     ``latest``: every batch replaces the previous one (only the last batch is
-    kept). ``append``: one folder per batch.
+    kept). ``append``: one folder per batch, read by ``compaction.read_batches``.
     """
     if mode not in ("latest", "append"):
         raise ValueError("mode is 'latest' or 'append'")
@@ -77,8 +79,8 @@ def json_writer(path: str, mode: str = "latest") -> BatchWriter:
 
 def sink_json(stream: DataFrame, path: str, checkpoint: str, mode: str = "latest",
               trigger_seconds: int | None = None, available_now: bool = False) -> StreamingQuery:
-    return _start(stream.writeStream.foreachBatch(json_writer(path, mode)), checkpoint, trigger_seconds,
-                  available_now)
+    return start_query(stream.writeStream.foreachBatch(json_writer(path, mode)), checkpoint, trigger_seconds,
+                       available_now)
 
 
 # --- K2: partitioned Parquet ----------------------------------------------------------------------
@@ -93,7 +95,7 @@ def sink_parquet(stream: DataFrame, path: str, checkpoint: str, partition_by: tu
     not per second). The file sink's own log makes it exactly-once."""
     out = with_enqueued_date(stream) if "enqueued_date" in partition_by else stream
     writer = out.writeStream.format("parquet").outputMode("append").option("path", path).partitionBy(*partition_by)
-    return _start(writer, checkpoint, trigger_seconds, available_now)
+    return start_query(writer, checkpoint, trigger_seconds, available_now)
 
 
 # --- K3: catalog table --------------------------------------------------------------------------
@@ -134,8 +136,8 @@ def table_writer(table: str, idempotent: bool = True) -> BatchWriter:
 def sink_table(stream: DataFrame, table: str, checkpoint: str, location: str | None = None, idempotent: bool = True,
                trigger_seconds: int | None = None, available_now: bool = False) -> StreamingQuery:
     ensure_table(stream.sparkSession, table, location, idempotent)
-    return _start(stream.writeStream.foreachBatch(table_writer(table, idempotent)), checkpoint, trigger_seconds,
-                  available_now)
+    return start_query(stream.writeStream.foreachBatch(table_writer(table, idempotent)), checkpoint, trigger_seconds,
+                       available_now)
 
 
 # --- K4: JDBC -----------------------------------------------------------------------------------
@@ -172,8 +174,8 @@ def jdbc_writer(url: str, table: str, properties: Mapping[str, str] | None = Non
 def sink_jdbc(stream: DataFrame, url: str, table: str, checkpoint: str, properties: Mapping[str, str] | None = None,
               trigger_seconds: int | None = None, available_now: bool = False,
               dedupe_key: bool = False, payload_type: str = JDBC_PAYLOAD_TYPE) -> StreamingQuery:
-    return _start(stream.writeStream.foreachBatch(jdbc_writer(url, table, properties, dedupe_key, payload_type)), checkpoint,
-                  trigger_seconds, available_now)
+    return start_query(stream.writeStream.foreachBatch(jdbc_writer(url, table, properties, dedupe_key, payload_type)), checkpoint,
+                       trigger_seconds, available_now)
 
 
 # --- K5: running total as text ------------------------------------------------------------------
@@ -197,7 +199,7 @@ def sink_total_text(totals: DataFrame, prefix: str, checkpoint: str, trigger_sec
     if not {"key", "total"} <= set(totals.columns):
         totals = stream_running_total(totals)
     writer = totals.writeStream.outputMode("complete").foreachBatch(total_text_writer(prefix))
-    return _start(writer, checkpoint, trigger_seconds, available_now)
+    return start_query(writer, checkpoint, trigger_seconds, available_now)
 
 
 # --- K6: console ----------------------------------------------------------------------------------
@@ -206,7 +208,7 @@ def sink_console(stream: DataFrame, checkpoint: str, output_mode: str = "append"
     """Prints the first rows of each batch."""
     writer = (stream.writeStream.format("console").outputMode(output_mode)
               .option("numRows", CONSOLE_ROWS).option("truncate", "false"))
-    return _start(writer, checkpoint, trigger_seconds, available_now)
+    return start_query(writer, checkpoint, trigger_seconds, available_now)
 
 
 # --- A1 in a stream: counts per interval -----------------------------------------------------------
@@ -226,12 +228,12 @@ def counts_writer(path: str, interval_seconds: int, show: bool = False, time_col
 
 def sink_counts(stream: DataFrame, path: str, checkpoint: str, interval_seconds: int, trigger_seconds: int | None = None,
                 available_now: bool = False) -> StreamingQuery:
-    return _start(stream.writeStream.foreachBatch(counts_writer(path, interval_seconds)), checkpoint, trigger_seconds, available_now)
+    return start_query(stream.writeStream.foreachBatch(counts_writer(path, interval_seconds)), checkpoint, trigger_seconds, available_now)
 
 
 def read_counts(spark: SparkSession, path: str) -> DataFrame:
     """``(window_start, n)`` over all batches written by ``counts_writer``."""
-    return spark.read.parquet(path).groupBy("window_start").agg(F.sum("n").alias("n"))
+    return read_batches(spark, path).groupBy("window_start").agg(F.sum("n").alias("n"))
 
 
 def sink_all(stream: DataFrame, writers: list[BatchWriter], checkpoint: str, trigger_seconds: int | None = None,
@@ -248,7 +250,7 @@ def sink_all(stream: DataFrame, writers: list[BatchWriter], checkpoint: str, tri
             if len(writers) > 1:
                 batch.unpersist()
 
-    return _start(stream.writeStream.foreachBatch(write), checkpoint, trigger_seconds, available_now)
+    return start_query(stream.writeStream.foreachBatch(write), checkpoint, trigger_seconds, available_now)
 
 
 # --- L1 in a stream: the read ledger ---------------------------------------------------------------
@@ -264,11 +266,11 @@ def ledger_writer(path: str) -> BatchWriter:
 
 def sink_ledger(stream: DataFrame, path: str, checkpoint: str, trigger_seconds: int | None = None,
                 available_now: bool = False) -> StreamingQuery:
-    return _start(stream.writeStream.foreachBatch(ledger_writer(path)), checkpoint, trigger_seconds, available_now)
+    return start_query(stream.writeStream.foreachBatch(ledger_writer(path)), checkpoint, trigger_seconds, available_now)
 
 
 def _cells(spark: SparkSession, path: str) -> DataFrame:
-    return materialize(spark.read.parquet(path).withColumn("batch_ts", F.col("batch_id").cast("long")).drop("batch_group", "batch_id"))
+    return materialize(read_batches(spark, path).withColumnRenamed("batch_id", "batch_ts"))
 
 
 def read_ledger(spark: SparkSession, path: str, uid: str, expected: DataFrame | None = None) -> DataFrame:
@@ -293,7 +295,7 @@ def gaps_writer(path: str) -> BatchWriter:
 
 def sink_gaps(stream: DataFrame, path: str, checkpoint: str, trigger_seconds: int | None = None,
               available_now: bool = False) -> StreamingQuery:
-    return _start(stream.writeStream.foreachBatch(gaps_writer(path)), checkpoint, trigger_seconds, available_now)
+    return start_query(stream.writeStream.foreachBatch(gaps_writer(path)), checkpoint, trigger_seconds, available_now)
 
 
 def read_gaps(spark: SparkSession, path: str) -> DataFrame:
@@ -313,13 +315,13 @@ def upsert_writer(path: str) -> BatchWriter:
 def sink_upserts(stream: DataFrame, path: str, checkpoint: str, output_mode: str = "update",
                  trigger_seconds: int | None = None, available_now: bool = False) -> StreamingQuery:
     writer = stream.writeStream.outputMode(output_mode).foreachBatch(upsert_writer(path))
-    return _start(writer, checkpoint, trigger_seconds, available_now)
+    return start_query(writer, checkpoint, trigger_seconds, available_now)
 
 
 def read_upserts(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
     """The newest version of every key written by ``sink_upserts``."""
-    rows = spark.read.parquet(path)
-    values = [c for c in rows.columns if c not in (*keys, "batch_group", "batch_id")]
+    rows = read_batches(spark, path)
+    values = [c for c in rows.columns if c not in (*keys, "batch_id")]
     latest = rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch_id").alias("_v"))
     return latest.select(*keys, *[F.col(f"_v.{c}").alias(c) for c in values])
 
