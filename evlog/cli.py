@@ -3,7 +3,9 @@
 ``spark.checkpoint.dir`` come from spark-submit or spark-defaults.
 
 Jobs: ``count``, ``json``, ``table``, ``jdbc``, ``parquet`` (see
-``evlog.streaming.jobs``). Options are named; there are no positional values.
+``evlog.streaming.jobs``), and upkeep of what they leave: ``compact`` (batch folders or the
+catalog table), ``index`` (zone map of a stored log), ``clean`` (ledger table).
+Options are named; there are no positional values.
 """
 
 from __future__ import annotations
@@ -14,9 +16,12 @@ from collections.abc import Sequence
 
 from pyspark.sql import SparkSession
 
+from evlog.operators.ledger_table import clean_ledger
 from evlog.schema import JDBC_PAYLOAD_TYPE
 from evlog.session import get_session
+from evlog.sources.zones import index_log
 from evlog.streaming import jobs
+from evlog.streaming.compaction import compact_batches, compact_table
 
 
 def parser() -> argparse.ArgumentParser:
@@ -68,6 +73,16 @@ def parser() -> argparse.ArgumentParser:
     jd.add_argument("--dedupe-key", action="store_true", help="add hub, partition_id, seqNumber columns")
     pq = sub.add_parser("parquet", parents=[common], help="envelope rows to Parquet, partitioned by date")
     pq.add_argument("--out", required=True)
+    cp = sub.add_parser("compact", help="move old batches into segments")
+    cp.add_argument("--path", default=None, help="folder of batch folders")
+    cp.add_argument("--table", default=None, help="or the table job's table ...")
+    cp.add_argument("--view", default=None, help="... and the view that readers query")
+    cp.add_argument("--keep", type=int, default=1, help="newest batches that stay as they are")
+    ix = sub.add_parser("index", help="bring the zone map of a stored log up to date")
+    ix.add_argument("--path", required=True)
+    cl = sub.add_parser("clean", help="drop the batches of a ledger table that a restart at --ts or later doesn't need")
+    cl.add_argument("--table", required=True)
+    cl.add_argument("--ts", type=int, required=True)
     return p
 
 
@@ -80,8 +95,23 @@ def _hub(text: str) -> tuple[str, dict]:
     return name, {"source": rest, "num_partitions": int(partitions)}
 
 
-def run(args: argparse.Namespace, spark: SparkSession | None = None) -> list:
+def upkeep(args: argparse.Namespace, spark: SparkSession) -> int:
+    """The number of batches moved or dropped, or of files indexed."""
+    if args.job == "index":
+        return index_log(spark, args.path)
+    if args.job == "clean":
+        return clean_ledger(spark, args.table, args.ts)
+    if args.path is not None and args.table is None:
+        return compact_batches(spark, args.path, args.keep)
+    if args.path is None and args.table is not None and args.view is not None:
+        return compact_table(spark, args.table, args.view, args.keep)
+    raise SystemExit("compact needs --path, or --table and --view")
+
+
+def run(args: argparse.Namespace, spark: SparkSession | None = None) -> list | int:
     spark = spark or get_session()
+    if args.job in ("compact", "index", "clean"):
+        return upkeep(args, spark)
     hubs = dict(map(_hub, args.hub_source)) if args.hub_source else None
     kafka = dict(o.split("=", 1) for o in args.kafka) if args.kafka else None
     properties = False if not args.properties else True if args.properties == "all" else args.properties.split(",")
@@ -108,7 +138,7 @@ def run(args: argparse.Namespace, spark: SparkSession | None = None) -> list:
     return jobs.parquet_job(spark, cfg, args.out)
 
 
-def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -> list:
+def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -> list | int:
     return run(parser().parse_args(argv), spark)
 
 

@@ -76,22 +76,26 @@ def _filled(cells: DataFrame, steps: Mapping[str, int], expected: DataFrame | No
     Before a partition's first cell its position is the start of the log."""
     if any(int(step) <= 0 for step in steps.values()):
         raise ValueError("batch_step must be positive")
-    step = F.element_at(F.create_map(*[F.lit(x) for uid, s in steps.items() for x in (uid, int(s))]), F.col("uid")).cast("long")
     key = ["uid", *PARTITION_KEY]
-    # First and last batches of the readers' partitions, and of the readers: a row for each. Readers are named in the call, so few.
+    # First and last batches of the readers' partitions, and of the readers, which are named in the call: their values are literals.
     spans = materialize(cells.groupBy(*key).agg(F.min("batch_ts").alias("first"), F.max("batch_ts").alias("last")))
-    ends = F.broadcast(materialize(spans.groupBy("uid").agg(F.min("first").alias("lo"), F.max("last").alias("hi"))))
+    ends = {uid: (lo, hi) for uid, lo, hi in spans.groupBy("uid").agg(F.min("first"), F.max("last")).collect()}
+    if not ends:
+        return cells.select(*LEDGER_COLUMNS)
+
+    def of_reader(values: Mapping[str, int]) -> Column:
+        return F.element_at(F.create_map(*[F.lit(x) for uid, v in values.items() for x in (uid, int(v))]), F.col("uid")).cast("long")
+
+    step, lo, hi = of_reader(steps), of_reader({u: e[0] for u, e in ends.items()}), of_reader({u: e[1] for u, e in ends.items()})
     wanted = spans
     if expected is not None:
         partitions = materialize(expected.select(*PARTITION_KEY).distinct())
         cells = join_small(cells, partitions, PARTITION_KEY, "left_semi")
-        wanted = partitions.select(*PARTITION_KEY, F.explode(F.array(*map(F.lit, steps))).alias("uid")).join(spans, key, "left")
+        wanted = partitions.select(*PARTITION_KEY, F.explode(F.array(*map(F.lit, ends))).alias("uid")).join(spans, key, "left")
     start, zero = F.lit(START_OF_LOG).cast("long"), F.lit(0).cast("long")
-    heads = wanted.join(ends, "uid").select(
-        *key, start.alias("end_offset"), start.alias("end_seq"), zero.alias("n"), F.col("lo").alias("batch_ts"),
-        F.coalesce("first", F.col("hi") + step).alias("until"))
-    tails = with_next(cells, key, "batch_ts", step).join(ends, "uid").select(
-        *key, *POSITION_COLUMNS, "n", "batch_ts", F.coalesce("next_batch_ts", F.col("hi") + step).alias("until"))
+    heads = wanted.select(*key, start.alias("end_offset"), start.alias("end_seq"), zero.alias("n"), lo.alias("batch_ts"),
+                          F.coalesce("first", hi + step).alias("until"))
+    tails = with_next(cells, key, "batch_ts", step).select(*key, *POSITION_COLUMNS, "n", "batch_ts", F.coalesce("next_batch_ts", hi + step).alias("until"))
     # In two steps, so that no array holds more than a block of batches.
     rows = heads.unionByName(tails).filter("batch_ts < until")
     span = step * FILL_BLOCK

@@ -117,9 +117,11 @@ def start_positions(spark: SparkSession, cfg: JobConfig) -> DataFrame | None:
         return None
     path = f"{cfg.checkpoint.rstrip('/')}/_start_positions"
     if not path_exists(spark, f"{path}/_SUCCESS"):
-        saved = load_ledger(spark, cfg.ledger)
-        newest = (1 << 63) - 1
-        ledger_as_of(saved, cfg.uid, newest if cfg.ledger_ts is None else cfg.ledger_ts).write.mode("overwrite").parquet(path)
+        saved, known = load_ledger(spark, cfg.ledger), _expected(cfg)
+        # With the partitions known, only the folders of one batch are read.
+        expected = None if known is None else spark.createDataFrame(sorted(known), "hub string, partition_id int")
+        at = (1 << 63) - 1 if cfg.ledger_ts is None else cfg.ledger_ts
+        ledger_as_of(saved, cfg.uid, at, expected=expected).write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 
 

@@ -21,7 +21,7 @@ from evlog.plans import queries as Q
 from evlog.plans.oracle import ENV, REPORT, SQL, _with
 from evlog.operators.counts import fill_idle
 from evlog.operators.ledger import save_ledger
-from evlog.session import materialize, work_path
+from evlog.session import materialize, path_exists, work_path
 from evlog.sources.events import ENVELOPE, read_events, save_log, union_hubs
 from evlog.streaming import live, sinks
 from evlog.streaming.compaction import compact_batches, compact_table
@@ -35,9 +35,16 @@ RATE_SLICES = 6
 HUB_FILES = {"click": 1, "view": 2}  # read caps: files of a slice for each batch
 
 
+#: Folders staged by this application.
+_STAGED: dict[tuple, str] = {}
+
+
 def _staged(spark: SparkSession, sf_dir: str, oldest_first: bool = False, slices: int = SLICES, files: int = SLICE_FILES,
             event_type: str | None = None) -> str:
-    """A folder with the events in slices; a stream reads them in the order in which they're written."""
+    """A folder with the events in slices; a stream reads them in the order in which they're written. It's written once per application."""
+    key = (spark.sparkContext.applicationId, sf_dir, oldest_first, slices, files, event_type)
+    if key in _STAGED and path_exists(spark, f"{_STAGED[key]}/_SUCCESS"):
+        return _STAGED[key]
     path = work_path(spark, "staged")
     raw = spark.read.parquet(f"{sf_dir}/events.parquet")
     n = raw.agg(F.max("event_id")).first()[0]
@@ -46,6 +53,7 @@ def _staged(spark: SparkSession, sf_dir: str, oldest_first: bool = False, slices
         part = raw.filter((F.col("event_id") * slices >= i * rows) & (F.col("event_id") * slices < (i + 1) * rows))
         part = part if event_type is None else part.filter(F.col("event_type") == event_type)
         part.repartition(files).write.mode("append").parquet(path)
+    _STAGED[key] = path
     return path
 
 

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
-from conftest import envelope_rows
+from conftest import SMALL, envelope_rows
+from pyspark.sql import functions as F
 
 from evlog.operators.ledger import (batch_report, format_ledger, ledger_as_of, ledger_audit, ledger_batch,
                                     ledger_merge, ledger_retain, ledger_rows, lost_partitions, parse_ledger)
@@ -141,3 +142,64 @@ def test_saved_ledger_is_idempotent_and_pruned(spark, scratch):
     with contextlib.redirect_stdout(buf):
         ledger_batch(back, 20).explain(mode="formatted")
     assert "PartitionFilters: [isnotnull(batch_ts" in buf.getvalue() and "= 20)" in buf.getvalue()
+
+
+def test_fill_of_readers_in_one_pass_shuffles_little(spark, monkeypatch):
+    """Both readers' filled ledgers: at most eight shuffles and one scan, checkpointed plans included; no nested-loop join."""
+    from evlog.operators import ledger as module
+    from evlog.plans import queries as Q
+
+    plans = []
+
+    def recorded(df, keep=module.materialize):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return keep(df)
+
+    monkeypatch.setattr(module, "materialize", recorded)
+    env = Q.events(spark, SMALL)
+    out = module.readers_ledger(env, {"a": (Q.hour(), 1), "b": (F.floor(Q.hour() / 5) * 5 + 4, 5)})
+    plans.append(out._jdf.queryExecution().executedPlan().toString())
+    text = "\n".join(plans)
+    assert sum("Exchange hashpartitioning" in line or "Exchange SinglePartition" in line for line in text.splitlines()) <= 8
+    assert text.count("FileScan parquet") == 1 and "NestedLoop" not in text and "Cartesian" not in text
+    plans.clear()
+    cells = spark.createDataFrame([("h", 0, 5, 64, 1, 1), ("h", 1, 9, 128, 2, 1)], "hub string, partition_id int, batch_ts long, end_offset long, end_seq long, n long")
+    filled = module.fill_cells(module.materialize(cells), "u")
+    assert "NestedLoop" not in filled._jdf.queryExecution().executedPlan().toString() and filled.count() == 10
+    assert module.fill_cells(cells.limit(0), "u").collect() == []
+
+
+def test_next_row_in_blocks(spark):
+    from evlog.operators.ordered import with_next
+
+    rows = [("a", b) for b in (1, 2, 9, 10, 30, 31)] + [("b", b) for b in (0, 100)] + [("c", 5)]
+    df = spark.createDataFrame(rows, "k string, b long")
+    want = {("a", 1): 2, ("a", 2): 9, ("a", 9): 10, ("a", 10): 30, ("a", 30): 31, ("a", 31): None, ("b", 0): 100, ("b", 100): None, ("c", 5): None}
+    for block in (1, 4, 1000):
+        assert {(r.k, r.b): r.next_b for r in with_next(df, ["k"], "b", block=block).collect()} == want
+
+
+def test_audit_holds_each_reader_against_its_own_partitions(spark):
+    rows = [(1, "u", "h", 0, 1, 1, 1), (1, "u", "h", 1, 1, 1, 1), (1, "v", "h", 1, 1, 1, 1), (2, "u", "h", 0, 1, 1, 1), (2, "w", "h", 0, 1, 1, 1)]
+    records = spark.createDataFrame(rows, LEDGER_SCHEMA)
+    expected = spark.createDataFrame([("u", "h", 0), ("u", "h", 1), ("v", "h", 1)], "uid string, hub string, partition_id int")
+    got = {(r.uid, r.batch_ts): (r.n_records, r.n_missing, r.valid) for r in ledger_audit(records, expected).collect()}
+    assert got == {("u", 1): (2, 0, True), ("v", 1): (1, 0, True), ("u", 2): (1, 1, False), ("w", 2): (1, 0, True)}  # nothing is expected of w
+
+
+def test_as_of_for_many_requests(spark):
+    """Each request against ledger_as_of: before the first batch, on a batch, between batches, repeated, unknown readers."""
+    from evlog.operators.ledger import ledger_as_of_many
+
+    rows = [(b, u, "h", p, b * 64 + p, b, 1) for u, batches in (("u", (2, 4, 9)), ("v", (3,))) for b in batches for p in (0, 1) if (b, p) != (4, 1)]
+    saved = spark.createDataFrame(rows, LEDGER_SCHEMA)
+    asked = [("u", t) for t in (0, 2, 3, 4, 5, 8, 9, 100)] + [("u", 3), ("v", 2), ("v", 50), ("nobody", 5)]
+    got = ledger_as_of_many(saved, spark.createDataFrame(asked, "uid string, ts long")).collect()
+    want = []
+    for uid, ts in sorted(set(asked)):
+        want += [(uid, ts, r.hub, r.partition_id, r.batch_ts, r.end_offset, r.end_seq) for r in ledger_as_of(saved, uid, ts).collect()]
+    assert sorted(map(tuple, got)) == sorted(want)
+    expected = spark.createDataFrame([("nobody", "h", 7), ("v", "h", 1)], "uid string, hub string, partition_id int")
+    got = ledger_as_of_many(saved, spark.createDataFrame(asked, "uid string, ts long"), expected).collect()
+    assert sorted(map(tuple, got)) == [("nobody", 5, "h", 7, -1, -1, -1), ("v", 2, "h", 1, -1, -1, -1), ("v", 50, "h", 1, 3, 193, 3)]
+    assert ledger_as_of_many(saved.limit(0), spark.createDataFrame(asked, "uid string, ts long")).collect() == []

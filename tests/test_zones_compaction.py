@@ -198,3 +198,19 @@ def test_cleaning_the_ledger_table(spark, scratch):
     spark.sql(f"CREATE TABLE evlog_clean.outside (n BIGINT, uid STRING, batch_ts BIGINT) USING parquet PARTITIONED BY (uid, batch_ts) LOCATION '{scratch}/o'")
     with pytest.raises(ValueError):
         clean_ledger(spark, "evlog_clean.outside", 5)
+
+
+def test_upkeep_from_the_command_line(spark, scratch):
+    from evlog.cli import main
+
+    write = cells(f"{scratch}/out")
+    for i in range(3):
+        write(spark, i)
+    assert main(["compact", "--path", f"{scratch}/out"], spark) == 2 and len(held(spark, f"{scratch}/out")) == 3
+    save_log(events(spark, log_rows(0, 5)).coalesce(1), f"{scratch}/log")
+    assert main(["index", "--path", f"{scratch}/log"], spark) == 3
+    spark.sql(f"CREATE DATABASE evlog_cli LOCATION '{scratch}/db'")
+    save_ledger_table(spark.createDataFrame([(b, "u", "h", 0, b, b, 1) for b in (1, 2, 3)], LEDGER_SCHEMA), "evlog_cli.ledger")
+    assert main(["clean", "--table", "evlog_cli.ledger", "--ts", "2"], spark) == 1
+    with pytest.raises(SystemExit):
+        main(["compact", "--table", "t"], spark)
