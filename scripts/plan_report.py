@@ -51,9 +51,10 @@ def recorded_plans(fn, spark, sf_dir) -> str:
     import evlog.operators.ledger
     import evlog.plans.joins
     import evlog.plans.queries
+    import evlog.streaming.live
     import evlog.streaming.sinks
 
-    modules = [evlog.operators.counts, evlog.operators.ledger, evlog.plans.joins, evlog.plans.queries, evlog.streaming.sinks]
+    modules = [evlog.operators.counts, evlog.operators.ledger, evlog.plans.joins, evlog.plans.queries, evlog.streaming.live, evlog.streaming.sinks]
     texts, keep = [], evlog.session.materialize
 
     def record(df):
@@ -76,7 +77,7 @@ def main() -> None:
     spark.sparkContext.setLogLevel("ERROR")
     print("# Physical plans of the registered queries\n")
     print(f"Generated by `scripts/plan_report.py {sf_dir}`. Plans that end in a `checkpoint()` count too. Stream and sink")
-    print("queries are planned as the batch read of what their sink wrote. Events are scanned once for each scan listed.")
+    print("queries are planned as the batch read of what their sink wrote; of the live ones each batch's checkpoints count. Events are scanned once for each scan listed.")
     print("`sequence_gaps` and `non_empty` read the payload columns because an empty body counts as missing, as in the reference.\n")
     print("| query | shuffles | joins | scans of a stored table | columns read | pushed filters | not scalable |")
     print("| --- | --- | --- | --- | --- | --- | --- |")
