@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evlog.llm import minmax, mixing, quality, surrogates, wumanber
-from evlog.llm.common import table
-from evlog.session import work_path
+from evlog.llm.common import mark_possible, table
+from evlog.session import materialize, work_path
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -30,14 +30,17 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """The document with the smallest doc_id of each near-duplicate group, once.
 
     Rows without an id are dropped if a row with one has an equal set. Of rows with one id and text the first by lang, source and n_chars
-    stays; different texts that share an id each stay if no smaller id is near them.
+    stays; different texts that share an id each stay if no smaller id is near them. Only rows that may be dropped are shuffled with their texts.
     """
     keyed = docs.select(*COLUMNS, F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("_text"))
-    gone = minmax.near_duplicates(keyed, carry="_text").filter("NOT kept").select(F.col("doc_id").alias("_gone"), F.col("_text").alias("_of")).distinct()
-    kept = keyed.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")) & F.col("_text").eqNullSafe(F.col("_of")), "left_anti")
+    found = minmax.near_duplicates(keyed, carry="_text").groupBy("doc_id", "_text").agg(F.min("kept").alias("kept"), F.count("*").alias("rows"))
+    named = materialize(found.filter("NOT kept OR rows > 1 AND doc_id IS NOT NULL"))
+    rows = mark_possible(keyed, ["doc_id", "_text"], named.select("doc_id", "_text"))
+    gone = named.filter("NOT kept").select(F.col("doc_id").alias("_gone"), F.col("_text").alias("_of"))
+    kept = rows.filter("possible").join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")) & F.col("_text").eqNullSafe(F.col("_of")), "left_anti")
     first = F.min(F.struct("lang", "source", "n_chars", "text")).alias("first")
     once = kept.filter("doc_id IS NOT NULL").groupBy("doc_id", "_text").agg(first).select("doc_id", "first.*").select(*COLUMNS)
-    return once.unionByName(kept.filter("doc_id IS NULL").select(*COLUMNS))
+    return rows.filter("NOT possible").select(*COLUMNS).unionByName(once).unionByName(kept.filter("doc_id IS NULL").select(*COLUMNS))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 
 # A label column may have at most this many values in a training sample; the most frequent ones are taken.
 MAX_CLASSES = 1000
+# Bits of a set of keys that all tasks get: so many for a key, and at most so many in all (16 MB). A piece of it is what bitmap_construct_agg makes.
+KEY_BITS = 16
+MAX_BITS = 1 << 27
+PIECE_BITS = 1 << 15
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +43,22 @@ def sample_per_class(df: DataFrame, by: str, key: str, per_class: int) -> DataFr
             .filter(F.col("_r") <= per_class).drop("_h", "_r"))
 
 
+def mark_possible(rows: DataFrame, on: list[str], keys: DataFrame) -> DataFrame:
+    """``rows`` with a column ``possible``: true wherever the columns ``on`` are a row of ``keys``, and for few other rows.
+
+    Rows that can't match needn't be shuffled for a join then. Each key sets a bit of a bitmap, which is built by tasks
+    and broadcast. Beyond MAX_BITS / KEY_BITS keys more other rows are marked, but no row of ``keys`` is ever missed. Nulls are equal.
+    """
+    bits = min(MAX_BITS, max(PIECE_BITS, 1 << (KEY_BITS * keys.count()).bit_length()))
+    at = F.pmod(F.xxhash64(*on), F.lit(bits))
+    piece, bit = F.shiftright(at, 15).alias("_piece"), at.bitwiseAND(F.lit(PIECE_BITS - 1)).alias("_bit")
+    # Dealt out before it's grouped: a piece is 4 KB however few keys a task has for it.
+    pieces = keys.toDF(*on).select(piece, bit).repartition("_piece").groupBy("_piece").agg(F.bitmap_construct_agg("_bit").alias("_bits"))
+    octet = F.conv(F.hex(F.expr("substring(_bits, cast(_bit div 8 + 1 AS int), 1)")), 16, 10).cast("bigint")
+    found = F.coalesce(F.getbit(octet, (F.col("_bit") % 8).cast("int")) == 1, F.lit(False))
+    return rows.select("*", piece, bit).join(F.broadcast(pieces), "_piece", "left").select(*rows.columns, found.alias("possible"))
+
+
 def discard(spark: SparkSession, path: str) -> None:
     """Removes a folder of ``work_path`` that nothing reads any more."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from evlog.llm.common import mark_possible
 from evlog.llm.components import components, tight
 from evlog.llm.tokens import MULTIPLIER, NOT_SPACE, U64, Words, blocks, flat, mix
 from evlog.session import materialize
@@ -129,7 +130,7 @@ def _signer(width: int, permutations: int, rows: int):
 
 def _linked(base: DataFrame, members: DataFrame, kind: str, width: int, percent: int) -> DataFrame:
     """``(node, root)`` of the classes that links join."""
-    nodes = members.select("rep").distinct()
+    nodes = tight(materialize(members.select("rep").distinct()))
 
     def sets(batches):
         words = Words(NOT_SPACE)
@@ -139,11 +140,16 @@ def _linked(base: DataFrame, members: DataFrame, kind: str, width: int, percent:
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(codes, pa.int64()),
                                               pa.array([u.view(np.int64) for u in found], pa.list_(pa.int64()))], ["id", "code", "shingles"])
 
-    full = materialize(base.join(nodes, F.col("id") == F.col("rep"), "left_semi")
+    # The few sets of other rows that this lets in are in no pair.
+    full = materialize(mark_possible(base, ["id"], nodes).filter("possible").select("id", "text")
                        .mapInArrow(sets, f"id {kind}, code bigint, shingles array<bigint>"))
 
     def confirm(pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) that are linked, by their full sets."""
+        """The pairs (a, b) that are linked, by their full sets. Only sets that a side names are moved for it."""
+        pairs = tight(materialize(pairs))
+        if pairs.isEmpty():
+            return pairs
+
         def check(batches):
             for batch in batches:
                 keep = []
@@ -159,8 +165,9 @@ def _linked(base: DataFrame, members: DataFrame, kind: str, width: int, percent:
                     keep.append(100 * same >= percent * (len(x) + len(y) - same))
                 yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-        joined = (pairs.join(full.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a")
-                  .join(full.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b"))
+        sa, sb = (mark_possible(full, ["id"], pairs.select(side)).filter("possible")
+                  .select(F.col("id").alias(side), F.col("shingles").alias(f"s{side}")) for side in ("a", "b"))
+        joined = pairs.join(sa, "a").join(sb, "b")
         return tight(materialize(joined.select("a", "b", "sa", "sb").mapInArrow(check, f"a {kind}, b {kind}")))
 
     # Most members are linked with the smallest centre of their buckets; other centres only matter where that leaves components apart.
@@ -180,7 +187,7 @@ def _linked(base: DataFrame, members: DataFrame, kind: str, width: int, percent:
     left = tight(materialize(rest.join(mixed, "bucket", "left_semi").select("rep").distinct()))
     if left.isEmpty():
         return labels
-    rare = _rare_shingles(full.join(left, F.col("id") == F.col("rep"), "left_semi"), percent)
+    rare = _rare_shingles(mark_possible(full, ["id"], left).filter("possible").join(left, F.col("id") == F.col("rep"), "left_semi"), percent)
     # First with the smallest set that has the shingle, which of sets around a common part is linked if any is; then all the rest.
     for step in (_with_smallest, _with_each_other):
         more = confirm(step(_labelled(rare, labels), percent))
